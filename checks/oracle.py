@@ -135,13 +135,13 @@ _NUMBERED_FOLDS = (
 def _weighted_steps() -> str:
     """Order-sensitive sum of each feature over each window of the dominant actor."""
     sums = ", ".join(
-        f"sum(CAST(p.{c} AS DOUBLE) * (p.seq - w.seq + 31)) AS {c}" for c in MODEL_COLUMNS
+        f"sum(CAST(p.{c} AS DOUBLE) * (p.seq - w.seq + 31)) AS sum_{c}" for c in MODEL_COLUMNS
     )
     return f"""{WITH_VALID}, hot AS (
   SELECT *, row_number() OVER (ORDER BY Date, rid) - 1 AS seq FROM valid
   WHERE Source = (SELECT min(e.Source) FROM encoded e JOIN raw r ON e.rid = r.rid WHERE r.Source = 'USA'))
 SELECT w.rid, w.seq, w.CAMEOCode AS label, u.* EXCLUDE (wid) FROM hot w JOIN (
-  SELECT w.rid AS wid, {sums.replace(' AS ', ' AS sum_')}
+  SELECT w.rid AS wid, {sums}
   FROM hot w JOIN hot p ON p.seq BETWEEN w.seq - 30 AND w.seq - 1 WHERE w.seq >= 30 GROUP BY w.rid) u ON u.wid = w.rid"""
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.standin import activity, code_lookup, raw_events
@@ -133,7 +133,7 @@ def sample_head(spark, sf_dir):
 
 def large_head(spark, sf_dir):
     events = raw_events(spark, sf_dir).select("rid", "Date", "CAMEOCode")
-    return ordering.head(events, ["Date", "rid"], 12_000, hot_rows=1000, splits=16)
+    return ordering.head(events, ["Date", "rid"], 12_000, hot_rows=1000)
 
 
 def actor_events(spark, sf_dir):
@@ -397,18 +397,18 @@ def hot_actor_windows(spark, sf_dir):
         "rid",
         "seq",
         "label",
-        *[
-            F.aggregate(
-                F.transform("window", lambda row, at, i=i: row[i] * (at + 1)), F.lit(0.0), lambda a, b: a + b
-            ).alias(f"sum_{c}")
-            for i, c in enumerate(MODEL_COLUMNS)
-        ],
+        *[_weighted_sum(i).alias(f"sum_{c}") for i, c in enumerate(MODEL_COLUMNS)],
     )
 
 
+def _weighted_sum(feature: int) -> Column:
+    weighted = F.transform("window", lambda row, at: row[feature] * (at + 1))
+    return F.aggregate(weighted, F.lit(0.0), lambda a, b: a + b)
+
+
 def actor_positions(spark, sf_dir):
     events = raw_events(spark, sf_dir).select("rid", "Date", "Source")
-    numbered = ordering.number_rows(events, ["Source"], ["Date", "rid"], hot_rows=1000, splits=16)
+    numbered = ordering.number_rows(events, ["Source"], ["Date", "rid"], hot_rows=1000)
     return numbered.select("rid", "Source", "seq")
 
 
@@ -425,7 +425,7 @@ def flattened_windows(spark, sf_dir):
     found = windows.lag_windows(
         activity(spark, sf_dir), ["user_id"], ["ts", "event_id"], ["value", "hour"], "label"
     )
-    values = vector_to_array(windows.flatten_windows(found)["features"])
+    values = vector_to_array(F.col("features"))
     return windows.flatten_windows(found).select("event_id", F.posexplode(values).alias("position", "value"))
 
 

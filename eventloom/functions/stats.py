@@ -22,17 +22,18 @@ def digest_limit(share: float) -> str:
     return f"{int(share * 2**32):08x}"
 
 
-def pairwise_corr(a: str, b: str, nullable: bool = True) -> Column:
-    """Pearson correlation over rows where both sides are present; null if either is constant.
+def correlation(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
+    """Pearson correlation from counts, sums and sums of products; null if a side is constant.
 
-    With ``nullable=False`` the deviations do not depend on the pair, so a matrix of
-    correlations shares one deviation per column.
+    A variance that is only the rounding error of its two terms counts as zero.
     """
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    if nullable:
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    var_x, var_y = _variance(n, x, xx), _variance(n, y, yy)
+    return F.try_divide(xy / n - x / n * (y / n), F.sqrt(var_x) * F.sqrt(var_y))
+
+
+def _variance(n: Column, x: Column, xx: Column) -> Column:
+    variance = xx / n - (x / n) * (x / n)
+    return F.when(variance > xx / n * 1e-12, variance)
 
 
 def n_log_n(n: Column) -> Column:

@@ -9,6 +9,7 @@ are literals in the plan, so a recomputed task cuts where the lost one did.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,11 +18,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.session import materialize
+
 # Groups up to this size are sorted by one task.
 HOT_ROWS = 5_000_000
 # At most this many groups count as hot, which bounds the broadcast list of them.
 MAX_HOT_GROUPS = 10_000
-SPLITS = 1024
+MAX_SPLITS = 16_384
+_SAMPLE_FACTOR = 4
 # Up to this many first rows are found by a plain top-n.
 TOP_N = 10_000
 _HASH_RANGE = 2**31
@@ -60,18 +64,17 @@ class KeyRanges:
         return F.struct(*[F.col(c) for c in self.order]).cast(self.key_type)
 
     def point(self, i: int) -> Column:
-        values = [
-            F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(self.points[i], self.key_type.fields)
-        ]
-        return F.struct(*values).cast(self.key_type)
+        return F.get(self._literals(), F.lit(i))
+
+    def _literals(self) -> Column:
+        """The points as one array the optimizer folds into a literal."""
+        text = json.dumps([dict(zip(self.key_type.names, p)) for p in self.points])
+        texts = ", ".join(f"{name}: string" for name in self.key_type.names)
+        return F.from_json(F.lit(text), f"array<struct<{texts}>>").cast(T.ArrayType(self.key_type))
 
     def index(self) -> Column:
         """Number of split points at or below the row's key, by binary search."""
-        parts = [
-            F.lit([p[i] for p in self.points]).cast(T.ArrayType(f.dataType))
-            for i, f in enumerate(self.key_type.fields)
-        ]
-        points = F.arrays_zip(*parts).cast(T.ArrayType(self.key_type))
+        points = self._literals()
         key = self.key()
         steps = F.lit([1 << i for i in reversed(range(len(self.points).bit_length()))])
         return F.aggregate(
@@ -81,22 +84,31 @@ class KeyRanges:
         )
 
 
-def key_ranges(df: DataFrame, order: Sequence[str], total: int, splits: int = SPLITS) -> KeyRanges:
-    """About ``splits`` split points, drawn by hash so that every run draws the same ones.
+def key_ranges(df: DataFrame, order: Sequence[str], total: int, splits: int) -> KeyRanges:
+    """At most ``splits`` split points, drawn by hash so that every run draws the same ones.
 
-    The sample only places the cuts; no row depends on being in it.
+    The sample only places the cuts; no row depends on being in it. It is several times
+    larger than needed, which evens out the ranges between every few of its keys.
     """
-    share = min(_HASH_RANGE, int(_HASH_RANGE * splits / max(total, 1)) + 1)
-    points = (
+    wanted = _SAMPLE_FACTOR * splits
+    share = min(_HASH_RANGE, int(_HASH_RANGE * wanted / max(total, 1)) + 1)
+    sample = (
         df.select(*order)
         .where(F.pmod(F.xxhash64(*order), F.lit(_HASH_RANGE)) < share)
         .distinct()
-        .limit(4 * splits)
+        .limit(2 * wanted)
         .orderBy(*order)
         .select(*[F.col(c).cast("string") for c in order])
         .collect()
     )
-    return KeyRanges(tuple(order), _key_type(df, order), tuple(tuple(p) for p in points))
+    step = -(-len(sample) // splits) or 1
+    points = tuple(tuple(p) for p in sample[step - 1 :: step])
+    return KeyRanges(tuple(order), _key_type(df, order), points)
+
+
+def splits_for(total: int, hot_rows: int) -> int:
+    """Ranges a quarter the size of what one task may sort, up to ``MAX_SPLITS`` of them."""
+    return max(2, min(MAX_SPLITS, -(-4 * total // max(hot_rows, 1))))
 
 
 def _key_type(df: DataFrame, order: Sequence[str]) -> T.StructType:
@@ -109,7 +121,6 @@ def number_rows(
     order: Sequence[str],
     name: str = "seq",
     hot_rows: int = HOT_ROWS,
-    splits: int = SPLITS,
     load: GroupLoad | None = None,
 ) -> DataFrame:
     """Append the 0-based position of each row in its group; ``order`` must be unique in a group."""
@@ -118,7 +129,7 @@ def number_rows(
         position = F.row_number().over(W.partitionBy(*by).orderBy(*order))
         return df.withColumn(name, (position - 1).cast("bigint"))
 
-    ranged = _with_ranges(df, by, order, hot_rows, splits, load)
+    ranged = _with_ranges(df, by, order, hot_rows, load)
     counts = ranged.groupBy(_GROUP, _RANGE).agg(F.count(F.lit(1)).alias(_COUNT))
     # A group has at most one row per range here, so this window is small.
     earlier = W.partitionBy(_GROUP).orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
@@ -135,31 +146,27 @@ def number_rows(
 
 
 def _with_ranges(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], hot_rows: int, splits: int, load: GroupLoad
+    df: DataFrame, by: Sequence[str], order: Sequence[str], hot_rows: int, load: GroupLoad
 ) -> DataFrame:
     """Add the group key and a range number, which is 0 for all groups but the hot ones."""
-    index = key_ranges(df, order, load.total, splits).index()
+    index = key_ranges(df, order, load.total, splits_for(load.total, hot_rows)).index()
     keyed = df.withColumn(_GROUP, group_key(by))
     if not by:
-        return keyed.withColumn(_RANGE, index)
+        return keyed.withColumn(_RANGE, F.coalesce(index, F.lit(0)))
     # Fewer than MAX_HOT_GROUPS groups can each hold more than total / MAX_HOT_GROUPS rows.
     threshold = max(hot_rows, load.total // MAX_HOT_GROUPS)
-    hot = (
-        keyed.groupBy(_GROUP)
-        .agg(F.count(F.lit(1)).alias(_COUNT))
-        .where(F.col(_COUNT) > threshold)
-        .select(_GROUP, F.lit(True).alias(_IS_HOT))
-    )
+    counts = keyed.groupBy(_GROUP).agg(F.count(F.lit(1)).alias(_COUNT))
+    hot = counts.where(F.col(_COUNT) > threshold).select(_GROUP, F.lit(True).alias(_IS_HOT))
+    # Never null: a nullable range would be computed once more, to filter the join's keys.
+    ranged = F.coalesce(F.when(F.col(_IS_HOT), index), F.lit(0))
     return (
-        keyed.join(F.broadcast(hot), _GROUP, "left")
-        .withColumn(_RANGE, F.when(F.col(_IS_HOT), index).otherwise(F.lit(0)))
+        keyed.join(F.broadcast(materialize(hot, "hot-groups")), _GROUP, "left")
+        .withColumn(_RANGE, ranged)
         .drop(_IS_HOT)
     )
 
 
-def head(
-    df: DataFrame, order: Sequence[str], n: int, hot_rows: int = HOT_ROWS, splits: int = SPLITS
-) -> DataFrame:
+def head(df: DataFrame, order: Sequence[str], n: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The first ``n`` rows by ``order``, whose values must be unique.
 
     A small ``n`` is a top-n. For a large one the order key of the last wanted row is
@@ -173,7 +180,7 @@ def head(
     if wanted >= total:
         return df
     while total > hot_rows:
-        ranges = key_ranges(keys, order, total, splits)
+        ranges = key_ranges(keys, order, total, splits_for(total, hot_rows))
         sizes = keys.groupBy(ranges.index().alias("i")).agg(F.count(F.lit(1)).alias("n"))
         for row in sizes.orderBy("i").collect():
             if wanted <= row["n"]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.stats import n_log_n, pairwise_corr
+from eventloom.functions.stats import correlation, n_log_n
 from eventloom.operators.cleaning import feature_columns
 from eventloom.operators.encoding import fit_min_max
 from eventloom.schemas import LABEL, NUM_CLASSES
@@ -31,27 +32,50 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation (a, b, r) of all ordered pairs, over rows where both are present.
 
-    A constant column has no correlation (null), not even with itself.
+    A constant column has no correlation (null), not even with itself. One pass sums values
+    and products per pattern of present columns; the rows of a pair are those of the
+    patterns that have both. Values are shifted by a typical one first, for precision.
     """
     columns = list(columns or numeric_columns(df))
-    nullable = {f.name: f.nullable for f in df.schema.fields}
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    stats = df.agg(
-        *[
-            pairwise_corr(a, b, nullable[a] or nullable[b]).alias(f"r_{i}")
-            for i, (a, b) in enumerate(pairs)
-        ]
+    if len(columns) > 62:
+        raise ValueError("at most 62 columns fit the pattern of present columns")
+    pairs = {pair: k for k, pair in enumerate(combinations_with_replacement(range(len(columns)), 2))}
+    shift = df.limit(1000).agg(*[F.median(c).alias(c) for c in columns]).first()
+    shifted = [F.col(c).cast("double") - F.lit(shift[c] or 0.0) for c in columns]
+    present = sum((F.when(F.col(c).isNull(), 0).otherwise(1 << i) for i, c in enumerate(columns)), F.lit(0))
+    values = [f"v{i}" for i in range(len(columns))]
+    sums = (
+        df.select(
+            present.cast("bigint").alias("present"),
+            *[F.coalesce(x, F.lit(0.0)).alias(v) for x, v in zip(shifted, values)],
+        )
+        .groupBy("present")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.array(*[F.sum(v) for v in values]).alias("x"),
+            F.array(*[F.sum(F.col(values[i]) * F.col(values[j])) for i, j in pairs]).alias("xx"),
+        )
+    )
+    cells = [
+        {"a": a, "b": b, "i": i, "j": j, "bits": 1 << i | 1 << j,
+         "ij": pairs[min(i, j), max(i, j)], "ii": pairs[i, i], "jj": pairs[j, j]}
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
+    ]
+    cell_type = "array<struct<a: string, b: string, i: int, j: int, bits: bigint, ij: int, ii: int, jj: int>>"
+    of_pairs = sums.select("*", F.inline(F.from_json(F.lit(json.dumps(cells)), cell_type)))
+    both = F.col("present").bitwiseAND(F.col("bits")) == F.col("bits")
+
+    def total(value: Column) -> Column:
+        return F.sum(F.when(both, value))
+
+    return of_pairs.groupBy("a", "b").agg(
+        correlation(
+            total(F.col("n")),
+            *[total(F.get("x", F.col(at))) for at in ("i", "j")],
+            *[total(F.get("xx", F.col(at))) for at in ("ii", "jj", "ij")],
+        ).alias("r")
     )
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        rows.append(_cell(a, b, F.col(f"r_{i}")))
-        if a != b:
-            rows.append(_cell(b, a, F.col(f"r_{i}")))
-    return stats.select(F.inline(F.array(*rows)))
-
-
-def _cell(a: str, b: str, r: Column) -> Column:
-    return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"))
 
 
 def feature_scores(

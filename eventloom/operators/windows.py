@@ -58,7 +58,7 @@ def lag_windows(
     if block_rows < look_back:
         raise ValueError("a block must hold at least one look-back")
     numbered = number_rows(rows, by, order, "seq", hot_rows, load=load)
-    block = F.floor(F.col("seq") / block_rows)
+    block = F.expr(f"seq div {block_rows}")
     own = F.struct(block.alias("block"), F.lit(False).alias("halo"))
     following = F.struct((block + 1).alias("block"), F.lit(True).alias("halo"))
     in_tail = F.col("seq") % block_rows >= block_rows - look_back
