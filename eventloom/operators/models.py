@@ -220,7 +220,7 @@ def boosting_history(model: PipelineModel, data: DataFrame, label: str = "label"
         data = stage.transform(data)
     rows = []
     for i, trees in enumerate(last.models):
-        # The two-class ensembles know their own label column, not the class they stand for.
-        part = data.withColumn(label, (F.col(label) == i).cast("double"))
+        # Each two-class ensemble was trained on a label column of its own.
+        part = data.withColumn(trees.getLabelCol(), (F.col(label) == i).cast("double"))
         rows += [(i, step, float(loss)) for step, loss in enumerate(trees.evaluateEachIteration(part))]
     return data.sparkSession.createDataFrame(rows, "class int, iteration int, loss double")
