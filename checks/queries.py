@@ -48,7 +48,7 @@ def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key and modelling columns of the valid events, stored for the model runs."""
     valid = cleaning.keep_valid_classes(_encoded(spark, sf_dir))
-    return materialize(cleaning.model_columns(valid, ["rid"]), "model-columns")
+    return materialize(cleaning.model_columns(valid, ["rid"]), "model-columns", spread=True)
 
 
 def _raw_files(spark: SparkSession, sf_dir: str) -> str:
@@ -413,7 +413,7 @@ def actor_positions(spark, sf_dir):
 
 
 def tail_holdout(spark, sf_dir):
-    stored = materialize(_windows(spark, sf_dir), "windows")
+    stored = materialize(_windows(spark, sf_dir), "windows", spread=True)
     train, test = windows.tail_holdout(stored, ["ts", "event_id"])
     columns = ["user_id", "event_id", "seq", "label"]
     return train.select(*columns, F.lit("train").alias("part")).unionByName(
@@ -507,7 +507,7 @@ def training_history(spark, sf_dir):
 
 
 def sequence_network(spark, sf_dir):
-    stored = materialize(_windows(spark, sf_dir), "windows")
+    stored = materialize(_windows(spark, sf_dir), "windows", spread=True)
     return training.sequence_network(
         stored, ["ts", "event_id"], len(STEP_FEATURES), classes=5, iterations=5
     )[1]
@@ -515,13 +515,13 @@ def sequence_network(spark, sf_dir):
 
 def cross_validation(spark, sf_dir):
     table = models.with_label(_model_table(spark, sf_dir))
-    folds = materialize(splits.stratified_folds(table, "rid", 2), "folds")
+    folds = materialize(splits.stratified_folds(table, "rid", 2), "folds", spread=True)
     return search.cross_validate(models.forest_pipeline(FEATURES, numTrees=5, maxDepth=4), folds)
 
 
 def grid_search(spark, sf_dir):
     table = models.with_label(_model_table(spark, sf_dir))
-    folds = materialize(splits.stratified_folds(table, "rid", 2), "folds")
+    folds = materialize(splits.stratified_folds(table, "rid", 2), "folds", spread=True)
     forest = models.forest_pipeline(FEATURES)
     combinations = search.full_grid({"numTrees": [3, 5], "maxDepth": [3, 4]})
     return search.grid_search(forest, forest.getStages()[-1], folds, combinations, k=2)[1]

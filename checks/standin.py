@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.operators.encoding import fit_dictionary
 from eventloom.schemas import RAW
+from eventloom.session import materialize
 
 # Codes in slots of four characters, the last one blank.
 CODE_SLOTS = (
@@ -52,8 +53,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``rid`` and the raw columns."""
+    """``rid`` and the raw columns, written once per application: queries start from a raw table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = materialize(make_raw_events(spark, sf_dir), "raw-events", spread=True)
+    return _stored[key]
+
+
+def make_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer")
     columns = [

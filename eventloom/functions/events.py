@@ -38,7 +38,7 @@ def lenient_number(text: Column | str, dtype: str = "double") -> Column:
 
 def lenient_int(text: Column | str) -> Column:
     """Integer value of a text; 0 where it is missing or not a number."""
-    return F.coalesce(lenient_number(text, "int"), F.lit(0))
+    return F.coalesce(_column(text).try_cast("decimal(38,10)").try_cast("int"), F.lit(0))
 
 
 def event_class(code: Column | str) -> Column:

@@ -26,8 +26,8 @@ from eventloom.functions.events import (
     strict_int,
     year_of,
 )
-from eventloom.operators.lookup import fits_broadcast, lookup
-from eventloom.operators.ordering import HOT_ROWS, number_rows
+from eventloom.operators.lookup import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, lookup, measure
+from eventloom.operators.ordering import HOT_ROWS, GroupLoad, number_rows
 from eventloom.schemas import ACTORS, CODE_CLASSES, GEO_LATITUDES, GEO_TYPES, LABEL, NUM_CLASSES
 from eventloom.session import materialize
 
@@ -86,28 +86,35 @@ def fit_dictionaries(
     stored once; they, not the events, are sorted and numbered.
     """
     values = materialize(df.unpivot([], list(columns), "column", "value").distinct(), "values")
+    sizes = {r["column"]: r for r in values.groupBy("column").agg(*measure(values)).collect()}
+    rows = [size["n"] for size in sizes.values()]
     ordered = values.withColumn("missing", F.col("value").isNull())
-    numbered = number_rows(ordered, ["column"], ["missing", "value"], "code", hot_rows)
+    numbered = number_rows(
+        ordered, ["column"], ["missing", "value"], "code", hot_rows, GroupLoad(sum(rows), max(rows, default=0))
+    )
     table = materialize(
         numbered.select("column", "value", F.col("code").cast("int").alias("code")), "dictionary"
     )
-    return [_dictionary(table.where(F.col("column") == c).drop("column"), c) for c in columns]
+    fitted = []
+    for c in columns:
+        small = c not in sizes or (
+            sizes[c]["n"] <= BROADCAST_ROWS and sizes[c]["bytes"] <= BROADCAST_BYTES
+        )
+        fitted.append(Dictionary(c, table.where(F.col("column") == c).drop("column"), small))
+    return fitted
 
 
 def fit_dictionary(df: DataFrame, column: str, hot_rows: int = HOT_ROWS) -> Dictionary:
     return fit_dictionaries(df, [column], hot_rows)[0]
 
 
-def _dictionary(table: DataFrame, column: str) -> Dictionary:
-    return Dictionary(column, table, fits_broadcast(table))
-
-
 def save_dictionary(dictionary: Dictionary, path: str) -> None:
     dictionary.table.write.parquet(path)
 
 
 def load_dictionary(spark: SparkSession, column: str, path: str) -> Dictionary:
-    return _dictionary(spark.read.parquet(path), column)
+    table = spark.read.parquet(path)
+    return Dictionary(column, table, fits_broadcast(table))
 
 
 def dictionary_encode(df: DataFrame, columns: Sequence[str] = ACTORS) -> DataFrame:

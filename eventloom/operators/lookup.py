@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.events import root_code
@@ -16,14 +16,17 @@ SALTS = 32
 _SALT, _FOUND = "__salt", "__key"
 
 
-def fits_broadcast(
-    dim: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> bool:
-    """Measure rows and text size of a table that may be broadcast."""
+def measure(dim: DataFrame) -> list[Column]:
+    """Aggregates ``n`` and ``bytes``: rows and approximate size of a table."""
     texts = [c for c, dtype in dim.dtypes if dtype == "string"]
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(8 * len(dim.columns)))
-    row = dim.agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("bigint")).alias("bytes")).first()
-    return row["n"] <= max_rows and (row["bytes"] or 0) <= max_bytes
+    return [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size.cast("bigint")), F.lit(0)).alias("bytes")]
+
+
+def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measure whether a table may be broadcast."""
+    size = dim.agg(*measure(dim)).first()
+    return size["n"] <= max_rows and size["bytes"] <= max_bytes
 
 
 def lookup(

@@ -1,7 +1,7 @@
 """Whole training runs: split, fit, predict, score.
 
-Each run stores its model table first. Tree and network fitting read the data once per
-level or step; they should read a narrow table, not repeat the encoding.
+Each run stores its model table first. Fitting reads the data many times; it should read a
+narrow table, not repeat the encoding.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def _run(estimator: Estimator, train: DataFrame, test: DataFrame, key: str, labe
 
 def holdout_boosting(events: DataFrame, key: str, seed: int = 100, **overrides: Any) -> Run:
     """Boosted trees on 80 % of the events, tested on the rest."""
-    table = materialize(with_label(drop_leaky(events)), "model-table")
+    table = materialize(with_label(drop_leaky(events)), "model-table", spread=True)
     train, test = holdout_split(table, key, 0.2, seed)
     features = feature_columns(drop_leaky(events), exclude=[key])
     return _run(boosting_pipeline(features, rows=train.count(), **overrides), train, test, key)
@@ -63,7 +63,7 @@ def indexed_boosting(events: DataFrame, key: str, seed: int = 0, **overrides: An
 
     The label index is fitted on all events, so that it knows every class.
     """
-    table = materialize(events, "model-table")
+    table = materialize(events, "model-table", spread=True)
     indexer = fit_label_index(table, LABEL, "label")
     features = feature_columns(table, exclude=[key])
     train, test = random_split(table, key, (0.7, 0.3), seed)
@@ -78,11 +78,14 @@ def dense_network(
     The scaling bounds come from the training part, or from all rows with ``fit_on="all"``.
     """
     features = feature_columns(drop_leaky(events), exclude=[key])
-    table = materialize(with_label(drop_leaky(events)), "model-table")
+    table = materialize(with_label(drop_leaky(events)), "model-table", spread=True)
     train, test = holdout_split(table, key, 0.2, seed)
     scale = fit_min_max(train if fit_on == "train" else table, features)
     train, test = (
-        assemble(scale.transform(part), features).select(key, "label", "features") for part in (train, test)
+        materialize(
+            assemble(scale.transform(part), features).select(key, "label", "features"), "scaled", spread=True
+        )
+        for part in (train, test)
     )
     network = MultilayerPerceptronClassifier(
         labelCol="label", layers=[len(features), *HIDDEN_LAYERS, NUM_CLASSES], seed=0
@@ -111,6 +114,6 @@ def sequence_network(
 def cross_validated_boosting(events: DataFrame, key: str, k: int = 2, **overrides: Any) -> DataFrame:
     """Accuracy of boosted trees per fold; the label is not among the features."""
     features = feature_columns(events, exclude=[key])
-    table = materialize(hashed_folds(with_label(events), key, k), "model-table")
+    table = materialize(hashed_folds(with_label(events), key, k), "model-table", spread=True)
     rows = table.count() * (k - 1) // k
     return cross_validate(boosting_pipeline(features, rows=rows, **overrides), table, k)

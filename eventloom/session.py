@@ -32,8 +32,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/eventloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return a scan of it."""
-    path = scratch_path(df.sparkSession, name)
+def materialize(df: DataFrame, name: str = "table", spread: bool = False) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and return a scan of it.
+
+    A table too small to give every core a partition is written once more in as many parts
+    with ``spread``, for readers that compute much per row, such as model fitting.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and table.rdd.getNumPartitions() < cores:
+        return materialize(table.repartition(cores), name)
+    return table
