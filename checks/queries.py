@@ -175,7 +175,7 @@ def model_reload(spark, sf_dir):
 def prediction_rows(spark, sf_dir):
     path = scratch_path(spark, "predictions")
     model, test = _forest(spark, sf_dir)
-    writers.write_predictions(model.transform(test), path, ["rid"])
+    writers.write_predictions(models.score(model, test), path, ["rid"])
     total = F.aggregate("probability", F.lit(0.0), lambda a, b: a + b)
     return spark.read.parquet(path).select(
         "rid",
@@ -383,7 +383,7 @@ def lag_windows(spark, sf_dir):
 
 def lag_windows_blocks(spark, sf_dir):
     """The way taken when an actor is too large for one task."""
-    return _steps(_windows(spark, sf_dir, hot_rows=20, block_rows=40))
+    return _steps(_windows(spark, sf_dir, hot_rows=60, block_rows=40))
 
 
 def hot_actor_windows(spark, sf_dir):

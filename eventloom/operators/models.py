@@ -21,6 +21,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import MinMaxScaler, StringIndexer, StringIndexerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,13 +132,38 @@ def sequence_network_pipeline(
     return Pipeline(stages=[MinMaxScaler(inputCol="features", outputCol="scaled"), network])
 
 
+def score(model: Transformer, df: DataFrame) -> DataFrame:
+    """``model.transform`` that stays in the JVM.
+
+    One-versus-rest models are transformed by a Python function per class and row. Here
+    their ensembles' raw scores are columns, and the prediction is the largest one.
+    """
+    if isinstance(model, PipelineModel):
+        for stage in model.stages:
+            df = score(stage, df)
+        return df
+    if not isinstance(model, OneVsRestModel):
+        return model.transform(df)
+    columns, raw = df.columns, []
+    for i, ensemble in enumerate(model.models):
+        raw.append(f"__raw_{i}")
+        only_raw = {
+            ensemble.rawPredictionCol: raw[i], ensemble.probabilityCol: "", ensemble.predictionCol: ""
+        }
+        df = ensemble.copy(only_raw).transform(df)
+    scores = F.array(*[F.get(vector_to_array(F.col(c)), F.lit(1)) for c in raw])
+    scored = df.select(*columns, scores.alias("__scores"))
+    largest = F.array_position("__scores", F.array_max("__scores")) - 1
+    return scored.withColumn(model.getPredictionCol(), largest.cast("double")).drop("__scores")
+
+
 def fit_with_validation(
     estimator: Estimator, train: DataFrame, validation: DataFrame, label: str = "label"
 ) -> tuple[Transformer, DataFrame]:
     """The model and its accuracy on both parts: (part, n, accuracy, test_error)."""
     model = estimator.fit(train)
     parts = [
-        accuracy(model.transform(part), label).select(F.lit(name).alias("part"), "*")
+        accuracy(score(model, part), label).select(F.lit(name).alias("part"), "*")
         for name, part in (("train", train), ("validation", validation))
     ]
     return model, parts[0].unionByName(parts[1])
@@ -145,7 +171,7 @@ def fit_with_validation(
 
 def predict(model: Transformer, test: DataFrame, key: Sequence[str], label: str = "label") -> DataFrame:
     """Key, true label and prediction of every test row."""
-    return model.transform(test).select(*key, F.col(label).alias("label"), "prediction")
+    return score(model, test).select(*key, F.col(label).alias("label"), "prediction")
 
 
 def preview(predictions: DataFrame, key: Sequence[str], n: int = 5) -> DataFrame:

@@ -43,6 +43,25 @@ def test_holdout_boosting(events):
     assert len(losses) == 4 and losses[-1] < losses[0]
 
 
+def test_scores_equal_the_models_own_transform(events):
+    train, test = splits.holdout_split(models.with_label(events), "rid")
+    model = models.boosting_pipeline(["a", "b", "noise"], rows=1000, maxIter=2).fit(train)
+    ours = models.score(model, test).select("rid", "prediction")
+    theirs = model.transform(test).select("rid", "prediction")
+    assert ours.exceptAll(theirs).isEmpty() and ours.count() == test.count()
+    assert "Python" not in ours._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_tunes_the_boosted_trees(events):
+    folds = materialize(splits.stratified_folds(models.with_label(events), "rid", 2), "folds")
+    pipeline = models.boosting_pipeline(["a", "b"], maxIter=1)
+    trees = pipeline.getStages()[-1].getClassifier()
+    grid = [search.spark_parameters(c, 600) for c in search.full_grid({"minSplitGain": [600.0, 0.0], "maxDepth": [3]})]
+    best, results = search.grid_search(pipeline, trees, folds, grid, k=2)
+    assert [r["rank_test_score"] for r in results.orderBy("candidate").collect()] == [2, 1]
+    assert best.stages[-1].models[0].getOrDefault("minInfoGain") == 0.0
+
+
 def test_indexed_boosting(events):
     run = training.indexed_boosting(events, "rid", iterations=3)
     check(run, events, 0.9)
@@ -110,8 +129,10 @@ def test_grid_search(events):
     rows = results.orderBy("candidate").collect()
     assert [r["param_maxDepth"] for r in rows] == ["1", "5"] and [r["rank_test_score"] for r in rows] == [2, 1]
     assert search.best_parameters(results).first()["candidate"] == 1
+    splits_of_best = [rows[1][f"split{i}_test_score"] for i in range(3)]
+    assert sum(splits_of_best) / 3 == pytest.approx(rows[1]["mean_test_score"])
     assert rows[1]["normalized_score"] == pytest.approx(2 * rows[1]["mean_test_score"] - 1)
-    assert found.bestModel.stages[-1].getOrDefault("maxDepth") == 5
+    assert found.stages[-1].getOrDefault("maxDepth") == 5
 
 
 def test_grid_of_the_boosting_parameters():
