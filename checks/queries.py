@@ -133,7 +133,7 @@ def sample_head(spark, sf_dir):
 
 def large_head(spark, sf_dir):
     events = raw_events(spark, sf_dir).select("rid", "Date", "CAMEOCode")
-    return ordering.head(events, ["Date", "rid"], 12_000, hot_rows=1000)
+    return ordering.head(events, ["Date", "rid"], 12_000)
 
 
 def actor_events(spark, sf_dir):

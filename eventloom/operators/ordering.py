@@ -10,7 +10,7 @@ are literals in the plan, so a recomputed task cuts where the lost one did.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -28,6 +28,8 @@ MAX_SPLITS = 16_384
 _SAMPLE_FACTOR = 4
 # Up to this many first rows are found by a plain top-n.
 TOP_N = 10_000
+# The range that holds the last of many first rows is narrowed down to this size.
+SORT_ROWS = 100_000
 _HASH_RANGE = 2**31
 
 _GROUP, _RANGE, _RANK, _OFFSET, _COUNT, _IS_HOT = "__group", "__range", "__rank", "__offset", "__count", "__is_hot"
@@ -61,10 +63,28 @@ class KeyRanges:
     points: tuple[tuple[str | None, ...], ...]
 
     def key(self) -> Column:
-        return F.struct(*[F.col(c) for c in self.order]).cast(self.key_type)
+        return F.struct(*[F.col(c).alias(name) for c, name in zip(self.order, self.key_type.names)])
 
-    def point(self, i: int) -> Column:
-        return F.get(self._literals(), F.lit(i))
+    def from_point(self, i: int) -> Column:
+        """Whether the row's key is at or after point ``i``."""
+        return self._beside(i, lambda key, point: key >= point, nulls=False)
+
+    def before_point(self, i: int) -> Column:
+        return self._beside(i, lambda key, point: key < point, nulls=True)
+
+    def up_to_point(self, i: int) -> Column:
+        return self._beside(i, lambda key, point: key <= point, nulls=True)
+
+    def _beside(self, i: int, holds: Callable[[Column, Column], Column], nulls: bool) -> Column:
+        """A comparison of keys and, as file scans skip by single columns, of the first column.
+
+        Nulls come first in the order, so they are before any point and from none but a null.
+        """
+        whole = holds(self.key(), F.get(self._literals(), F.lit(i)))
+        if self.points[i][0] is None:
+            return whole
+        first, bound = F.col(self.order[0]), F.lit(self.points[i][0]).cast(self.key_type[0].dataType)
+        return whole & ((first.isNull() | (first <= bound)) if nulls else (first >= bound))
 
     def _literals(self) -> Column:
         """The points as one array the optimizer folds into a literal."""
@@ -75,8 +95,8 @@ class KeyRanges:
     def index(self) -> Column:
         """Number of split points at or below the row's key, by binary search."""
         points = self._literals()
-        key = self.key()
         steps = F.lit([1 << i for i in reversed(range(len(self.points).bit_length()))])
+        key = self.key()
         return F.aggregate(
             steps,
             F.lit(0),
@@ -90,6 +110,8 @@ def key_ranges(df: DataFrame, order: Sequence[str], total: int, splits: int) ->
     The sample only places the cuts; no row depends on being in it. It is several times
     larger than needed, which evens out the ranges between every few of its keys.
     """
+    if any(df.schema[c].dataType == T.BinaryType() for c in order):
+        raise ValueError("binary order columns cannot be split; order by their hex text")
     wanted = _SAMPLE_FACTOR * splits
     share = min(_HASH_RANGE, int(_HASH_RANGE * wanted / max(total, 1)) + 1)
     sample = (
@@ -122,14 +144,19 @@ def number_rows(
     name: str = "seq",
     hot_rows: int = HOT_ROWS,
     load: GroupLoad | None = None,
+    range_of: Callable[[int], Column] | None = None,
 ) -> DataFrame:
-    """Append the 0-based position of each row in its group; ``order`` must be unique in a group."""
+    """Append the 0-based position of each row in its group; ``order`` must be unique in a group.
+
+    ``range_of(n)`` may give the number 0..n-1 of a row's range, if the order is known to fall
+    into even ranges; otherwise ranges are found from a sample.
+    """
     load = load or group_load(df, by)
     if load.largest <= hot_rows:
         position = F.row_number().over(W.partitionBy(*by).orderBy(*order))
         return df.withColumn(name, (position - 1).cast("bigint"))
 
-    ranged = _with_ranges(df, by, order, hot_rows, load)
+    ranged = _with_ranges(df, by, order, hot_rows, load, range_of)
     counts = ranged.groupBy(_GROUP, _RANGE).agg(F.count(F.lit(1)).alias(_COUNT))
     # A group has at most one row per range here, so this window is small.
     earlier = W.partitionBy(_GROUP).orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
@@ -146,10 +173,16 @@ def number_rows(
 
 
 def _with_ranges(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], hot_rows: int, load: GroupLoad
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    hot_rows: int,
+    load: GroupLoad,
+    range_of: Callable[[int], Column] | None,
 ) -> DataFrame:
     """Add the group key and a range number, which is 0 for all groups but the hot ones."""
-    index = key_ranges(df, order, load.total, splits_for(load.total, hot_rows)).index()
+    splits = splits_for(load.total, hot_rows)
+    index = range_of(splits) if range_of else key_ranges(df, order, load.total, splits).index()
     keyed = df.withColumn(_GROUP, group_key(by))
     if not by:
         return keyed.withColumn(_RANGE, F.coalesce(index, F.lit(0)))
@@ -166,7 +199,7 @@ def _with_ranges(
     )
 
 
-def head(df: DataFrame, order: Sequence[str], n: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows by ``order``, whose values must be unique.
 
     A small ``n`` is a top-n. For a large one the order key of the last wanted row is
@@ -179,8 +212,8 @@ def head(df: DataFrame, order: Sequence[str], n: int, hot_rows: int = HOT_ROWS)
     total = keys.count()
     if wanted >= total:
         return df
-    while total > hot_rows:
-        ranges = key_ranges(keys, order, total, splits_for(total, hot_rows))
+    while total > SORT_ROWS:
+        ranges = key_ranges(keys, order, total, splits_for(total, SORT_ROWS))
         sizes = keys.groupBy(ranges.index().alias("i")).agg(F.count(F.lit(1)).alias("n"))
         for row in sizes.orderBy("i").collect():
             if wanted <= row["n"]:
@@ -190,18 +223,9 @@ def head(df: DataFrame, order: Sequence[str], n: int, hot_rows: int = HOT_ROWS)
             raise ValueError(f"order columns {list(order)} do not tell the rows apart")
         i, total = row["i"], row["n"]
         if i > 0:
-            keys = keys.where(ranges.key() >= ranges.point(i - 1))
+            keys = keys.where(ranges.from_point(i - 1))
         if i < len(ranges.points):
-            keys = keys.where(ranges.key() < ranges.point(i))
+            keys = keys.where(ranges.before_point(i))
     last = keys.orderBy(*order).limit(wanted).orderBy(*[F.desc(c) for c in order]).limit(1)
-    return _up_to(df, order, last.select(*[F.col(c).cast("string") for c in order]).first())
-
-
-def _up_to(df: DataFrame, order: Sequence[str], last: Row) -> DataFrame:
-    """Rows whose order key is at most ``last``, nulls first as in a sort."""
-    edge = KeyRanges(tuple(order), _key_type(df, order), (tuple(last),))
-    kept = df.where(edge.key() <= edge.point(0))
-    # The comparison on the leading column alone is what reaches the file scan.
-    leading = F.col(order[0])
-    bound = F.lit(last[0]).cast(df.schema[order[0]].dataType)
-    return kept.where(leading.isNull() | (leading <= bound)) if last[0] is not None else kept
+    edge = tuple(last.select(*[F.col(c).cast("string") for c in order]).first())
+    return df.where(KeyRanges(tuple(order), _key_type(df, order), (edge,)).up_to_point(0))

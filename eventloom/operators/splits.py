@@ -47,7 +47,15 @@ def stratified_folds(
 ) -> DataFrame:
     """Add ``fold`` 0..k-1; within a class, fold sizes differ by at most one row."""
     shuffled = df.withColumn(_DIGEST, key_digest(key, seed))
-    numbered = number_rows(shuffled, [label], [_DIGEST, key], "__seq", hot_rows)
+    # Digests are uniform: equal parts of their range hold equal numbers of rows.
+    numbered = number_rows(
+        shuffled,
+        [label],
+        [_DIGEST, key],
+        "__seq",
+        hot_rows,
+        range_of=lambda n: F.shiftright(digest_number(F.col(_DIGEST)) * n, 32).cast("int"),
+    )
     return numbered.withColumn("fold", (F.col("__seq") % k).cast("int")).select(*df.columns, "fold")
 
 

@@ -48,18 +48,29 @@ def test_number_all_rows(events, rows, hot_rows):
 @pytest.mark.parametrize("n", [0, 1, 700, 2499, 2500, 9999])
 def test_head(events, rows, n, monkeypatch):
     monkeypatch.setattr(ordering, "TOP_N", 0)
+    monkeypatch.setattr(ordering, "SORT_ROWS", 50)
     expected = [r[0] for r in sorted(rows, key=lambda r: (r[2], r[0]))][:n]
-    found = ordering.head(events, ORDER, n, hot_rows=50)
+    found = ordering.head(events, ORDER, n)
     assert sorted(r["rid"] for r in found.collect()) == sorted(expected)
-    assert [r["rid"] for r in ordering.head(events, ["x"], n, hot_rows=50).orderBy("x").collect()] == [
+    assert [r["rid"] for r in ordering.head(events, ["x"], n).orderBy("x").collect()] == [
         r[0] for r in sorted(rows, key=lambda r: r[4])
     ][:n]
 
 
 def test_head_refuses_an_ambiguous_order(events, monkeypatch):
     monkeypatch.setattr(ordering, "TOP_N", 0)
+    monkeypatch.setattr(ordering, "SORT_ROWS", 50)
     with pytest.raises(ValueError, match="tell the rows apart"):
-        ordering.head(events, ["day"], 1200, hot_rows=50)
+        ordering.head(events, ["day"], 1200)
+
+
+def test_head_with_nulls_first(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "TOP_N", 0)
+    monkeypatch.setattr(ordering, "SORT_ROWS", 3)
+    df = spark.createDataFrame([(i, None if i % 3 else i) for i in range(90)], "i int, v int")
+    expected = sorted(range(90), key=lambda i: (i % 3 == 0, i))
+    for n in (1, 30, 60, 61, 75):
+        assert sorted(r["i"] for r in ordering.head(df, ["v", "i"], n).collect()) == sorted(expected[:n])
 
 
 def expected_windows(rows, look_back):
