@@ -152,7 +152,7 @@ def oracle_sql() -> dict[str, str]:
         "SourceGeoLong, TargetGeoType, TargetGeoLat, TargetGeoLong, ActionGeoType, ActionGeoLat, ActionGeoLong, "
         "SourceGeoLatInt, TargetGeoLatInt, ActionGeoLatInt, Month, Year"
     )
-    class_names = ", ".join(f"CASE WHEN CAMEOCode = {i} THEN 1.0 ELSE 0.0 END AS class_{i}" for i in range(NUM_CLASSES))
+    class_names = ", ".join(f"CASE WHEN CAMEOCode = {i} THEN 1.0 ELSE 0.0 END::DOUBLE AS class_{i}" for i in range(NUM_CLASSES))
     return {
         # sources and sinks
         "raw_scan": f"{WITH_RAW} SELECT {raw_columns} FROM raw",
@@ -190,11 +190,11 @@ def oracle_sql() -> dict[str, str]:
         "assembled_features": f"{WITH_ENCODED} SELECT rid, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURES)} FROM encoded",
         "category_index": f"{WITH_RAW} SELECT rid, CAST(o_orderkey % 4 AS DOUBLE) AS quad, CAST(NumEvents AS DOUBLE) AS NumEvents FROM raw JOIN orders ON rid = o_orderkey",
         "one_hot_label": f"{WITH_VALID} SELECT rid, {class_names} FROM valid",
-        "min_max_scaled": f"{WITH_ENCODED} SELECT rid, {', '.join(f'round({_scaled(c, chr(101) + "ncoded")}, 9) AS {c}' for c in [*FEATURES, 'SourceGeoLat'])}, 0.0 AS Constant FROM encoded",
+        "min_max_scaled": f"{WITH_ENCODED} SELECT rid, {', '.join(f'round({_scaled(c, chr(101) + "ncoded")}, 9) AS {c}' for c in [*FEATURES, 'SourceGeoLat'])}, CAST(0 AS DOUBLE) AS Constant FROM encoded",
         "column_bounds": f"{WITH_ENCODED} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high FROM encoded" for c in [*FEATURES, "ActionGeoLat"]),
         # joins
         "described_events": f"{WITH_RAW}, codes AS (SELECT {LOOKUP_CODE.replace('string', 'varchar')} AS code, p_name AS description FROM part) SELECT rid, CAMEOCode, c.description, r.description AS root_description FROM raw LEFT JOIN codes c ON c.code = CAMEOCode LEFT JOIN codes r ON r.code = substr(CAMEOCode, 1, 2)",
-        "salted_lookup": f"{WITH_RAW} SELECT rid, Source, {_rank('Source')} AS code FROM raw",
+        "hot_value_lookup": f"{WITH_RAW} SELECT rid, Source, {_rank('Source')} AS code FROM raw",
         # aggregations
         "class_histogram": f"{WITH_VALID} SELECT CAST(c.i AS INTEGER) AS label, count(CAMEOCode) AS n FROM range(23) c(i) LEFT JOIN valid ON CAMEOCode = c.i GROUP BY c.i",
         "correlation_matrix": _correlation(),

@@ -320,11 +320,11 @@ def described_events(spark, sf_dir):
     return lookup.describe_codes(events, code_lookup(spark, sf_dir))
 
 
-def salted_lookup(spark, sf_dir):
+def hot_value_lookup(spark, sf_dir):
     """The way taken by lookups too large to broadcast."""
     events = raw_events(spark, sf_dir).select("rid", "Source")
     dictionary = encoding.fit_dictionary(events, "Source")
-    return lookup.lookup(events, dictionary.table, "Source", "value", broadcast=False, salts=8)
+    return lookup.lookup(events, dictionary.table, "Source", "value", broadcast=False, hot_rows=1000)
 
 
 # --- aggregations -----------------------------------------------------------------------
@@ -537,7 +537,7 @@ QUERIES: dict[str, Query] = {
         rounded_predictions, code_collisions,
         encoded_events, actor_dictionary, large_dictionary, dictionary_encoded, label_index,
         assembled_features, category_index, one_hot_label, min_max_scaled, column_bounds,
-        described_events, salted_lookup,
+        described_events, hot_value_lookup,
         class_histogram, correlation_matrix, feature_scores, binned_feature_scores, top_features,
         distinct_labels, accuracy, mean_score,
         lag_windows, lag_windows_blocks, hot_actor_windows, actor_positions, tail_holdout,

@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.events import root_code
+from eventloom.operators.ordering import HOT_ROWS, group_load, hot_groups
 
 # A lookup table is broadcast up to this many rows and text bytes.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 2**20
-# Copies of a larger table, so that the rows of one hot key spread over as many tasks.
-SALTS = 32
 
-_SALT, _FOUND = "__salt", "__key"
+_FOUND, _HOT = "__key", "__hot"
 
 
 def measure(dim: DataFrame) -> list[Column]:
@@ -35,13 +34,13 @@ def lookup(
     column: str,
     key: str,
     broadcast: bool | None = None,
-    salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left join ``df[column]`` to the unique ``dim[key]``; null matches null.
 
-    A table too large to broadcast is copied ``salts`` times and ``df`` is spread over the
-    copies by a hash of its rows, so a value held by a third of all rows is not one task.
-    ``dim`` is read twice (measured, then joined): pass a stored table.
+    For a table too large to broadcast, the rows of values above ``hot_rows`` rows are split
+    off: they meet a broadcast of just those values' entries, and only the other rows are
+    shuffled. ``dim`` and the column of ``df`` are read more than once: pass stored tables.
     """
     if broadcast is None:
         broadcast = fits_broadcast(dim)
@@ -49,11 +48,16 @@ def lookup(
     matched = F.col(column).eqNullSafe(F.col(_FOUND))
     if broadcast:
         return df.join(F.broadcast(dim), matched, "left").drop(_FOUND)
-    salted = df.withColumn(_SALT, F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    copies = dim.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, matched & (F.col(_SALT) == F.col("__copy")), "left").drop(
-        _FOUND, _SALT, "__copy"
-    )
+    # A stream cannot be counted beforehand.
+    load = None if df.isStreaming else group_load(df, [column])
+    if load is None or load.largest <= hot_rows:
+        return df.join(dim, matched, "left").drop(_FOUND)
+    hot = F.broadcast(hot_groups(df, [column], hot_rows, load.total).withColumnRenamed(column, _HOT))
+    is_hot = F.col(column).eqNullSafe(F.col(_HOT))
+    entries = dim.join(hot, F.col(_FOUND).eqNullSafe(F.col(_HOT)), "left_semi")
+    often = df.join(hot, is_hot, "left_semi").join(F.broadcast(entries), matched, "left")
+    seldom = df.join(hot, is_hot, "left_anti").join(dim, matched, "left")
+    return often.unionByName(seldom).drop(_FOUND)
 
 
 def describe_codes(

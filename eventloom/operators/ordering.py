@@ -49,6 +49,16 @@ def group_load(df: DataFrame, by: Sequence[str]) -> GroupLoad:
     return GroupLoad(row["total"] or 0, row["largest"] or 0)
 
 
+def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int, total: int) -> DataFrame:
+    """The stored list of groups above ``hot_rows`` rows, small enough to broadcast.
+
+    Fewer than ``MAX_HOT_GROUPS`` groups can each hold more than that part of all rows.
+    """
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(_COUNT))
+    threshold = max(hot_rows, total // MAX_HOT_GROUPS)
+    return materialize(counts.where(F.col(_COUNT) > threshold).select(*by), "hot-groups")
+
+
 def group_key(by: Sequence[str]) -> Column:
     """One never-null column that equals for equal groups, nulls included."""
     return F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
@@ -186,14 +196,11 @@ def _with_ranges(
     keyed = df.withColumn(_GROUP, group_key(by))
     if not by:
         return keyed.withColumn(_RANGE, F.coalesce(index, F.lit(0)))
-    # Fewer than MAX_HOT_GROUPS groups can each hold more than total / MAX_HOT_GROUPS rows.
-    threshold = max(hot_rows, load.total // MAX_HOT_GROUPS)
-    counts = keyed.groupBy(_GROUP).agg(F.count(F.lit(1)).alias(_COUNT))
-    hot = counts.where(F.col(_COUNT) > threshold).select(_GROUP, F.lit(True).alias(_IS_HOT))
+    hot = hot_groups(df, by, hot_rows, load.total).select(group_key(by).alias(_GROUP), F.lit(True).alias(_IS_HOT))
     # Never null: a nullable range would be computed once more, to filter the join's keys.
     ranged = F.coalesce(F.when(F.col(_IS_HOT), index), F.lit(0))
     return (
-        keyed.join(F.broadcast(materialize(hot, "hot-groups")), _GROUP, "left")
+        keyed.join(F.broadcast(hot), _GROUP, "left")
         .withColumn(_RANGE, ranged)
         .drop(_IS_HOT)
     )

@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from eventloom.operators import encoding, lookup
+from eventloom.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -51,14 +52,24 @@ def test_unseen_value_gets_null_and_dictionary_reloads(spark, actors, tmp_path):
     assert found == [(False, codes["USA"]), (False, codes[None]), (True, None)]
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_lookup_keeps_every_row_once(spark, actors, broadcast):
+@pytest.mark.parametrize("broadcast,hot_rows", [(True, 1), (False, 10**6), (False, 100), (False, 9)])
+def test_lookup_keeps_every_row_once(spark, actors, broadcast, hot_rows):
     dim = spark.createDataFrame([("USA", "u"), ("N1", "n"), (None, "none")], "value string, note string")
-    found = lookup.lookup(actors, dim, "Source", "value", broadcast, salts=4)
+    found = lookup.lookup(actors, dim, "Source", "value", broadcast, hot_rows)
     assert found.columns == ["rid", "Source", "Target", "note"]
     notes = {"USA": "u", "N1": "n", None: "none"}
     rows = found.collect()
-    assert len(rows) == actors.count() and all(r["note"] == notes.get(r["Source"]) for r in rows)
+    assert sorted(r["rid"] for r in rows) == list(range(3000))
+    assert all(r["note"] == notes.get(r["Source"]) for r in rows)
+
+
+def test_lookup_of_equal_rows(spark, actors):
+    same = actors.select("Source")
+    dim = materialize(encoding.fit_dictionary(same, "Source").table)
+    found = lookup.lookup(same, dim, "Source", "value", broadcast=False, hot_rows=500)
+    expected = dict(same.groupBy("Source").count().collect())
+    assert dict(found.groupBy("Source").count().collect()) == expected
+    assert found.where("code is null").isEmpty()
 
 
 def test_large_tables_are_not_broadcast(spark):
