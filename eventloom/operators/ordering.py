@@ -13,7 +13,7 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,52 +66,63 @@ def group_key(by: Sequence[str]) -> Column:
 
 @dataclass(frozen=True)
 class KeyRanges:
-    """Sorted split points over the order columns, as literals."""
+    """Sorted split points over the order columns, as literals.
+
+    Keys and points are compared column by column, nulls first, as a sort does. Comparing
+    structs would say the same, at several times the cost.
+    """
 
     order: tuple[str, ...]
-    key_type: T.StructType
+    types: tuple[T.DataType, ...]
     points: tuple[tuple[str | None, ...], ...]
 
-    def key(self) -> Column:
-        return F.struct(*[F.col(c).alias(name) for c, name in zip(self.order, self.key_type.names)])
+    def index(self) -> Column:
+        """Number of split points at or below the row's key, by binary search."""
+        parts = [
+            F.from_json(F.lit(json.dumps([p[i] for p in self.points])), "array<string>").cast(T.ArrayType(dtype))
+            for i, dtype in enumerate(self.types)
+        ]
+        steps = F.lit([1 << i for i in reversed(range(len(self.points).bit_length()))])
+
+        def step_up(low: Column, step: Column) -> Column:
+            middle = low + step
+            # Past the last point there is none to be at or below the key.
+            inside = middle <= len(self.points)
+            reached = self._reached([F.get(part, middle - 1) for part in parts], True)
+            return F.when(inside & reached, middle).otherwise(low)
+
+        return F.aggregate(steps, F.lit(0), step_up)
 
     def from_point(self, i: int) -> Column:
         """Whether the row's key is at or after point ``i``."""
-        return self._beside(i, lambda key, point: key >= point, nulls=False)
+        return self._reached(self._point(i), True) & self._first_column(i, after=True)
 
     def before_point(self, i: int) -> Column:
-        return self._beside(i, lambda key, point: key < point, nulls=True)
+        return ~self._reached(self._point(i), True) & self._first_column(i, after=False)
 
     def up_to_point(self, i: int) -> Column:
-        return self._beside(i, lambda key, point: key <= point, nulls=True)
-
-    def _beside(self, i: int, holds: Callable[[Column, Column], Column], nulls: bool) -> Column:
-        """A comparison of keys and, as file scans skip by single columns, of the first column.
-
-        Nulls come first in the order, so they are before any point and from none but a null.
-        """
-        whole = holds(self.key(), F.get(self._literals(), F.lit(i)))
+        return ~self._reached(self._point(i), False) & self._first_column(i, after=False)
+
+    def _point(self, i: int) -> list[Column]:
+        return [F.lit(v).cast(dtype) for v, dtype in zip(self.points[i], self.types)]
+
+    def _reached(self, point: Sequence[Column], if_equal: bool) -> Column:
+        """Whether the row's key is after the point, or ``if_equal`` where they are the same."""
+        reached = F.lit(if_equal)
+        for i, (column, value) in reversed(list(enumerate(zip(self.order, point)))):
+            key = F.col(column)
+            after = value < key
+            if any(p[i] is None for p in self.points):
+                after = after | (value.isNull() & key.isNotNull())
+            reached = F.when(after, F.lit(True)).when(value.eqNullSafe(key), reached).otherwise(F.lit(False))
+        return reached
+
+    def _first_column(self, i: int, after: bool) -> Column:
+        """What the comparison says of the first column alone: a condition file scans can use."""
         if self.points[i][0] is None:
-            return whole
-        first, bound = F.col(self.order[0]), F.lit(self.points[i][0]).cast(self.key_type[0].dataType)
-        return whole & ((first.isNull() | (first <= bound)) if nulls else (first >= bound))
-
-    def _literals(self) -> Column:
-        """The points as one array the optimizer folds into a literal."""
-        text = json.dumps([dict(zip(self.key_type.names, p)) for p in self.points])
-        texts = ", ".join(f"{name}: string" for name in self.key_type.names)
-        return F.from_json(F.lit(text), f"array<struct<{texts}>>").cast(T.ArrayType(self.key_type))
-
-    def index(self) -> Column:
-        """Number of split points at or below the row's key, by binary search."""
-        points = self._literals()
-        steps = F.lit([1 << i for i in reversed(range(len(self.points).bit_length()))])
-        key = self.key()
-        return F.aggregate(
-            steps,
-            F.lit(0),
-            lambda low, step: F.when(F.get(points, low + step - 1) <= key, low + step).otherwise(low),
-        )
+            return F.lit(True)
+        first, bound = F.col(self.order[0]), self._point(i)[0]
+        return first >= bound if after else first.isNull() | (first <= bound)
 
 
 def key_ranges(df: DataFrame, order: Sequence[str], total: int, splits: int) -> KeyRanges:
@@ -135,7 +146,7 @@ def key_ranges(df: DataFrame, order: Sequence[str], total: int, splits: int) ->
     )
     step = -(-len(sample) // splits) or 1
     points = tuple(tuple(p) for p in sample[step - 1 :: step])
-    return KeyRanges(tuple(order), _key_type(df, order), points)
+    return KeyRanges(tuple(order), _types(df, order), points)
 
 
 def splits_for(total: int, hot_rows: int) -> int:
@@ -143,8 +154,8 @@ def splits_for(total: int, hot_rows: int) -> int:
     return max(2, min(MAX_SPLITS, -(-4 * total // max(hot_rows, 1))))
 
 
-def _key_type(df: DataFrame, order: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(order)])
+def _types(df: DataFrame, order: Sequence[str]) -> tuple[T.DataType, ...]:
+    return tuple(df.schema[c].dataType for c in order)
 
 
 def number_rows(
@@ -235,4 +246,4 @@ def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
             keys = keys.where(ranges.before_point(i))
     last = keys.orderBy(*order).limit(wanted).orderBy(*[F.desc(c) for c in order]).limit(1)
     edge = tuple(last.select(*[F.col(c).cast("string") for c in order]).first())
-    return df.where(KeyRanges(tuple(order), _key_type(df, order), (edge,)).up_to_point(0))
+    return df.where(KeyRanges(tuple(order), _types(df, order), (edge,)).up_to_point(0))
