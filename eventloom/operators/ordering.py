@@ -68,8 +68,7 @@ def group_key(by: Sequence[str]) -> Column:
 class KeyRanges:
     """Sorted split points over the order columns, as literals.
 
-    Keys and points are compared column by column, nulls first, as a sort does. Comparing
-    structs would say the same, at several times the cost.
+    Keys and points are compared column by column, nulls first, as a sort does.
     """
 
     order: tuple[str, ...]
@@ -78,6 +77,8 @@ class KeyRanges:
 
     def index(self) -> Column:
         """Number of split points at or below the row's key, by binary search."""
+        if not self.points:
+            return F.lit(0)
         parts = [
             F.from_json(F.lit(json.dumps([p[i] for p in self.points])), "array<string>").cast(T.ArrayType(dtype))
             for i, dtype in enumerate(self.types)
@@ -133,7 +134,7 @@ def key_ranges(df: DataFrame, order: Sequence[str], total: int, splits: int) ->
     """
     if any(df.schema[c].dataType == T.BinaryType() for c in order):
         raise ValueError("binary order columns cannot be split; order by their hex text")
-    wanted = _SAMPLE_FACTOR * splits
+    wanted = max(_SAMPLE_FACTOR * splits, 100)
     share = min(_HASH_RANGE, int(_HASH_RANGE * wanted / max(total, 1)) + 1)
     sample = (
         df.select(*order)
