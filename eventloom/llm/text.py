@@ -142,16 +142,22 @@ class Words:
         return at[self.first[1:][self.owner()[at]] - at >= width] if len(at) else at
 
 
+def spans(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about so many bytes of text together; one row at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    total, at = np.cumsum(sizes), 0
+    while at < len(texts):
+        before = total[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(total, before + most_bytes, "right")))
+        yield at, stop
+        at = stop
+
+
 def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about so many bytes of text; one row at least."""
+    """The same rows in slices of about so many bytes of text."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        total, at = np.cumsum(sizes), 0
-        while at < batch.num_rows:
-            before = total[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(total, before + most_bytes, "right")))
-            yield batch.slice(at, stop - at)
-            at = stop
+        for low, high in spans(batch.column(column), most_bytes):
+            yield batch.slice(low, high - low)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
