@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe_codec, decontamination, licenses, quality, secrets, token_counts
+from eventloom.llm import bpe_codec, decontamination, embedding_dedup, licenses, minhash, quality, secrets, token_counts
 from eventloom.llm.text import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +24,18 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=3, threshold=85)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -40,9 +48,55 @@ QUERIES: dict[str, Query] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_license_scan": op4_license_scan,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_decontamination": op6_decontamination,
+    "op8_minhash": op8_minhash,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP5_SQL = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v,
+           label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+               AND len(list_filter(embedding, x -> x <> 0)) > 0 AS usable
+    FROM embeddings
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE CASE WHEN a.usable AND b.usable AND len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.98 ELSE false END
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION
+    SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT r.a AS vec_id, any_value(coalesce(n.n, 0))::BIGINT AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON r.a = n.a GROUP BY r.a
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')))
+                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+    FROM words
+), shingles AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common
+    FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+    WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id
+), links AS (
+    SELECT a, b FROM pairs WHERE 100 * common >= 85 * (n + m - common)
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION
+    SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON s.doc_id = c.a
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op8_minhash": OP8_SQL}
