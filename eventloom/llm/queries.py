@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe_codec, decontamination, embedding_dedup, licenses, minhash, quality, secrets, token_counts
+from eventloom.llm import bpe_codec, decontamination, embedding_dedup, licenses, minhash, quality, secrets, substring_dedup, token_counts
 from eventloom.llm.text import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(read_table(spark, sf_dir, "documents"), width=13, digest=True)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(read_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_license_scan": op4_license_scan,
@@ -55,6 +60,25 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
 }
 
+OP1_SQL = r"""
+WITH words AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+), windows AS (
+    SELECT doc_id, p, sha256(array_to_string(w[p:p + 12], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM words)
+), least AS (
+    SELECT s, min(doc_id) AS d FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)
+), gone AS (
+    SELECT DISTINCT doc_id, p + k AS p FROM windows JOIN least USING (s), (SELECT unnest(range(13)) AS k) WHERE d < doc_id
+), removed AS (
+    SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+), numbered AS (
+    SELECT doc_id, len(w) AS n_words, w, coalesce(ps, []) AS ps FROM words LEFT JOIN removed USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, len(ps)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(w, (x, i) -> NOT list_contains(ps, i)), ' ')) AS kept_sha256
+FROM numbered
+"""
+
 OP5_SQL = """
 WITH RECURSIVE vectors AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS v,
@@ -99,4 +123,4 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.co
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON s.doc_id = c.a
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op8_minhash": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op8_minhash": OP8_SQL}
