@@ -111,3 +111,18 @@ def digests(documents: DataFrame, rank_file: str = RANK_FILE) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_data, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
+
+
+def encoded_documents(documents: DataFrame, rank_file: str = RANK_FILE) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and whether the ids decode to the text's bytes."""
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
+
+    @F.arrow_udf(kind)
+    def both(texts: pa.Array) -> pa.Array:
+        given = [t or "" for t in texts.to_pylist()]
+        ids = [encode(t, rank_file) for t in given]
+        exact = [decode(i, rank_file) == t.encode() for i, t in zip(ids, given)]
+        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], ["ids", "exact"])
+
+    encoded = documents.select("doc_id", "lang", "source", both("text").alias("e"))
+    return encoded.select("doc_id", "lang", "source", F.size("e.ids").cast("long").alias("n_tokens"), "e.ids", "e.exact")

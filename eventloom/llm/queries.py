@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe_codec, decontamination, embedding_dedup, licenses, minhash, quality, secrets, substring_dedup, token_counts
+from eventloom.llm import bpe_codec, decontamination, embedding_dedup, licenses, minhash, pitman_yor, quality, secrets, substring_dedup, token_counts
 from eventloom.llm.text import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=3, threshold=85)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op4_license_scan": op4_license_scan,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_pitman_yor": op7_pitman_yor,
     "op8_minhash": op8_minhash,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
