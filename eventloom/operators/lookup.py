@@ -12,7 +12,10 @@ from eventloom.operators.ordering import HOT_ROWS, group_load, hot_groups
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 2**20
 
-_FOUND, _HOT = "__key", "__hot"
+# Rows of one hot value are dealt out to at most this many tasks.
+MAX_SALTS = 10_000
+
+_FOUND, _HOT, _SALT, _AT = "__key", "__hot", "__salt", "__salt_of"
 
 
 def measure(dim: DataFrame) -> list[Column]:
@@ -38,12 +41,17 @@ def lookup(
 ) -> DataFrame:
     """Left join ``df[column]`` to the unique ``dim[key]``; null matches null.
 
-    For a table too large to broadcast, the rows of values above ``hot_rows`` rows are split
-    off: they meet a broadcast of just those values' entries, and only the other rows are
-    shuffled. ``dim`` and the column of ``df`` are read more than once: pass stored tables.
+    Whether a table may be broadcast, and whether its keys are unique, is measured unless
+    ``broadcast`` says it. In a join by shuffle, rows of values above ``hot_rows`` rows are
+    dealt out by a salt that each of those values' entries has in all its values. The salt
+    is a hash of the row, so a recomputed task deals as the lost one did. ``df`` is read
+    twice then, for the counts and for the join.
     """
     if broadcast is None:
         broadcast = fits_broadcast(dim)
+        repeated = dim.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if not repeated.isEmpty():
+            raise ValueError(f"{key} is not unique in the table that is looked up")
     dim = dim.withColumnRenamed(key, _FOUND)
     matched = F.col(column).eqNullSafe(F.col(_FOUND))
     if broadcast:
@@ -52,12 +60,16 @@ def lookup(
     load = None if df.isStreaming else group_load(df, [column])
     if load is None or load.largest <= hot_rows:
         return df.join(dim, matched, "left").drop(_FOUND)
-    hot = F.broadcast(hot_groups(df, [column], hot_rows, load.total).withColumnRenamed(column, _HOT))
-    is_hot = F.col(column).eqNullSafe(F.col(_HOT))
-    entries = dim.join(hot, F.col(_FOUND).eqNullSafe(F.col(_HOT)), "left_semi")
-    often = df.join(hot, is_hot, "left_semi").join(F.broadcast(entries), matched, "left")
-    seldom = df.join(hot, is_hot, "left_anti").join(dim, matched, "left")
-    return often.unionByName(seldom).drop(_FOUND)
+    salts = min(MAX_SALTS, -(-load.largest // hot_rows))
+    hot = hot_groups(df, [column], hot_rows, load).select(F.col(column).alias(_HOT), F.lit(True).alias(_SALT))
+    dealt = df.join(hot, F.col(column).eqNullSafe(F.col(_HOT)), "left")
+    salt = F.when(F.col(_SALT), F.pmod(F.xxhash64(*df.columns), F.lit(salts))).otherwise(0)
+    dealt = dealt.select(*df.columns, F.coalesce(salt, F.lit(0)).alias(_SALT))
+    entries = dim.join(hot, F.col(_FOUND).eqNullSafe(F.col(_HOT)), "left")
+    every = F.when(F.col(_SALT), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    entries = entries.select(*dim.columns, F.explode(every).alias(_AT))
+    joined = dealt.join(entries, matched & (F.col(_SALT) == F.col(_AT)), "left")
+    return joined.drop(_FOUND, _SALT, _AT)
 
 
 def describe_codes(

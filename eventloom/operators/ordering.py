@@ -22,7 +22,7 @@ from eventloom.session import materialize
 
 # Groups up to this size are sorted by one task.
 HOT_ROWS = 5_000_000
-# At most this many groups count as hot, which bounds the broadcast list of them.
+# A list of up to this many hot groups is broadcast; a longer one is joined by shuffle.
 MAX_HOT_GROUPS = 10_000
 MAX_SPLITS = 16_384
 _SAMPLE_FACTOR = 4
@@ -37,26 +37,32 @@ _GROUP, _RANGE, _RANK, _OFFSET, _COUNT, _IS_HOT = "__group", "__range", "__rank"
 
 @dataclass(frozen=True)
 class GroupLoad:
-    """Row count of a table and of its largest group."""
+    """Row count of a table and of its largest group, and the stored counts of all groups."""
 
     total: int
     largest: int
+    counts: DataFrame | None = None
 
 
 def group_load(df: DataFrame, by: Sequence[str]) -> GroupLoad:
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
-    return GroupLoad(row["total"] or 0, row["largest"] or 0)
+    """Counts the groups once; what is needed of them later is read from the stored counts."""
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(_COUNT))
+    if by:
+        counts = materialize(counts, "group-counts")
+    row = counts.agg(F.sum(_COUNT).alias("total"), F.max(_COUNT).alias("largest")).first()
+    return GroupLoad(row["total"] or 0, row["largest"] or 0, counts if by else None)
 
 
-def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int, total: int) -> DataFrame:
-    """The stored list of groups above ``hot_rows`` rows, small enough to broadcast.
+def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int, load: GroupLoad) -> DataFrame:
+    """All groups above ``hot_rows`` rows, whatever the size of the table.
 
-    Fewer than ``MAX_HOT_GROUPS`` groups can each hold more than that part of all rows.
+    The list is broadcast if it has been counted to be short.
     """
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(_COUNT))
-    threshold = max(hot_rows, total // MAX_HOT_GROUPS)
-    return materialize(counts.where(F.col(_COUNT) > threshold).select(*by), "hot-groups")
+    counts = load.counts
+    if counts is None:
+        counts = materialize(df.groupBy(*by).agg(F.count(F.lit(1)).alias(_COUNT)), "group-counts")
+    hot = counts.where(F.col(_COUNT) > hot_rows).select(*by)
+    return F.broadcast(hot) if hot.count() <= MAX_HOT_GROUPS else hot
 
 
 def group_key(by: Sequence[str]) -> Column:
@@ -68,7 +74,8 @@ def group_key(by: Sequence[str]) -> Column:
 class KeyRanges:
     """Sorted split points over the order columns, as literals.
 
-    Keys and points are compared column by column, nulls first, as a sort does.
+    Keys and points are compared column by column, nulls first, as a sort does. Points are
+    text; a timestamp's is its microseconds since 1970, as local times are not unique.
     """
 
     order: tuple[str, ...]
@@ -80,7 +87,7 @@ class KeyRanges:
         if not self.points:
             return F.lit(0)
         parts = [
-            F.from_json(F.lit(json.dumps([p[i] for p in self.points])), "array<string>").cast(T.ArrayType(dtype))
+            _typed(F.from_json(F.lit(json.dumps([p[i] for p in self.points])), "array<string>"), dtype)
             for i, dtype in enumerate(self.types)
         ]
         steps = F.lit([1 << i for i in reversed(range(len(self.points).bit_length()))])
@@ -101,11 +108,14 @@ class KeyRanges:
     def before_point(self, i: int) -> Column:
         return ~self._reached(self._point(i), True) & self._first_column(i, after=False)
 
-    def up_to_point(self, i: int) -> Column:
-        return ~self._reached(self._point(i), False) & self._first_column(i, after=False)
+    def at_point(self, i: int) -> Column:
+        same = F.lit(True)
+        for column, value in zip(self.order, self._point(i)):
+            same = same & F.col(column).eqNullSafe(value)
+        return same
 
     def _point(self, i: int) -> list[Column]:
-        return [F.lit(v).cast(dtype) for v, dtype in zip(self.points[i], self.types)]
+        return [F.get(_typed(F.array(F.lit(v)), dtype), F.lit(0)) for v, dtype in zip(self.points[i], self.types)]
 
     def _reached(self, point: Sequence[Column], if_equal: bool) -> Column:
         """Whether the row's key is after the point, or ``if_equal`` where they are the same."""
@@ -126,6 +136,17 @@ class KeyRanges:
         return first >= bound if after else first.isNull() | (first <= bound)
 
 
+def _text(column: str, dtype: T.DataType) -> Column:
+    return (F.unix_micros(column) if isinstance(dtype, T.TimestampType) else F.col(column)).cast("string").alias(column)
+
+
+def _typed(texts: Column, dtype: T.DataType) -> Column:
+    """An array of points as text, in the order column's type."""
+    if isinstance(dtype, T.TimestampType):
+        return F.transform(texts.cast("array<bigint>"), F.timestamp_micros)
+    return texts.cast(T.ArrayType(dtype))
+
+
 def key_ranges(df: DataFrame, order: Sequence[str], total: int, splits: int) -> KeyRanges:
     """At most ``splits`` split points, drawn by hash so that every run draws the same ones.
 
@@ -142,7 +163,7 @@ def key_ranges(df: DataFrame, order: Sequence[str], total: int, splits: int) ->
         .distinct()
         .limit(2 * wanted)
         .orderBy(*order)
-        .select(*[F.col(c).cast("string") for c in order])
+        .select(*[_text(c, dtype) for c, dtype in zip(order, _types(df, order))])
         .collect()
     )
     step = -(-len(sample) // splits) or 1
@@ -208,43 +229,65 @@ def _with_ranges(
     keyed = df.withColumn(_GROUP, group_key(by))
     if not by:
         return keyed.withColumn(_RANGE, F.coalesce(index, F.lit(0)))
-    hot = hot_groups(df, by, hot_rows, load.total).select(group_key(by).alias(_GROUP), F.lit(True).alias(_IS_HOT))
+    hot = hot_groups(df, by, hot_rows, load).select(group_key(by).alias(_GROUP), F.lit(True).alias(_IS_HOT))
     # Never null: a nullable range would be computed once more, to filter the join's keys.
     ranged = F.coalesce(F.when(F.col(_IS_HOT), index), F.lit(0))
     return (
-        keyed.join(F.broadcast(hot), _GROUP, "left")
+        keyed.join(hot, _GROUP, "left")
         .withColumn(_RANGE, ranged)
         .drop(_IS_HOT)
     )
 
 
-def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows by ``order``, whose values must be unique.
+def head(
+    df: DataFrame, order: Sequence[str], n: int, top_n: int | None = None, sort_rows: int | None = None
+) -> DataFrame:
+    """The first ``n`` rows by ``order``, in that order. Of rows that tie at the edge, any stay.
 
-    A small ``n`` is a top-n. For a large one the order key of the last wanted row is
-    narrowed down range by range, and the result is a filter: the other columns of the
-    table are neither sorted nor shuffled.
+    Up to ``top_n`` rows are a top-n. For more, the order key of the last wanted row is
+    narrowed down range by range until a range has ``sort_rows`` rows or few keys, and the
+    result is a filter: the other columns are not shuffled to find it.
     """
-    if n <= TOP_N:
+    top_n, sort_rows = (TOP_N if top_n is None else top_n), (SORT_ROWS if sort_rows is None else sort_rows)
+    if n <= top_n:
         return df.orderBy(*order).limit(n)
     keys, wanted = df.select(*order), n
     total = keys.count()
     if wanted >= total:
-        return df
-    while total > SORT_ROWS:
-        ranges = key_ranges(keys, order, total, splits_for(total, SORT_ROWS))
+        return df.orderBy(*order)
+    while total > sort_rows:
+        ranges = key_ranges(keys, order, total, splits_for(total, sort_rows))
         sizes = keys.groupBy(ranges.index().alias("i")).agg(F.count(F.lit(1)).alias("n"))
         for row in sizes.orderBy("i").collect():
             if wanted <= row["n"]:
                 break
             wanted -= row["n"]
-        if row["n"] == total:
-            raise ValueError(f"order columns {list(order)} do not tell the rows apart")
-        i, total = row["i"], row["n"]
+        i, before, total = row["i"], total, row["n"]
         if i > 0:
             keys = keys.where(ranges.from_point(i - 1))
         if i < len(ranges.points):
             keys = keys.where(ranges.before_point(i))
-    last = keys.orderBy(*order).limit(wanted).orderBy(*[F.desc(c) for c in order]).limit(1)
-    edge = tuple(last.select(*[F.col(c).cast("string") for c in order]).first())
-    return df.where(KeyRanges(tuple(order), _types(df, order), (edge,)).up_to_point(0))
+        if total == before:
+            break  # so few keys that none was drawn as a split point
+    # One row per key: as many as ``sort_rows``, or the few keys that many rows share.
+    so_far = F.sum(_COUNT).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    counts = keys.groupBy(*order).agg(F.count(F.lit(1)).alias(_COUNT)).withColumn(_OFFSET, so_far)
+    reached = counts.where(F.col(_OFFSET) >= wanted).orderBy(_OFFSET)
+    texts = [_text(c, dtype) for c, dtype in zip(order, _types(df, order))]
+    *edge, count, offset = reached.select(*texts, _COUNT, _OFFSET).first()
+    point = KeyRanges(tuple(order), _types(df, order), (tuple(edge),))
+    wanted -= offset - count
+    tied = df.where(point.at_point(0))
+    if wanted < count:
+        tied = _any_rows(tied, wanted, count, top_n, sort_rows)
+    return df.where(point.before_point(0)).union(tied).orderBy(*order)
+
+
+def _any_rows(tied: DataFrame, n: int, total: int, top_n: int, sort_rows: int) -> DataFrame:
+    """``n`` of rows that tie, the first by a hash of the row; rows of one hash are taken as equal."""
+    if n <= sort_rows:
+        return tied.limit(n)
+    hashed = tied.withColumn(_RANK, F.xxhash64(*tied.columns))
+    if hashed.select(_RANK).distinct().limit(2).count() == 1:
+        return tied.limit(n)
+    return head(hashed, [_RANK], n, top_n, sort_rows).drop(_RANK)

@@ -35,9 +35,10 @@ def lag_windows(
     ``window`` (``look_back`` x features, oldest first, the row itself excluded) and
     ``label``. ``order`` must be unique per actor.
 
-    Actors up to ``hot_rows`` rows are one window partition each. Where one is larger, all
-    sequences are cut into blocks of ``block_rows`` and each block also gets the last
-    ``look_back`` rows of the block before it.
+    Actors up to ``block_rows`` rows are one window partition each. Where one is larger, all
+    sequences are cut into blocks of that size and each block also gets the last
+    ``look_back`` rows of the block before it. Rows of actors above ``hot_rows`` rows are
+    numbered by more than one task.
     """
     load = load or group_load(df, by)
     vector = F.array(*[F.col(c).cast("double") for c in features])
@@ -45,7 +46,7 @@ def lag_windows(
     rows = df.select(*keys, vector.alias(_VECTOR), F.col(label).alias(_LABEL))
     output = [*keys, "seq", "window", F.col(_LABEL).alias("label")]
 
-    if load.largest <= hot_rows:
+    if load.largest <= block_rows:
         ordered = W.partitionBy(*by).orderBy(*order)
         rows = rows.withColumns(
             {

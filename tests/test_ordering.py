@@ -57,11 +57,51 @@ def test_head(events, rows, n, monkeypatch):
     ][:n]
 
 
-def test_head_refuses_an_ambiguous_order(events, monkeypatch):
-    monkeypatch.setattr(ordering, "TOP_N", 0)
-    monkeypatch.setattr(ordering, "SORT_ROWS", 50)
-    with pytest.raises(ValueError, match="tell the rows apart"):
-        ordering.head(events, ["day"], 1200)
+@pytest.mark.parametrize("n", [9_000, 10_000, 10_001, 14_999, 15_000])
+def test_head_of_ties_has_n_rows_at_every_size(spark, n):
+    df = spark.range(15_000).select((F.col("id") % 3).alias("k"), "id")
+    for sort_rows in (50, 12_000):
+        found = ordering.head(df, ["k"], n, sort_rows=sort_rows)
+        assert found.select("id").distinct().count() == n
+        assert {r["k"]: r["count"] for r in found.groupBy("k").count().collect()} == {
+            k: min(5000, n - 5000 * k) for k in range(3) if n > 5000 * k
+        }
+        assert [r["k"] for r in found.collect()] == sorted(r["k"] for r in found.collect())
+
+
+def test_head_of_equal_rows(spark):
+    df = spark.range(3000).select(F.lit(1).alias("k"), F.lit("x").alias("v"))
+    assert ordering.head(df, ["k"], 2000, top_n=0, sort_rows=100).count() == 2000
+
+
+def test_head_of_times_when_clocks_change(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        # Every second of the nights in which an hour comes twice or never.
+        start = F.when(F.col("id") < 15_000, F.lit(1_635_634_800)).otherwise(F.lit(1_616_880_000))
+        df = spark.range(30_000).select("id", F.timestamp_seconds(start + F.col("id") % 15_000).alias("ts"))
+        by_time = [r["id"] for r in df.orderBy("ts").collect()]
+        for n in (19_900, 20_500, 29_999):
+            found = ordering.head(df, ["ts"], n, top_n=10, sort_rows=1000)
+            assert [r["id"] for r in found.collect()] == by_time[:n]
+        numbered = ordering.number_rows(df, [], ["ts"], hot_rows=1000)
+        assert [r["id"] for r in numbered.orderBy("seq").collect()] == by_time
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_every_group_above_the_limit_is_split(spark, monkeypatch):
+    """However many there are, and however long the list of them."""
+    monkeypatch.setattr(ordering, "MAX_HOT_GROUPS", 3)
+    df = spark.range(4000).select("id", (F.col("id") % 20).alias("g"))
+    load = ordering.group_load(df, ["g"])
+    assert ordering.hot_groups(df, ["g"], 100, load).count() == 20
+    ranged = ordering._with_ranges(df, ["g"], ["id"], 100, load, None)
+    largest = ranged.groupBy("__group", "__range").count().agg(F.max("count")).first()[0]
+    assert largest <= 100
+    found = {r["id"]: r["seq"] for r in ordering.number_rows(df, ["g"], ["id"], hot_rows=100).collect()}
+    assert found == {i: i // 20 for i in range(4000)}
 
 
 def test_head_with_nulls_first(spark, monkeypatch):
