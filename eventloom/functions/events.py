@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventloom.schemas import CODE_CLASSES
+from eventloom.schemas import CODE_CLASSES, MISSING_TEXTS
 
 
 def _column(c: Column | str) -> Column:
@@ -33,7 +33,8 @@ def lenient_number(text: Column | str, dtype: str = "double") -> Column:
     The cast alone would read a type suffix ("1d", "2.5f") as part of the number.
     """
     text = _column(text).cast("string")
-    return F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text.try_cast("double")).try_cast(dtype)
+    number = F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text.try_cast("double"))
+    return F.nanvl(number, F.lit(None).cast("double")).try_cast(dtype)
 
 
 def lenient_int(text: Column | str) -> Column:
@@ -46,14 +47,25 @@ def event_class(code: Column | str) -> Column:
     return lenient_int(root_code(recode_event_code(code)))
 
 
+def missing_as_null(value: Column | str) -> Column:
+    """The number as a double; NaN is a missing one."""
+    return F.nanvl(_column(value).cast("double"), F.lit(None).cast("double"))
+
+
+def missing_text_as_null(value: Column | str) -> Column:
+    """The text, or null where it spells a missing value."""
+    value = _column(value)
+    return F.when(~value.isin(MISSING_TEXTS), value)
+
+
 def strict_int(value: Column | str) -> Column:
-    """Integer value, null as 0; malformed text raises."""
-    return F.coalesce(_column(value).cast("double").cast("int"), F.lit(0))
+    """Integer value, missing as 0; malformed text raises."""
+    return F.coalesce(missing_as_null(value).cast("int"), F.lit(0))
 
 
 def degree_bucket(degrees: Column | str) -> Column:
-    """Whole degrees, truncated toward zero, null as 0."""
-    return F.coalesce(_column(degrees).cast("int"), F.lit(0))
+    """Whole degrees, truncated toward zero, missing as 0."""
+    return F.coalesce(missing_as_null(degrees).cast("int"), F.lit(0))
 
 
 def month_of(date: Column | str) -> Column:

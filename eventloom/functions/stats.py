@@ -23,19 +23,11 @@ def digest_limit(share: float) -> str:
 
 
 def correlation(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
-    """Pearson correlation from counts, sums and sums of products; null if a side is constant.
-
-    A variance that is only the rounding error of its two terms counts as zero.
-    """
-    var_x, var_y = _variance(n, x, xx), _variance(n, y, yy)
+    """Pearson correlation from counts, sums and sums of products of values near their means."""
+    var_x, var_y = xx / n - (x / n) * (x / n), yy / n - (y / n) * (y / n)
     return F.try_divide(xy / n - x / n * (y / n), F.sqrt(var_x) * F.sqrt(var_y))
 
 
-def _variance(n: Column, x: Column, xx: Column) -> Column:
-    variance = xx / n - (x / n) * (x / n)
-    return F.when(variance > xx / n * 1e-12, variance)
-
-
 def n_log_n(n: Column) -> Column:
     """``n ln n``, the term entropies of counts are sums of."""
     return n * F.log(n.cast("double"))

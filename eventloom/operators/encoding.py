@@ -20,6 +20,7 @@ from eventloom.functions.events import (
     degree_bucket,
     event_class,
     lenient_number,
+    missing_as_null,
     month_of,
     recode_event_code,
     root_code,
@@ -28,7 +29,7 @@ from eventloom.functions.events import (
 )
 from eventloom.operators.lookup import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, lookup, measure
 from eventloom.operators.ordering import HOT_ROWS, GroupLoad, number_rows
-from eventloom.schemas import ACTORS, CODE_CLASSES, GEO_LATITUDES, GEO_TYPES, LABEL, NUM_CLASSES
+from eventloom.schemas import ACTORS, CODE_CLASSES, GEO_DEGREES, GEO_LATITUDES, GEO_TYPES, LABEL, NUM_CLASSES
 from eventloom.session import materialize
 
 
@@ -39,6 +40,7 @@ def encode_fields(events: DataFrame) -> DataFrame:
         "QuadClass": lenient_number("QuadClass", "int"),
         "Goldstein": lenient_number("Goldstein"),
         **{c: strict_int(c) for c in GEO_TYPES},
+        **{c: missing_as_null(c) for c in GEO_DEGREES},
         **{f"{c}Int": degree_bucket(c) for c in GEO_LATITUDES},
         "Month": month_of("Date"),
         "Year": year_of("Date"),
@@ -194,17 +196,17 @@ class MinMaxScale:
 
     def _scaled(self, column: str):
         low, high = self.bounds[column]
-        value = F.col(column).cast("double")
+        value = missing_as_null(column)
         if low is None or low == high:
             return F.when(value.isNotNull(), F.lit(0.0))
         return (value - F.lit(low)) / F.lit(high - low)
 
 
 def column_bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Minimum and maximum per column, one row per column, from one pass over the table."""
+    """Minimum and maximum of the values present, one row per column, from one pass over the table."""
     stats = df.agg(
-        *[F.min(F.col(c).cast("double")).alias(f"min_{i}") for i, c in enumerate(columns)],
-        *[F.max(F.col(c).cast("double")).alias(f"max_{i}") for i, c in enumerate(columns)],
+        *[F.min(missing_as_null(c)).alias(f"min_{i}") for i, c in enumerate(columns)],
+        *[F.max(missing_as_null(c)).alias(f"max_{i}") for i, c in enumerate(columns)],
     )
     rows = F.array(
         *[
@@ -220,6 +222,6 @@ def fit_min_max(df: DataFrame, columns: Sequence[str]) -> MinMaxScale:
     return MinMaxScale({r["feature"]: (r["low"], r["high"]) for r in column_bounds(df, columns).collect()})
 
 
-def min_max_scale(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """Scale columns to [0, 1] by the bounds of ``fit_on``, or of the whole table."""
-    return fit_min_max(df if fit_on is None else fit_on, columns).transform(df)
+def min_max_scale(df: DataFrame, columns: Sequence[str], fit_on: DataFrame) -> DataFrame:
+    """Scale columns to [0, 1] by the bounds of ``fit_on``: the training part, or the whole table."""
+    return fit_min_max(fit_on, columns).transform(df)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions.events import missing_as_null
 from eventloom.functions.stats import correlation, n_log_n
 from eventloom.operators.cleaning import feature_columns
 from eventloom.operators.encoding import fit_min_max
@@ -16,6 +18,8 @@ from eventloom.schemas import LABEL, NUM_CLASSES
 
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 _NUMERIC = (*_WHOLE, "float", "double")
+# Columns correlated in one pass over a table.
+PASS_COLUMNS = 16
 
 
 def class_histogram(df: DataFrame, label: str = LABEL, classes: int = NUM_CLASSES) -> DataFrame:
@@ -32,50 +36,73 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation (a, b, r) of all ordered pairs, over rows where both are present.
 
-    A constant column has no correlation (null), not even with itself. One pass sums values
-    and products per pattern of present columns; the rows of a pair are those of the
-    patterns that have both. Values are shifted by a typical one first, for precision.
+    A column that is constant over those rows has no correlation (null), not even with itself;
+    NaN is a missing value. A first pass takes the means, which are taken off for precision.
+    Then sums and products are added up per pattern of present columns; the rows of a pair are
+    those of the patterns that have both. A pass has at most ``PASS_COLUMNS`` columns, so at
+    most 2 to their number of patterns; more columns are taken in pairs of blocks.
     """
     columns = list(columns or numeric_columns(df))
-    if len(columns) > 62:
-        raise ValueError("at most 62 columns fit the pattern of present columns")
-    pairs = {pair: k for k, pair in enumerate(combinations_with_replacement(range(len(columns)), 2))}
-    shift = df.limit(1000).agg(*[F.median(c).alias(c) for c in columns]).first()
-    shifted = [F.col(c).cast("double") - F.lit(shift[c] or 0.0) for c in columns]
-    present = sum((F.when(F.col(c).isNull(), 0).otherwise(1 << i) for i, c in enumerate(columns)), F.lit(0))
-    values = [f"v{i}" for i in range(len(columns))]
+    values = df.select(*[missing_as_null(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    means = values.agg(*[F.avg(v).alias(v) for v in values.columns]).first()
+    centred = values.select(*[(F.col(v) - F.lit(means[v] or 0.0)).alias(v) for v in values.columns])
+    passes = _passes(len(columns))
+    one_way = reduce(DataFrame.union, [_correlations(centred, columns, pairs) for pairs in passes])
+    other_way = one_way.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
+    return one_way.union(other_way)
+
+
+def _passes(columns: int) -> list[list[tuple[int, int]]]:
+    """All pairs i <= j, in lists whose columns are at most ``PASS_COLUMNS``."""
+    size = PASS_COLUMNS if columns <= PASS_COLUMNS else PASS_COLUMNS // 2
+    last = (columns - 1) // size
+    passes: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, j in combinations_with_replacement(range(columns), 2):
+        x, y = i // size, j // size
+        if x == y:  # goes with a pass that has the block anyway
+            x, y = (x, x + 1) if x < last else (max(x - 1, 0), x)
+        passes.setdefault((x, y), []).append((i, j))
+    return list(passes.values())
+
+
+def _correlations(centred: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    members = sorted({i for pair in pairs for i in pair})
+    place = {i: at for at, i in enumerate(members)}
+    products = {pair: k for k, pair in enumerate(dict.fromkeys([*pairs, *((i, i) for i in members)]))}
+    values = [f"v{i}" for i in members]
+    present = sum((F.when(F.col(v).isNull(), 0).otherwise(1 << at) for at, v in enumerate(values)), F.lit(0))
     sums = (
-        df.select(
-            present.cast("bigint").alias("present"),
-            *[F.coalesce(x, F.lit(0.0)).alias(v) for x, v in zip(shifted, values)],
-        )
+        centred.select(present.cast("bigint").alias("present"), *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
         .groupBy("present")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.array(*[F.sum(v) for v in values]).alias("x"),
-            F.array(*[F.sum(F.col(values[i]) * F.col(values[j])) for i, j in pairs]).alias("xx"),
+            F.array(*[F.min(v) for v in values]).alias("low"),
+            F.array(*[F.max(v) for v in values]).alias("high"),
+            F.array(*[F.sum(F.col(f"v{i}") * F.col(f"v{j}")) for i, j in products]).alias("xx"),
         )
     )
     cells = [
-        {"a": a, "b": b, "i": i, "j": j, "bits": 1 << i | 1 << j,
-         "ij": pairs[min(i, j), max(i, j)], "ii": pairs[i, i], "jj": pairs[j, j]}
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
+        {"a": columns[i], "b": columns[j], "i": place[i], "j": place[j], "bits": 1 << place[i] | 1 << place[j],
+         "ij": products[i, j], "ii": products[i, i], "jj": products[j, j]}
+        for i, j in pairs
     ]
     cell_type = "array<struct<a: string, b: string, i: int, j: int, bits: bigint, ij: int, ii: int, jj: int>>"
     of_pairs = sums.select("*", F.inline(F.from_json(F.lit(json.dumps(cells)), cell_type)))
     both = F.col("present").bitwiseAND(F.col("bits")) == F.col("bits")
 
-    def total(value: Column) -> Column:
-        return F.sum(F.when(both, value))
+    def over(aggregate: Callable[[Column], Column], array: str, at: str) -> Column:
+        return aggregate(F.when(both, F.get(array, F.col(at))))
+
+    def varies(at: str) -> Column:
+        return over(F.min, "low", at) < over(F.max, "high", at)
 
-    return of_pairs.groupBy("a", "b").agg(
-        correlation(
-            total(F.col("n")),
-            *[total(F.get("x", F.col(at))) for at in ("i", "j")],
-            *[total(F.get("xx", F.col(at))) for at in ("ii", "jj", "ij")],
-        ).alias("r")
+    r = correlation(
+        F.sum(F.when(both, F.col("n"))),
+        *[over(F.sum, "x", at) for at in ("i", "j")],
+        *[over(F.sum, "xx", at) for at in ("ii", "jj", "ij")],
     )
+    return of_pairs.groupBy("a", "b").agg(F.when(varies("i") & varies("j"), r).alias("r"))
 
 
 def feature_scores(

@@ -8,6 +8,7 @@ LABEL = "CAMEOCode"
 ACTORS = ["Source", "Target"]
 GEO_TYPES = ["SourceGeoType", "TargetGeoType", "ActionGeoType"]
 GEO_LATITUDES = ["SourceGeoLat", "TargetGeoLat", "ActionGeoLat"]
+GEO_DEGREES = [f"{place}Geo{kind}" for place in ("Source", "Target", "Action") for kind in ("Lat", "Long")]
 LEAKY = ["QuadClass", "Goldstein"]
 
 # The raw file is typed by position. Everything that is parsed
@@ -34,6 +35,12 @@ RAW = T.StructType(
     ]
 )
 
+# Texts that stand for a missing value in raw files.
+MISSING_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
 # Name for the unnamed eighteenth position some raw files carry.
 EXTRA_COLUMN = "Extra"
 CORRUPT_COLUMN = "_corrupt_record"

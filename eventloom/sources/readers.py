@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.functions.events import missing_as_null, missing_text_as_null
 from eventloom.schemas import CODES, CORRUPT_COLUMN, ENCODED, EXTRA_COLUMN, RAW
 
 
+# Where a fused record of the code lookup starts; the group is its code.
+FUSED_CODE = r"([0-9]{2,4}):\[-?[0-9.]+\]"
+
+
 def raw_schema(extra: bool = False, keep_corrupt: bool = False) -> T.StructType:
     fields = list(RAW.fields)
     if extra:
@@ -40,15 +45,25 @@ def read_events(
 
     A malformed field ends the scan, as a typed load should. With ``keep_corrupt`` the row
     is kept instead, its bad fields null and its text in ``_corrupt_record``.
-    ``extra`` reads files with an eighteenth, unnamed position.
+    ``extra`` reads files with an eighteenth, unnamed position. Fields that spell a missing
+    value are null: any spelling in text, NaN in numbers.
     """
-    return (
+    return without_missing(
         spark.read.schema(raw_schema(extra, keep_corrupt))
         .options(**raw_options(keep_corrupt))
         .csv(path)
     )
 
 
+def without_missing(events: DataFrame) -> DataFrame:
+    """Raw rows as parsed, with missing values as null. Works on streams as well."""
+    kinds = dict(events.dtypes)
+    clean = {"string": missing_text_as_null, "double": missing_as_null}
+    return events.select(
+        *[clean[kinds[c]](c).alias(c) if kinds[c] in clean and c != CORRUPT_COLUMN else F.col(c) for c in events.columns]
+    )
+
+
 _FILE_ORDER_FIELDS = [
     T.StructField("SourceFile", T.StringType()),
     T.StructField("SplitStart", T.LongType()),
@@ -88,8 +103,17 @@ def read_encoded_csv(spark: SparkSession, path: str, columns: Sequence[str] | No
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
-    """Scan the event-code lookup. Codes are text: ``01`` and ``010`` differ."""
-    return spark.read.schema(CODES).options(sep="\t", header="true", quote="").csv(path)
+    """Scan the event-code lookup. Codes are text: ``01`` and ``010`` differ.
+
+    A line may hold further records, each a code, a colon and a number in brackets, right after
+    the description before: they become rows of their own.
+    """
+    lines = spark.read.schema(CODES).options(sep="\t", header="true", quote="").csv(path)
+    parts = F.split("description", FUSED_CODE)
+    codes = F.concat(F.array("code"), F.regexp_extract_all("description", F.lit(FUSED_CODE), 1))
+    split = lines.withColumn("record", F.explode(F.arrays_zip(codes.alias("code"), parts.alias("description"))))
+    whole = lines.where(F.col("description").isNull())
+    return split.select("record.code", F.trim("record.description").alias("description")).union(whole)
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:

@@ -105,7 +105,7 @@ def test_one_hot_has_a_place_for_absent_classes(spark):
 
 def test_scaling_by_training_bounds(spark):
     df = spark.createDataFrame([(1, 5.0, 7), (3, 10.0, 7), (5, None, 7)], "a int, b double, c int")
-    rows = [tuple(r) for r in encoding.min_max_scale(df, ["a", "b", "c"]).orderBy("a").collect()]
+    rows = [tuple(r) for r in encoding.min_max_scale(df, ["a", "b", "c"], fit_on=df).orderBy("a").collect()]
     assert rows == [(0.0, 0.0, 0.0), (0.5, 1.0, 0.0), (1.0, None, 0.0)]
     train = df.where("a < 5")
     beyond = encoding.min_max_scale(df, ["a"], fit_on=train).agg(F.max("a")).first()[0]
@@ -116,3 +116,11 @@ def test_assembling_a_null_raises(spark):
     df = spark.createDataFrame([(1, None)], "a int, b double")
     with pytest.raises(Exception, match="(?i)null"):
         encoding.assemble(df, ["a", "b"]).collect()
+
+
+def test_missing_numbers_do_not_spoil_a_column(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 0.0), (2, nan), (3, 10.0), (4, None), (5, 5.0)], "i int, x double")
+    rows = {r["i"]: r["x"] for r in encoding.min_max_scale(df, ["x"], fit_on=df).collect()}
+    assert rows == {1: 0.0, 2: None, 3: 1.0, 4: None, 5: 0.5}
+    assert encoding.column_bounds(df, ["x"]).first()[1:] == (0.0, 10.0)

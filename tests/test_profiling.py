@@ -54,6 +54,24 @@ def test_correlation_of_a_subset_that_is_constant(spark):
     }
 
 
+def test_correlation_of_far_columns_that_start_late(spark):
+    df = spark.range(20_000).select(
+        "id", F.when(F.col("id") >= 2000, F.col("id") * 1e-3 + 1e9).alias("far"),
+        F.when(F.col("id") % 7 == 0, float("nan")).otherwise(-F.col("id").cast("double")).alias("holes"),
+    )
+    found = {(r["a"], r["b"]): r["r"] for r in profiling.correlation_matrix(df, ["id", "far", "holes"]).collect()}
+    assert found["id", "far"] == pytest.approx(1, abs=1e-6) and found["holes", "far"] == pytest.approx(-1, abs=1e-6)
+    assert len(found) == 9 and found["far", "far"] == pytest.approx(1)
+
+
+def test_correlation_of_many_columns(spark):
+    df = spark.range(50).select(*[((F.col("id") * (i + 3)) % 61).alias(f"c{i}") for i in range(64)])
+    found = {(r["a"], r["b"]): r["r"] for r in profiling.correlation_matrix(df).collect()}
+    expected = df.toPandas().corr()
+    assert len(found) == 4096
+    assert all(found[f"c{i}", f"c{j}"] == pytest.approx(expected.loc[f"c{i}", f"c{j}"]) for i in range(0, 64, 9) for j in range(64))
+
+
 def mutual_information(pairs):
     pairs = [p for p in pairs if None not in p]
     n, joint = len(pairs), Counter(pairs)
