@@ -20,7 +20,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import MinMaxScaler, StringIndexer, StringIndexerModel
+from pyspark.ml.feature import MinMaxScaler, MinMaxScalerModel, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +41,8 @@ BOOSTING = {
 }
 # Fixed value: the least gain of a split, as a sum over the rows of the node.
 MIN_SPLIT_GAIN = 5.0
+# The library defaults of the boosting that is cross-validated.
+DEFAULT_BOOSTING = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": 0}
 # Hidden layers and passes of the dense and of the sequence network.
 HIDDEN_LAYERS = (64, 64)
 DENSE_ITERATIONS = 20
@@ -75,6 +77,13 @@ def boosting_pipeline(
     return Pipeline(stages=[assembler(features), trees])
 
 
+def default_boosting_pipeline(features: Sequence[str], parallelism: int = 4, **overrides: Any) -> Pipeline:
+    """Boosted trees as the library has them by default, for many classes."""
+    return Pipeline(
+        stages=[assembler(features), boosted_trees(parallelism=parallelism, **{**DEFAULT_BOOSTING, **overrides})]
+    )
+
+
 def indexed_boosting_pipeline(
     label_indexer: StringIndexer | StringIndexerModel,
     features: Sequence[str],
@@ -100,9 +109,13 @@ def dense_network_pipeline(
     classes: int = NUM_CLASSES,
     hidden: Sequence[int] = HIDDEN_LAYERS,
     iterations: int = DENSE_ITERATIONS,
+    scaler: MinMaxScaler | MinMaxScalerModel | None = None,
     **parameters: Any,
 ) -> Pipeline:
-    """Scaled features into a feed-forward network; bounds come from the training part."""
+    """Scaled features into a feed-forward network.
+
+    Bounds come from the training part, unless a fitted ``scaler`` (features to scaled) is given.
+    """
     network = MultilayerPerceptronClassifier(
         labelCol="label",
         featuresCol="scaled",
@@ -110,8 +123,11 @@ def dense_network_pipeline(
         maxIter=iterations,
         **{"seed": 0, **parameters},
     )
-    scaler = MinMaxScaler(inputCol="features", outputCol="scaled")
-    return Pipeline(stages=[assembler(features), scaler, network])
+    return Pipeline(stages=[assembler(features), scaler or feature_scaler(), network])
+
+
+def feature_scaler() -> MinMaxScaler:
+    return MinMaxScaler(inputCol="features", outputCol="scaled")
 
 
 def sequence_network_pipeline(
@@ -129,7 +145,7 @@ def sequence_network_pipeline(
         maxIter=iterations,
         **{"seed": 0, **parameters},
     )
-    return Pipeline(stages=[MinMaxScaler(inputCol="features", outputCol="scaled"), network])
+    return Pipeline(stages=[feature_scaler(), network])
 
 
 def score(model: Transformer, df: DataFrame) -> DataFrame:
@@ -199,43 +215,13 @@ def model_summary(model: PipelineModel) -> DataFrame:
 
 
 def training_history(model: PipelineModel) -> DataFrame:
-    """(iteration, objective) of the network that ends the pipeline."""
+    """(iteration, objective) of the network that ends the pipeline: one fit, all its iterations."""
     history = model.stages[-1].summary().objectiveHistory
     return SparkSession.active().createDataFrame(
         [(i, float(v)) for i, v in enumerate(history)], "iteration int, objective double"
     )
 
 
-def epoch_history(
-    network: MultilayerPerceptronClassifier,
-    train: DataFrame,
-    validation: DataFrame,
-    epochs: int = DENSE_ITERATIONS,
-    steps: int = 1,
-) -> tuple[MultilayerPerceptronClassificationModel, DataFrame]:
-    """Train in rounds of ``steps`` and score both parts after each.
-
-    Every round starts from the weights of the one before. Returns the last model and
-    (epoch, loss, accuracy, val_accuracy); only the scores reach the driver.
-    """
-    label, features = network.getLabelCol(), network.getFeaturesCol()
-    both = train.select(label, features, F.lit("train").alias("part")).unionByName(
-        validation.select(label, features, F.lit("validation").alias("part"))
-    )
-    network, rows, model = network.copy(), [], None
-    network.setMaxIter(steps)
-    for epoch in range(1, epochs + 1):
-        if model is not None:
-            network.setInitialWeights(model.weights)
-        model = network.fit(train)
-        parts = accuracy(model.transform(both), label, network.getPredictionCol(), by=["part"])
-        reached = {r["part"]: r["accuracy"] for r in parts.collect()}
-        loss = float(model.summary().objectiveHistory[-1])
-        rows.append((epoch, loss, reached.get("train"), reached.get("validation")))
-    schema = "epoch int, loss double, accuracy double, val_accuracy double"
-    return model, train.sparkSession.createDataFrame(rows, schema)
-
-
 def boosting_history(model: PipelineModel, data: DataFrame, label: str = "label") -> DataFrame:
     """(class, iteration, loss) of each two-class ensemble on ``data``."""
     *before, last = model.stages

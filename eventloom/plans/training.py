@@ -1,7 +1,8 @@
 """Whole training runs: split, fit, predict, score.
 
 Each run stores its model table first. Fitting reads the data many times; it should read a
-narrow table, not repeat the encoding.
+narrow table, not repeat the encoding. Training rows are placed by their key, so that a model
+does not depend on the number of cores.
 """
 
 from __future__ import annotations
@@ -11,28 +12,29 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import DataFrame
 
 from eventloom.operators.cleaning import drop_leaky, feature_columns
-from eventloom.operators.encoding import assemble, fit_label_index, fit_min_max
+from eventloom.operators.encoding import assemble, fit_label_index
 from eventloom.operators.evaluation import accuracy
 from eventloom.operators.models import (
     DENSE_ITERATIONS,
-    HIDDEN_LAYERS,
     boosting_pipeline,
-    epoch_history,
+    default_boosting_pipeline,
+    dense_network_pipeline,
+    feature_scaler,
     fit_with_validation,
     indexed_boosting_pipeline,
     predict,
     sequence_network_pipeline,
+    training_history,
     with_label,
 )
 from eventloom.operators.search import cross_validate
-from eventloom.operators.splits import hashed_folds, holdout_split, random_split
+from eventloom.operators.splits import holdout_split, random_split, stratified_folds
 from eventloom.operators.windows import flatten_windows, tail_holdout
 from eventloom.schemas import LABEL, LOOK_BACK, NUM_CLASSES
-from eventloom.session import materialize
+from eventloom.session import cut_lineage, materialize, placed
 
 
 @dataclass(frozen=True)
@@ -45,14 +47,15 @@ class Run:
 
 
 def _run(estimator: Estimator, train: DataFrame, test: DataFrame, key: str, label: str = "label") -> Run:
-    model = estimator.fit(train)
+    cut_lineage(train.sparkSession)
+    model = estimator.fit(placed(train, key))
     predictions = predict(model, test, [key], label)
     return Run(model, predictions, accuracy(predictions))
 
 
 def holdout_boosting(events: DataFrame, key: str, seed: int = 100, **overrides: Any) -> Run:
     """Boosted trees on 80 % of the events, tested on the rest."""
-    table = materialize(with_label(drop_leaky(events)), "model-table", spread=True)
+    table = materialize(with_label(drop_leaky(events)), "model-table")
     train, test = holdout_split(table, key, 0.2, seed)
     features = feature_columns(drop_leaky(events), exclude=[key])
     return _run(boosting_pipeline(features, rows=train.count(), **overrides), train, test, key)
@@ -63,7 +66,7 @@ def indexed_boosting(events: DataFrame, key: str, seed: int = 0, **overrides: An
 
     The label index is fitted on all events, so that it knows every class.
     """
-    table = materialize(events, "model-table", spread=True)
+    table = materialize(events, "model-table")
     indexer = fit_label_index(table, LABEL, "label")
     features = feature_columns(table, exclude=[key])
     train, test = random_split(table, key, (0.7, 0.3), seed)
@@ -71,28 +74,21 @@ def indexed_boosting(events: DataFrame, key: str, seed: int = 0, **overrides: An
 
 
 def dense_network(
-    events: DataFrame, key: str, seed: int = 42, epochs: int = DENSE_ITERATIONS, fit_on: str = "train"
-) -> tuple[Run, DataFrame]:
-    """Dense network on scaled features, validated on a 20 % hold-out after every epoch.
+    events: DataFrame, key: str, seed: int = 42, iterations: int = DENSE_ITERATIONS, fit_on: str = "train"
+) -> tuple[Run, DataFrame, DataFrame]:
+    """Dense network on scaled features; its run, its history, and its scores on both parts.
 
-    The scaling bounds come from the training part, or from all rows with ``fit_on="all"``.
+    The scaling bounds come from the training part, or from all rows with ``fit_on="all"``;
+    the model carries them. It is one fit, validated on a 20 % hold-out at its end.
     """
     features = feature_columns(drop_leaky(events), exclude=[key])
-    table = materialize(with_label(drop_leaky(events)), "model-table", spread=True)
+    table = materialize(with_label(drop_leaky(events)), "model-table")
     train, test = holdout_split(table, key, 0.2, seed)
-    scale = fit_min_max(train if fit_on == "train" else table, features)
-    train, test = (
-        materialize(
-            assemble(scale.transform(part), features).select(key, "label", "features"), "scaled", spread=True
-        )
-        for part in (train, test)
-    )
-    network = MultilayerPerceptronClassifier(
-        labelCol="label", layers=[len(features), *HIDDEN_LAYERS, NUM_CLASSES], seed=0
-    )
-    model, history = epoch_history(network, train, test, epochs)
+    scaler = feature_scaler().fit(assemble(table, features)) if fit_on == "all" else None
+    network = dense_network_pipeline(features, NUM_CLASSES, iterations=iterations, scaler=scaler)
+    model, scores = fit_with_validation(network, placed(train, key), test)
     predictions = predict(model, test, [key])
-    return Run(model, predictions, accuracy(predictions)), history
+    return Run(model, predictions, accuracy(predictions)), training_history(model), scores
 
 
 def sequence_network(
@@ -104,16 +100,22 @@ def sequence_network(
     classes: int = NUM_CLASSES,
     **parameters: Any,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Network over stored windows, validated on the last ``holdout`` of them."""
+    """Network over stored windows, validated on the last ``holdout`` of them.
+
+    The last of the ``order`` columns must be unique. ``training_history`` of the model has
+    the objective of every iteration.
+    """
     train, test = tail_holdout(windows, order, holdout)
     train, test = (with_label(flatten_windows(part), "label") for part in (train, test))
     network = sequence_network_pipeline(look_back * features, classes, **parameters)
-    return fit_with_validation(network, train, test)
+    return fit_with_validation(network, placed(train, order[-1]), test)
 
 
 def cross_validated_boosting(events: DataFrame, key: str, k: int = 2, **overrides: Any) -> DataFrame:
-    """Accuracy of boosted trees per fold; the label is not among the features."""
+    """Accuracy per stratified fold of boosted trees with the library's defaults.
+
+    The label is not among the features.
+    """
     features = feature_columns(events, exclude=[key])
-    table = materialize(hashed_folds(with_label(events), key, k), "model-table", spread=True)
-    rows = table.count() * (k - 1) // k
-    return cross_validate(boosting_pipeline(features, rows=rows, **overrides), table, k)
+    table = materialize(stratified_folds(with_label(events), key, k), "model-table")
+    return cross_validate(default_boosting_pipeline(features, **overrides), table, key, k)

@@ -1,12 +1,11 @@
 """Training runs on a table whose label follows from its features."""
 
 import pytest
-from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import functions as F
 
 from eventloom.operators import encoding, models, search, splits, windows
 from eventloom.plans import training
-from eventloom.session import materialize
+from eventloom.session import materialize, placed
 from eventloom.sources import writers
 
 
@@ -56,12 +55,35 @@ def test_search_tunes_the_boosted_trees(events):
     folds = materialize(splits.stratified_folds(models.with_label(events), "rid", 2), "folds")
     pipeline = models.boosting_pipeline(["a", "b"], maxIter=1)
     trees = pipeline.getStages()[-1].getClassifier()
-    grid = [search.spark_parameters(c, 600) for c in search.full_grid({"minSplitGain": [600.0, 0.0], "maxDepth": [3]})]
-    best, results = search.grid_search(pipeline, trees, folds, grid, k=2)
+    grid = search.full_grid({"minSplitGain": [600.0, 0.0], "maxDepth": [3]})
+    best, results = search.grid_search(pipeline, trees, folds, "rid", grid, k=2)
     assert [r["rank_test_score"] for r in results.orderBy("candidate").collect()] == [2, 1]
     assert best.stages[-1].models[0].getOrDefault("minInfoGain") == 0.0
 
 
+def test_search_takes_the_configured_grid(events):
+    folds = materialize(splits.stratified_folds(models.with_label(events), "rid", 2), "folds")
+    pipeline = models.boosting_pipeline(["a", "b"])
+    grid = [{**c, "maxIter": 1} for c in search.sample_grid(2, 1)]
+    _, results = search.grid_search(pipeline, pipeline.getStages()[-1].getClassifier(), folds, "rid", grid, k=2)
+    assert results.count() == 2 and "param_minSplitGain" in results.columns
+
+
+def test_ranks_of_ties(spark):
+    results = search.search_results(spark.range(1), [{"x": i} for i in range(4)], [[0.5], [0.9], [0.9], [0.1]])
+    assert [r["rank_test_score"] for r in results.orderBy("candidate").collect()] == [3, 1, 1, 4]
+
+
+def test_models_do_not_depend_on_cores(events):
+    def trained(frame):
+        train, test = splits.holdout_split(models.with_label(frame), "rid")
+        forest = models.forest_pipeline(["a", "b", "noise"], numTrees=3, maxDepth=3)
+        model = forest.fit(placed(train, "rid"))
+        return sorted((r["rid"], r["prediction"]) for r in models.predict(model, test, ["rid"]).collect())
+
+    assert trained(events.repartition(2)) == trained(events.repartition(9, "noise"))
+
+
 def test_indexed_boosting(events):
     run = training.indexed_boosting(events, "rid", iterations=3)
     check(run, events, 0.9)
@@ -84,12 +106,30 @@ def test_forest_reloads_with_equal_predictions(events, tmp_path):
     assert stored.columns == ["rid", "label", "prediction", "probability"] and stored.count() == test.count()
 
 
-def test_dense_network(events):
-    run, history = training.dense_network(events, "rid", epochs=6)
-    check(run, events, 0.0)
-    rows = history.orderBy("epoch").collect()
-    assert [r["epoch"] for r in rows] == list(range(1, 7)) and rows[-1]["loss"] < rows[0]["loss"]
-    assert rows[-1]["val_accuracy"] == pytest.approx(run.scores.first()["accuracy"])
+def test_dense_network(events, tmp_path):
+    run, history, scores = training.dense_network(events, "rid", iterations=60)
+    check(run, events, 0.9)
+    objectives = [r["objective"] for r in history.orderBy("iteration").collect()]
+    assert len(objectives) > 20 and objectives[-1] < objectives[0] / 3
+    found = {r["part"]: r["accuracy"] for r in scores.collect()}
+    assert found["validation"] == pytest.approx(run.scores.first()["accuracy"]) and found["train"] > 0.9
+    writers.save_model(run.model, str(tmp_path / "network"))
+    _, test = splits.holdout_split(models.with_label(events), "rid", 0.2, 42)
+    again = models.predict(writers.load_model(str(tmp_path / "network")), test, ["rid"])
+    assert again.exceptAll(run.predictions).isEmpty() and again.count() == run.predictions.count()
+
+
+def test_bounds_of_all_rows(events):
+    far = events.withColumn("a", F.when(F.col("rid") == one_test_row(events), 1000).otherwise(F.col("a")))
+    bounds = [
+        training.dense_network(far, "rid", iterations=1, fit_on=part)[0].model.stages[1].originalMax.toArray().max()
+        for part in ("train", "all")
+    ]
+    assert bounds[0] < 1000 and bounds[1] == 1000
+
+
+def one_test_row(events):
+    return splits.holdout_split(events, "rid", 0.2, 42)[1].first()["rid"]
 
 
 def test_network_pipelines_and_history(events):
@@ -115,7 +155,7 @@ def test_sequence_network(spark):
 
 
 def test_cross_validation_leaves_the_label_out(events):
-    scores = training.cross_validated_boosting(events, "rid", k=2, maxIter=2)
+    scores = training.cross_validated_boosting(events, "rid", k=2, maxIter=3)
     rows = scores.orderBy("fold").collect()
     assert [r["fold"] for r in rows] == [0, 1] and sum(r["n"] for r in rows) == events.count()
     assert all(0.8 < r["accuracy"] <= 1 for r in rows)
@@ -125,7 +165,7 @@ def test_grid_search(events):
     folds = materialize(splits.stratified_folds(models.with_label(events), "rid", 3), "folds")
     forest = models.forest_pipeline(["a", "b", "noise"], numTrees=3)
     grid = search.full_grid({"maxDepth": [1, 5]})
-    found, results = search.grid_search(forest, forest.getStages()[-1], folds, grid, k=3)
+    found, results = search.grid_search(forest, forest.getStages()[-1], folds, "rid", grid, k=3)
     rows = results.orderBy("candidate").collect()
     assert [r["param_maxDepth"] for r in rows] == ["1", "5"] and [r["rank_test_score"] for r in rows] == [2, 1]
     assert search.best_parameters(results).first()["candidate"] == 1
@@ -148,12 +188,3 @@ def test_category_index_leaves_many_valued_features_alone(events):
     vectors = encoding.assemble(events.withColumn("few", F.col("noise") * 10), ["few", "b"])
     maps = encoding.fit_category_index(vectors, max_categories=9).categoryMaps
     assert list(maps) == [0]
-
-
-def test_epochs_continue_from_the_weights_before(events):
-    rows = encoding.assemble(models.with_label(events), ["a", "b"])
-    network = MultilayerPerceptronClassifier(layers=[2, 8, 6], seed=1)
-    _, history = models.epoch_history(network, rows, rows, epochs=4, steps=3)
-    losses = [r["loss"] for r in history.orderBy("epoch").collect()]
-    assert losses == sorted(losses, reverse=True)
-    assert network.getMaxIter() == 100
