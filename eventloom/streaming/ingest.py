@@ -1,7 +1,8 @@
 """Chunked ingest: raw files arrive, encoded rows are appended.
 
-The chunk is a micro-batch of whole files. Its encoding is that of the batch job, with
-dictionaries fitted beforehand over all files, so the table does not depend on the chunks.
+The chunk is a micro-batch of whole files. Its encoding is that of the batch job. An actor that
+no dictionary has yet gets the next code when its first chunk arrives, so codes once given stay
+and null means a missing actor only.
 """
 
 from __future__ import annotations
@@ -9,14 +10,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from eventloom.operators.encoding import Dictionary, encode_events
-from eventloom.sources.readers import raw_options, raw_schema
+from eventloom.operators.encoding import Dictionary, apply_dictionaries, encode_fields
+from eventloom.operators.lookup import fits_broadcast
+from eventloom.operators.ordering import number_rows
+from eventloom.schemas import ENCODED
+from eventloom.sources.readers import raw_options, raw_schema, without_missing
+from eventloom.sources.writers import write_encoded
+
+CHUNK = "chunk"
 
 
 def read_event_chunks(spark: SparkSession, path: str, files_per_chunk: int = 1000) -> DataFrame:
-    return (
+    return without_missing(
         spark.readStream.schema(raw_schema())
         .options(**raw_options())
         .option("maxFilesPerTrigger", files_per_chunk)
@@ -34,17 +42,51 @@ def ingest_chunks(
 ) -> StreamingQuery:
     """Encode all files not yet ingested, chunk by chunk, then stop.
 
-    The checkpoint folder records what is done: a restarted job goes on after the last
-    complete chunk and writes no row twice.
+    The checkpoint folder records what is done, and keeps the codes that chunks added. Each
+    chunk writes below a folder with its number, and writes all of it anew if it is repeated
+    after a failure, so no row comes twice. Within a chunk, rows are gathered by month.
     """
-    chunks = read_event_chunks(spark, raw_path, files_per_chunk)
+
+    def append(chunk: DataFrame, number: int) -> None:
+        encoded = apply_dictionaries(
+            encode_fields(chunk), [_extended(d, chunk, number, f"{checkpoint}/codes/{d.column}") for d in dictionaries]
+        )
+        write_encoded(encoded, f"{out_path}/{CHUNK}={number}", mode="overwrite")
+
     return (
-        encode_events(chunks, dictionaries)
-        .writeStream.format("parquet")
-        .partitionBy("Year", "Month")
+        read_event_chunks(spark, raw_path, files_per_chunk)
+        .writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
-        .option("path", out_path)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Scan the encoded rows of all chunks."""
+    return spark.read.schema(ENCODED).parquet(path).select(*ENCODED.names)
+
+
+def added_codes(spark: SparkSession, dictionary: Dictionary, path: str, before: int) -> DataFrame:
+    """(value, code) that chunks before a number added to a dictionary."""
+    from pyspark.sql.utils import AnalysisException
+
+    try:
+        table = spark.read.schema(f"value string, code int, {CHUNK} int").parquet(path)
+    except AnalysisException:  # the first chunk
+        return spark.createDataFrame([], dictionary.table.select("value", "code").schema)
+    return table.where(F.col(CHUNK) < before).select("value", "code")
+
+
+def _extended(dictionary: Dictionary, chunk: DataFrame, number: int, path: str) -> Dictionary:
+    """The dictionary with the codes of earlier chunks and of this one, which are stored."""
+    spark = chunk.sparkSession
+    known = dictionary.table.select("value", "code").union(added_codes(spark, dictionary, path, number))
+    values = chunk.select(F.col(dictionary.column).alias("value")).distinct()
+    new = values.join(known, values["value"].eqNullSafe(known["value"]), "left_anti")
+    last = known.agg(F.coalesce(F.max("code"), F.lit(-1))).first()[0]
+    numbered = number_rows(new.withColumn("missing", F.col("value").isNull()), [], ["missing", "value"], "seq")
+    codes = numbered.select("value", (F.col("seq") + last + 1).cast("int").alias("code"))
+    codes.write.mode("overwrite").parquet(f"{path}/{CHUNK}={number}")
+    stored = known.union(spark.read.schema(codes.schema).parquet(f"{path}/{CHUNK}={number}"))
+    return Dictionary(dictionary.column, stored, dictionary.broadcast and fits_broadcast(stored))

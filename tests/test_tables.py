@@ -9,9 +9,9 @@ from eventloom.operators.windows import lag_windows
 from eventloom.plans.encoded_table import build_encoded_table, load_model_table
 from eventloom.plans.sequences import store_sequences
 from eventloom.schemas import ENCODED, MODEL_COLUMNS, RAW
-from eventloom.session import materialize, scratch_path, shared_dir
+from eventloom.session import materialize, scratch_path, scratch_tables, shared_dir
 from eventloom.sources import readers, writers
-from eventloom.streaming.ingest import ingest_chunks
+from eventloom.streaming.ingest import ingest_chunks, read_chunks
 
 
 def same(left, right):
@@ -37,7 +37,7 @@ def test_shared_dir_is_the_sessions(spark):
 
 def test_raw_files_round_trip(spark, events, raw_path):
     found = readers.read_events(spark, raw_path)
-    assert found.schema == RAW and same(found, events)
+    assert found.dtypes == [(f.name, f.dataType.simpleString()) for f in RAW] and same(found, readers.without_missing(events))
 
 
 def write(path, *lines):
@@ -66,11 +66,32 @@ def test_empty_fields_keep_their_place_and_an_extra_position_is_read(spark, tmp_
 def test_code_lookup_survives_its_defects(spark, tmp_path):
     lines = [
         "CAMEOEVENTCODE\tEVENTDESCRIPTION", "01\tMAKE STATEMENT", "010\tMake statement", '044\tMeet at a "third location',
-        "105\tDemand one106:[-5.0] Demand another",
+        "105\tDemand one106:[-5.0] Demand another", "107\t", "108\tone109:[2] two1010:[-10.0] three",
     ]
     (tmp_path / "codes.tsv").write_text("\n".join(lines) + "\n")
     found = dict(map(tuple, readers.read_codes(spark, str(tmp_path / "codes.tsv")).collect()))
-    assert list(found) == ["01", "010", "044", "105"] and found["044"].startswith('Meet at a "')
+    assert found["044"].startswith('Meet at a "') and found.pop("107") is None
+    assert sorted(found) == ["01", "010", "044", "1010", "105", "106", "108", "109"]
+    assert (found["105"], found["106"], found["109"], found["1010"]) == ("Demand one", "Demand another", "two", "three")
+
+
+def test_missing_values_of_raw_files_are_null(spark, tmp_path):
+    line = GOOD.replace("\tUSA\t\t", "\tnull\tNA\t").replace("-33.9", "NaN").replace("\t1.9\t", "\tnan\t").replace("\t4\t", "\tNaN\t")
+    row = readers.read_events(spark, write(tmp_path / "raw.tsv", line, GOOD)).where("Source is null").first()
+    assert [row[c] for c in ("Source", "Target", "Goldstein", "SourceGeoLat", "ActionGeoType")] == [None] * 5
+    encoded = encoding.encode_events(readers.read_events(spark, str(tmp_path / "raw.tsv"))).where("Goldstein is null").first()
+    assert (encoded["SourceGeoLatInt"], encoded["ActionGeoType"], encoded["SourceGeoLat"]) == (0, 0, None)
+
+
+def test_scratch_tables_go(spark):
+    with scratch_tables(spark):
+        table = materialize(spark.range(3))
+        path = table.inputFiles()[0]
+        assert table.count() == 3
+    with pytest.raises(Exception, match="(?i)path_not_found|does not exist"):
+        spark.read.parquet(path)
+    kept = materialize(spark.range(2))
+    assert kept.count() == 2
 
 
 @pytest.fixture(scope="module")
@@ -134,6 +155,24 @@ def test_chunks_do_not_change_the_table(spark, events, raw_path, files):
     assert run().count() == expected.count()
 
 
+def test_new_actors_get_codes_and_months_few_files(spark, tmp_path):
+    one = GOOD.replace("\tUSA\t\t", "\tUSA\tFRA\t")
+    (tmp_path / "raw").mkdir()
+    write(tmp_path / "raw" / "1.tsv", one, GOOD)
+    dictionaries = encoding.fit_dictionaries(readers.read_events(spark, str(tmp_path / "raw")))
+    paths = [str(tmp_path / "raw"), str(tmp_path / "out"), str(tmp_path / "progress")]
+    ingest_chunks(spark, *paths, dictionaries, 1).awaitTermination()
+    write(tmp_path / "raw" / "2.tsv", *[one.replace("FRA", x).replace("\tUSA", "\tCHN") for x in ("ZZZ", "AAA", "FRA", "") * 50])
+    ingest_chunks(spark, *paths, dictionaries, 1).awaitTermination()
+    write(tmp_path / "raw" / "3.tsv", one.replace("FRA", "AAA"))
+    ingest_chunks(spark, *paths, dictionaries, 1).awaitTermination()
+    found = read_chunks(spark, paths[1])
+    counts = {tuple(r) for r in found.groupBy("Source", "Target").count().collect()}
+    # FRA 0, missing 1, then AAA 2, ZZZ 3; USA 0, then CHN 1.
+    assert counts == {(0, 0, 1), (0, 1, 1), (1, 0, 50), (1, 1, 50), (1, 2, 50), (1, 3, 50), (0, 2, 1)}
+    assert len(spark.read.parquet(f"{paths[1]}/chunk=1").inputFiles()) == 1
+
+
 def test_csv_sinks(spark, events, tmp_path):
     numbered = events.withColumn("rid", F.monotonically_increasing_id())
     writers.write_sample(numbered, str(tmp_path / "sample"), ["Date", "rid"], 50)
