@@ -10,12 +10,14 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from checks.queries import QUERIES
 from checks.standin import raw_events
+from eventloom.session import scratch_tables
 
 HEADLINE = [
     "raw_scan", "encoded_scan", "encoded_events", "actor_dictionary", "described_events",
@@ -29,7 +31,8 @@ TRAINING = ["random_forest", "indexed_boosting", "dense_network", "sequence_netw
 
 def run(spark: SparkSession, name: str, sf_dir: str) -> float:
     start = time.perf_counter()
-    QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    with scratch_tables(spark):
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
 
@@ -43,6 +46,7 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", os.environ.get("CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="shared-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

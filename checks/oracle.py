@@ -100,7 +100,7 @@ def _bin(column: str) -> str:
     return f"least(CAST(floor({_scaled(column, 'valid')} * 10) AS INTEGER), 9)"
 
 
-_CORRELATED = [*MODEL_COLUMNS, "Goldstein", "SourceGeoLat", "Constant"]
+_CORRELATED = [*MODEL_COLUMNS, "Goldstein", "SourceGeoLat", "Constant", "Late"]
 
 
 def _correlation() -> str:
@@ -114,7 +114,7 @@ def _correlation() -> str:
                 f"nullif(stddev_pop({x}) * stddev_pop({y}), 0), 9) + 0.0 AS r FROM wide"
             )
     return (
-        f"{WITH_VALID}, wide AS (SELECT *, 1 AS Constant FROM valid) " + " UNION ALL ".join(cells)
+        f"{WITH_VALID}, wide AS (SELECT *, 1 AS Constant, CASE WHEN rid > 4000 THEN NumEvents * NumArts + 1e7::DOUBLE END AS Late FROM valid) " + " UNION ALL ".join(cells)
     )
 
 
@@ -145,6 +145,38 @@ SELECT w.rid, w.seq, w.CAMEOCode AS label, u.* EXCLUDE (wid) FROM hot w JOIN (
   FROM hot w JOIN hot p ON p.seq BETWEEN w.seq - 30 AND w.seq - 1 WHERE w.seq >= 30 GROUP BY w.rid) u ON u.wid = w.rid"""
 
 
+_INDEX = (
+    "labels AS (SELECT CAMEOCode, row_number() OVER (ORDER BY count(*) DESC, CAST(CAMEOCode AS VARCHAR)) - 1 AS i "
+    "FROM valid GROUP BY CAMEOCode)"
+)
+_CANDIDATES = (
+    "SELECT * FROM (VALUES (0::INTEGER, '3', '0.0'), (1::INTEGER, '4', '0.0'), (2::INTEGER, '3', '5.0'), (3::INTEGER, '4', '5.0')) "
+    'v(candidate, "param_maxDepth", "param_minSplitGain"), (SELECT true AS is_mean, true AS is_normalized, true AS is_ranked)'
+)
+
+
+def _held_out(seed: int) -> str:
+    return f"substr({_digest(seed)}, 1, 8) < '33333333'"
+
+
+def _predicted(which: str) -> str:
+    return f"{WITH_VALID} SELECT rid, CAST(CAMEOCode AS DOUBLE) AS label, true AS in_range FROM valid WHERE {which}"
+
+
+def _growing_dictionary() -> str:
+    """Codes of the early values in order, missing last; those of the others after them, in order."""
+    renamed = "SELECT * REPLACE (CASE WHEN Date >= '19950101' THEN concat(Target, '_late') ELSE Target END AS Target) FROM raw"
+    codes = ", ".join(
+        f"{c}_codes AS (SELECT value, CAST(row_number() OVER (ORDER BY first >= '19950101', value NULLS LAST) - 1 AS INTEGER) AS code "
+        f"FROM (SELECT {c} AS value, min(Date) AS first FROM renamed GROUP BY {c}))"
+        for c in ("Source", "Target")
+    )
+    return (
+        f"{WITH_RAW}, renamed AS ({renamed}), {codes} SELECT Date, s.code AS Source, t.code AS Target, {CLASS} AS CAMEOCode "
+        "FROM renamed r JOIN Source_codes s ON s.value IS NOT DISTINCT FROM r.Source JOIN Target_codes t ON t.value IS NOT DISTINCT FROM r.Target"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     raw_columns = ", ".join(RAW.names)
     encoded_names = (
@@ -159,6 +191,7 @@ def oracle_sql() -> dict[str, str]:
         "encoded_scan": f"{WITH_VALID} SELECT {_MODEL} FROM valid",
         "encoded_csv_scan": f"{WITH_ENCODED} SELECT {_MODEL} FROM encoded",
         "chunked_ingest": f"{WITH_ENCODED} SELECT {encoded_names} FROM encoded",
+        "growing_dictionary": _growing_dictionary(),
         "code_lookup_scan": f"SELECT {LOOKUP_CODE.replace('string', 'varchar')} AS code, p_name AS description FROM part",
         "sequence_table": f"{WITH_ACTIVITY} {_STEPS}",
         "sample_head": f"{WITH_RAW} SELECT rid, Date, Source, Target, CAMEOCode, NumEvents, NumArts FROM raw ORDER BY Date, rid LIMIT 1000",
@@ -214,6 +247,20 @@ def oracle_sql() -> dict[str, str]:
         # limits, set operations
         "preview_predictions": f"{WITH_GUESSES} SELECT rid, label, prediction FROM guesses ORDER BY rid LIMIT 5",
         "append_chunks": f"{WITH_RAW} SELECT rid, Date, CAMEOCode FROM raw",
+        # classification: what is known of models without fitting them
+        "validation_scores": f"{WITH_VALID}, parts AS (SELECT CASE WHEN {_held_out(42)} THEN 'validation' ELSE 'train' END AS part FROM valid) SELECT part, count(*) AS n, true AS is_share FROM parts GROUP BY part",
+        "boosted_trees": _predicted(_held_out(100)),
+        "random_forest": _predicted(_held_out(42)),
+        "dense_network": _predicted(_held_out(42)),
+        "dense_reload": f"{WITH_VALID} SELECT rid, CAST(CAMEOCode AS DOUBLE) AS label, true AS same FROM valid WHERE {_held_out(42)}",
+        "indexed_boosting": f"{WITH_VALID}, {_INDEX} SELECT rid, CAST(i AS DOUBLE) AS label, true AS in_range FROM valid JOIN labels USING (CAMEOCode) WHERE {_digest_number(0)} >= 3006477107",
+        "boosting_summary": f"{WITH_VALID}, {_INDEX} SELECT CAST(i AS INTEGER) AS class, 'GBTClassificationModel' AS kind, CAST(10 AS INTEGER) AS trees FROM labels",
+        "training_history": "SELECT CAST(0 AS INTEGER) AS first_iteration, true AS is_loss, true AS falls",
+        "sequence_history": "SELECT CAST(0 AS INTEGER) AS first_iteration, true AS is_loss, true AS falls",
+        "sequence_network": f"{WITH_ACTIVITY}, w AS (SELECT row_number() OVER (ORDER BY ts DESC, event_id DESC) AS back FROM numbered WHERE seq >= 30) SELECT CASE WHEN back <= 300 THEN 'validation' ELSE 'train' END AS part, count(*) AS n, true AS is_share FROM w GROUP BY 1",
+        "cross_validation": f"{WITH_VALID}, folds AS (SELECT CAST((row_number() OVER (PARTITION BY CAMEOCode ORDER BY {_digest(0)}, rid) - 1) % 2 AS INTEGER) AS fold FROM valid) SELECT fold, count(*) AS n, true AS is_share FROM folds GROUP BY fold",
+        "grid_search": _CANDIDATES,
+        "search_results": _CANDIDATES,
         # splits
         "holdout_split": f"{WITH_VALID} SELECT rid, CASE WHEN substr({_digest(42)}, 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS part FROM valid",
         "random_split": f"{WITH_VALID} SELECT rid, CASE WHEN {_digest_number(0)} < 3006477107 THEN 'train' ELSE 'test' END AS part FROM valid",
