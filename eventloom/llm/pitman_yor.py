@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.text import Words, fold_of, mix, not_spaces, pieces
+from eventloom.llm.text import Words, fold_of, mix, not_spaces, pieces, small_batches
 from eventloom.session import materialize
 
 CONTEXTS = 1 << 16
@@ -201,7 +201,7 @@ def _slices(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _count_words(training: DataFrame, groups: int) -> DataFrame:
-    """(tokens, known, hashes, counts) of each group: its totals, and words that may be frequent."""
+    """(tokens, known, b) of each group: its totals, and the words that may be frequent, as one list."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, PIECE_BYTES):
@@ -216,10 +216,10 @@ def _count_words(training: DataFrame, groups: int) -> DataFrame:
         counts = np.bincount(place, counts, len(words)).astype(np.int64)
         # Frequent among all tokens implies frequent among the group's.
         often = counts * CONTEXTS >= counts.sum()
-        return pd.DataFrame({"tokens": [int(counts.sum())], "known": [len(words)], "words": [words[often].view(np.int64)], "counts": [counts[often]]})
+        return pd.DataFrame({"tokens": [int(counts.sum())], "known": [len(words)], "b": [pack(words[often], counts[often])]})
 
     sent = training.mapInArrow(send, "g long, b binary")
-    return materialize(sent.groupBy("g").applyInPandas(add, "tokens long, known long, words array<long>, counts array<long>"), "word-counts")
+    return materialize(sent.groupBy("g").applyInPandas(add, "tokens long, known long, b binary"), "word-counts")
 
 
 def _first_model(training: DataFrame) -> Model:
@@ -227,13 +227,21 @@ def _first_model(training: DataFrame) -> Model:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = _count_words(training, partitions)
     sums = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("known"), F.lit(0)).alias("known")).first()
-    pairs = counted.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.words", "w.counts")
-    frequent = pairs.filter(F.col("counts") * CONTEXTS >= sums.tokens).toArrow()  # at most CONTEXTS rows
-    words, counts = frequent.column("words").to_numpy().view(U64), frequent.column("counts").to_numpy()
+    tokens = int(sums.tokens)
+
+    def keep_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("b"):
+                words, counts = unpack(blob.as_py())
+                often = counts * CONTEXTS >= tokens
+                yield pa.record_batch({"word": pa.array(words[often].view(np.int64)), "n": pa.array(counts[often])})
+
+    frequent = counted.select("b").mapInArrow(keep_frequent, "word long, n long").toArrow()  # at most CONTEXTS rows
+    words, counts = frequent.column("word").to_numpy().view(U64), frequent.column("n").to_numpy()
     order = np.argsort(words)
     words, counts = words[order], counts[order]
     texts = counts[words == END].sum() if (words == END).any() else training.count()
-    return Model(words, np.append(counts, texts).astype(float), int(sums.tokens), int(sums.known), max(partitions, math.ceil(sums.tokens / GROUP)), [])
+    return Model(words, np.append(counts, texts).astype(float), tokens, int(sums.known), max(partitions, math.ceil(tokens / GROUP)), [])
 
 
 def _pair_lists(model: Model, texts: pa.Array) -> list[tuple[int, bytes]]:
@@ -501,6 +509,7 @@ def _score_postings(model: Model, own: Restaurants, kept, blob: bytes) -> bytes:
 def score_documents(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     fold = fold_of(F.col("doc_id"), FOLDS)
+    small_batches(documents)
     model, restaurants = fit(documents.filter(fold != HELD_OUT).select("text"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
