@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.llm.text import small_batches
+
 RANK_FILE = "byte_bpe_50k.tiktoken"
 PART_CHARS = 1 << 15
 #: A single space with no white space on either side.
@@ -75,7 +77,9 @@ def encode_texts(documents: DataFrame, text: str = "text", ids: str = "ids", ran
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids_of(texts: pa.Array) -> pa.Array:
-        return pa.array([encode(t or "", rank_file) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        parts = [np.asarray(encode(t.as_py() or "", rank_file), np.int32) for t in texts]
+        ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))
 
     return documents.withColumn(ids, ids_of(F.col(text)))
 
@@ -110,7 +114,7 @@ def digests(documents: DataFrame, rank_file: str = RANK_FILE) -> DataFrame:
         counts, of_ids, of_data = zip(*rows) if rows else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_data, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
+    return small_batches(documents).select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
 
 
 def encoded_documents(documents: DataFrame, rank_file: str = RANK_FILE) -> DataFrame:
@@ -119,10 +123,15 @@ def encoded_documents(documents: DataFrame, rank_file: str = RANK_FILE) -> DataF
 
     @F.arrow_udf(kind)
     def both(texts: pa.Array) -> pa.Array:
-        given = [t or "" for t in texts.to_pylist()]
-        ids = [encode(t, rank_file) for t in given]
-        exact = [decode(i, rank_file) == t.encode() for i, t in zip(ids, given)]
-        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], ["ids", "exact"])
-
-    encoded = documents.select("doc_id", "lang", "source", both("text").alias("e"))
+        parts, exact = [], []
+        for text in texts:  # ids as numbers of four bytes, one text at a time
+            text = text.as_py() or ""
+            ids = encode(text, rank_file)
+            exact.append(codec(rank_file).decode_bytes(ids) == text.encode())
+            parts.append(np.asarray(ids, np.int32))
+        ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))
+        return pa.StructArray.from_arrays([ids, pa.array(exact, pa.bool_())], ["ids", "exact"])
+
+    encoded = small_batches(documents).select("doc_id", "lang", "source", both("text").alias("e"))
     return encoded.select("doc_id", "lang", "source", F.size("e.ids").cast("long").alias("n_tokens"), "e.ids", "e.exact")

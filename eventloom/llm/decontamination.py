@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.text import Words, letters_and_digits, rolling, spans
+from eventloom.llm.text import Words, letters_and_digits, rolling, small_batches, spans
 from eventloom.session import materialize
 
 #: Fixed masks: six words of eight to ten, and six in a row.
@@ -34,7 +34,7 @@ LEAST_BITS, MOST_BITS = 1 << 24, 1 << 30
 #: Seeds up to this number are broadcast (24 bytes each); more are joined by a salted shuffle.
 BROADCAST_SEEDS = 1_000_000
 SALTS = 16
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 
 SEED = T.StructType([T.StructField("hash", T.LongType()), T.StructField("pos", T.IntegerType())])
 SEEDS = T.StructType([T.StructField("words", T.StringType()), T.StructField("seeds", T.ArrayType(SEED))])
@@ -146,7 +146,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, keys: list[str] | Non
     def passing_seeds(texts: pa.Array) -> pa.Array:
         return _with_seeds(texts, passes)
 
-    looked_up = documents.select(F.struct(*keys).alias("key"), passing_seeds(F.col(text)).alias("s")).filter(F.size("s.seeds") > 0)
+    looked_up = small_batches(documents).select(F.struct(*keys).alias("key"), passing_seeds(F.col(text)).alias("s")).filter(F.size("s.seeds") > 0)
     stored = materialize(looked_up.select("key", F.split("s.words", " ").alias("words"), "s.seeds").withColumn("row", F.monotonically_increasing_id()), "seed-hits")
     hits = stored.select("row", F.inline("seeds"))
     if n_seeds <= BROADCAST_SEEDS:

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.text import Words, letters_and_digits, rolling, spans
+from eventloom.llm.text import Words, letters_and_digits, rolling, small_batches, spans
 from eventloom.session import materialize
 
 K = 4
@@ -33,7 +33,7 @@ COVERAGE = 0.75
 SHORT = 14
 #: Diagonals no further apart than this are merged.
 SHIFT = 3
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 
 # Phrases and the label of each.
 PHRASES = [
@@ -141,7 +141,7 @@ def places(hits: DataFrame, positions: DataFrame) -> DataFrame:
 def find_licenses(documents: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: words, places of the phrases, labels and the best coverage."""
     spark = documents.sparkSession
-    scanned = documents.select("doc_id", F.arrow_udf(scan, SCANNED)(F.col(text)).alias("s")).select("doc_id", "s.*")
+    scanned = small_batches(documents).select("doc_id", F.arrow_udf(scan, SCANNED)(F.col(text)).alias("s")).select("doc_id", "s.*")
     stored = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "license-hits")
     found = places(stored.select("row", F.inline("hits")), _positions(spark))
     joined_labels = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")

@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.text import Words, fold_of, not_spaces, spans
+from eventloom.llm.text import Words, fold_of, not_spaces, small_batches, spans
 from eventloom.session import materialize
 
 SAMPLE = 20_000
 TREES, DEPTH, PENALTY = 12, 3, 0.001
 FOLDS, HELD_OUT = 3, 1
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 
 STATISTICS = [
     "log_chars", "log_words", "log_lines", "word_length", "longest_word", "upper", "digit", "space", "mark", "symbol",
@@ -166,7 +166,7 @@ def learn(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleE
 def score_documents(documents: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """doc_id (and the columns in ``keep``, as a struct ``kept``), held_out, score and predicted."""
     kept = [F.struct(*keep).alias("kept")] if keep else []
-    measured = materialize(documents.select("doc_id", *kept, statistics_of("text").alias("s")).select("doc_id", *(["kept"] if keep else []), "s.*"), "text-statistics")
+    measured = materialize(small_batches(documents).select("doc_id", *kept, statistics_of("text").alias("s")).select("doc_id", *(["kept"] if keep else []), "s.*"), "text-statistics")
     model = learn(measured.select("doc_id", *STATISTICS), labels)
     held_out = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     scored = measured.select("doc_id", *(["kept"] if keep else []), held_out.alias("held_out"), model.score().alias("score"))
@@ -175,6 +175,6 @@ def score_documents(documents: DataFrame, labels: DataFrame, keep: list[str] | N
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents`` that are predicted to have label 1."""
-    model = learn(materialize(documents.select("doc_id", statistics_of("text").alias("s")).select("doc_id", "s.*"), "text-statistics"), labels)
+    model = learn(materialize(small_batches(documents).select("doc_id", statistics_of("text").alias("s")).select("doc_id", "s.*"), "text-statistics"), labels)
     packed = documents.select(F.struct("*").alias("doc"), statistics_of("text").alias("s")).select("doc", "s.*")
     return packed.filter(model.score() >= 0.5).select("doc.*")

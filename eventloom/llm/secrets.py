@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.llm.text import small_batches
 from eventloom.session import materialize
 
 SCOPE = 300
@@ -117,7 +118,7 @@ def _listed(parts: Column) -> Column:
 
 def find_secrets(documents: DataFrame, scope: int = SCOPE, text: str = "text") -> DataFrame:
     """One row per document: doc_id, base (certain spans) and found (those and linked weak parts)."""
-    extracted = documents.select("doc_id", parts_of(F.col(text)).alias("parts"))
+    extracted = small_batches(documents).select("doc_id", parts_of(F.col(text)).alias("parts"))
     stored = materialize(extracted.withColumn("row", F.monotonically_increasing_id()), "secret-parts")
     base = F.filter("parts", lambda p: p["kind"].isin(BASE_KINDS))
     # A weak part alone in its text has no partner.
@@ -153,7 +154,7 @@ def redact(documents: DataFrame, scope: int = SCOPE, mask: str = "[REDACTED]") -
             out.append("".join([*pieces, text[at:]]))
         return pa.array(out, pa.string())
 
-    scanned = documents.select(F.md5("text").alias("key"), parts_of("text").alias("parts")).filter(F.size("parts") > 0)
+    scanned = small_batches(documents).select(F.md5("text").alias("key"), parts_of("text").alias("parts")).filter(F.size("parts") > 0)
     stored = materialize(scanned.dropDuplicates(["key"]).withColumn("row", F.monotonically_increasing_id()), "secret-parts")
     linked = linked_parts(stored.select("row", F.inline("parts")), scope)
     extra = linked.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("extra"))

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that are hashed in one step; 8 times as many bytes are held meanwhile.
-HASH_BYTES = 1 << 21
+HASH_BYTES = 1 << 19
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 6 << 20
 U64 = np.uint64
 _BASE, _STEP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
@@ -160,6 +161,15 @@ def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str = "te
             yield batch.slice(low, high - low)
 
 
+def small_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+    """The same rows. Texts go to Python in batches of ``most`` bytes from here on in this session,
+    unless it is set to less: batches of many rows of long texts need memory on both sides."""
+    conf = df.sparkSession.conf
+    if int(str(conf.get(BATCH_CONF)).rstrip("b")) > most:
+        conf.set(BATCH_CONF, str(most))
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

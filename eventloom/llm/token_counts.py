@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm.bpe_codec import resolve, safe_parts
+from eventloom.llm.text import small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 REMEMBERED = 500_000
@@ -100,5 +101,5 @@ def token_counts(documents: DataFrame, limit: int = 512, vocabulary: str = VOCAB
         return pa.array([count_tokens(t.as_py() or "", vocabulary) for t in texts], pa.int64())
 
     text = F.coalesce("text", F.lit(""))
-    counted = documents.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), count(text).alias("n_tokens"))
+    counted = small_batches(documents).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), count(text).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
