@@ -13,10 +13,12 @@ a key; nothing else decides who meets.
 
 **Confirmation.** Candidates are compared on their full shingle sets, in counts. Documents with
 equal sets are one class, and only one member of a class is compared. Components are wanted, not
-all pairs: first, each class is compared with the least class it meets; then, within the keys
-that still hold classes of several components, the pairs across components within the radius
-are compared. Pairs of one component are skipped; no other pair is. Large keys are dealt out in
-pairs of blocks.
+all pairs: twice, each class is confirmed with the nearest hub it meets, a hub being the member
+of a key that most others are close to; this joins nearly all that belongs together. Then, within
+the keys that still hold classes of several components, all pairs across components are
+confirmed that are within the radius, of the signature and of one of ``LONG`` symbols that only
+candidates have. Pairs of one component are skipped; no other pair is. Large keys are dealt out
+in pairs of blocks.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Null and wordless texts have no shingles,
 link with nothing and are kept. Rows with the same or no id are told apart by their sets; a null
@@ -25,11 +27,12 @@ id is never the least of a component unless there is no other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -37,12 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm.components import components
-from eventloom.llm.text import Words, mix, not_spaces, rolling, spans
+from eventloom.llm.text import Words, mix, not_spaces, rolling, small_batches, spans
 from eventloom.session import materialize
 
 SYMBOLS = 64
+#: Symbols of the longer signature that candidates are compared by before they are confirmed.
+LONG = 512
 MISSED = 1e-6
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: Members of a key compared in one task at once, twice over.
 BLOCK = 2000
 #: Bits of the map that says which rows' texts are wanted for confirmation.
@@ -108,17 +113,17 @@ def _measure(texts: pa.Array, k: int, with_signature: bool = True) -> pa.Array:
     return pa.StructArray.from_arrays(columns, MEASURED.names[: len(columns)])
 
 
-def _signatures(sets: list[np.ndarray]) -> list[bytes | None]:
+def _signatures(sets: list[np.ndarray], symbols: int = SYMBOLS) -> list[bytes | None]:
     full = [s for s in sets if len(s)]
     if not full:
         return [None] * len(sets)
     joined, starts = np.concatenate(full), np.cumsum([0, *map(len, full[:-1])])
-    symbols = np.empty((len(full), SYMBOLS), "<u2")
+    table = np.empty((len(full), symbols), "<u2")
     product = np.empty_like(joined)
-    for i, factor in enumerate(_factors(SYMBOLS)):
+    for i, factor in enumerate(_factors(symbols)):
         np.multiply(joined, factor, out=product)
-        symbols[:, i] = mix(np.minimum.reduceat(product, starts)) & U64(0xFFFF)
-    rows = iter(symbols)
+        table[:, i] = mix(np.minimum.reduceat(product, starts)) & U64(0xFFFF)
+    rows = iter(table)
     return [next(rows).tobytes() if len(s) else None for s in sets]
 
 
@@ -129,12 +134,12 @@ def measure(documents: DataFrame, k: int, text: str = "text") -> DataFrame:
     def measured(texts: pa.Array) -> pa.Array:
         return _measure(texts, k)
 
-    columns = documents.select("doc_id", measured(F.col(text)).alias("m")).select("doc_id", "m.*")
+    columns = small_batches(documents).select("doc_id", measured(F.col(text)).alias("m")).select("doc_id", "m.*")
     return materialize(columns.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
 def with_keys(classes: DataFrame, threshold: int) -> DataFrame:
-    """(key, node): a key for each chunk and symbol left out of it."""
+    """(node, slot, key): a key for each chunk and symbol left out of it; slot is that symbol."""
     parts = chunks(threshold)
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -148,11 +153,14 @@ def with_keys(classes: DataFrame, threshold: int) -> DataFrame:
         flat = np.stack(keys, axis=1).view(np.int64)
         return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32), pa.array(flat.ravel()))
 
-    return classes.select("node", F.explode(keys_of("signature")).alias("key"))
+    # A signature becomes many keys: small partitions before, or tasks after are large.
+    partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = classes.select("node", "signature").repartition(partitions, "node")
+    return dealt.select("node", F.posexplode(keys_of("signature")).alias("slot", "key"))
 
 
 def _wanted_texts(documents: DataFrame, wanted: DataFrame, n_wanted: int, k: int, text: str) -> DataFrame:
-    """(node, packed): the compressed text of one member of each wanted class.
+    """(node, packed, long): the compressed text and the longer signature of a member of each wanted class.
 
     wanted: (node, doc_id, h1, h2). Rows are picked where they are read, by a bit map of bounded
     size; what passes it by chance falls out of the join.
@@ -160,30 +168,31 @@ def _wanted_texts(documents: DataFrame, wanted: DataFrame, n_wanted: int, k: int
     bits = LEAST_BITS
     while bits < min(32 * n_wanted, MOST_BITS):
         bits *= 2
-    place = [F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "h1", "h2", F.lit(i)), F.lit(bits)) for i in range(2)]
-    words = wanted.select(F.explode(F.array(*place)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
+    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(bits))
+    words = wanted.select(place.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
     table = np.zeros(bits >> 6, U64)
     for batch in words.select("at", "word").toArrow().to_batches():
         table[batch.column("at").to_numpy()] = batch.column("word").to_numpy().view(U64)
     shared = documents.sparkSession.sparkContext.broadcast(table)
 
-    @F.arrow_udf(T.StructType(MEASURED.fields[:3]))
-    def set_of(texts: pa.Array) -> pa.Array:
-        return _measure(texts, k, with_signature=False)
+    @F.arrow_udf(T.BooleanType())
+    def may_be_wanted(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1)
+
+    kind = [*MEASURED.fields[:3], T.StructField("packed", T.BinaryType()), T.StructField("long", T.BinaryType())]
+
+    @F.arrow_udf(T.StructType(kind))
+    def measured(texts: pa.Array) -> pa.Array:
+        sets, press = _measure(texts, k, with_signature=False), zstandard.ZstdCompressor(level=3)
+        packed = pa.array([press.compress(t.as_py().encode()) for t in texts], pa.binary())
+        signatures = [s for a, b in spans(texts, PIECE_BYTES) for s in _signatures(shingle_sets(texts.slice(a, b - a), k), LONG)]
+        return pa.StructArray.from_arrays([*sets.flatten(), packed, pa.array(signatures, pa.binary())], [f.name for f in kind])
 
-    @F.arrow_udf(T.BinaryType())
-    def packed(texts: pa.Array, *places: pa.Array) -> pa.Array:
-        keep = np.ones(len(texts), bool)
-        for p in places:
-            at = p.to_numpy(zero_copy_only=False).astype(np.int64)
-            keep &= (shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1
-        press = zstandard.ZstdCompressor(level=3)
-        return pa.array([press.compress(texts[i].as_py().encode()) if yes else None for i, yes in enumerate(keep)], pa.binary())
-
-    rows = documents.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"), set_of(F.col(text)).alias("m")).select("doc_id", "text", "m.*")
-    rows = rows.select("doc_id", "h1", "h2", packed("text", *place).alias("packed")).filter(F.col("packed").isNotNull())
+    rows = documents.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).filter(may_be_wanted(place))
+    rows = rows.select("doc_id", measured("text").alias("m")).select("doc_id", "m.h1", "m.h2", "m.packed", "m.long")
     same = F.col("w.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("w.h1") == F.col("r.h1")) & (F.col("w.h2") == F.col("r.h2"))
-    picked = rows.alias("r").join(wanted.alias("w"), same).select("w.node", "r.packed")
+    picked = rows.alias("r").join(wanted.alias("w"), same).select("w.node", "r.packed", "r.long")
     return materialize(picked.dropDuplicates(["node"]), "candidate-texts")
 
 
@@ -205,40 +214,119 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Dat
     return pairs.join(of_a, "a").join(of_b, "b").filter(linked("left", "right")).select("a", "b")
 
 
+def _nearest(members: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components: each node a with the nearest b of the hubs it meets."""
+    short = nodes.withColumn("long", F.lit(b""))  # hubs are chosen by the shorter signature
+    by_key = _compared(members, short, threshold, _hub_pairs, "node long, hub long, distance long")
+    best = by_key.groupBy("node").agg(F.min_by("hub", F.struct("distance", "hub")).alias("hub"))
+    return best.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+
 def _across(members: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components within the radius, in keys with several components.
+    """All pairs (a, b) of different components within the radius, each once."""
+    return _compared(members, nodes, threshold, _near_pairs, "a long, b long")
+
 
-    members: (key, node, component); nodes: (node, n, signature).
+def _compared(members: DataFrame, nodes: DataFrame, threshold: int, compare, schema: str) -> DataFrame:
+    """Runs ``compare`` over the members of all keys that have several components.
+
+    members: (key, slot, node, component); nodes: (node, n, signature, long). Members of large
+    keys are dealt into blocks, of which each pair (i, j), i <= j, is a group of its own.
     """
-    most = radius(threshold)
+    columns = ["key", "i", "j", "slot", "node", "component", "n", "block", "signature", "long"]
     mixed = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     mixed = materialize(mixed.select("key", "size"), "mixed-keys")
     rows = members.join(mixed, "key").join(nodes, "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Block i meets block j in the group (i, j), i <= j.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
-    def near(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node", ignore_index=True)
-        table = np.frombuffer(b"".join(group["signature"]), "<u2").reshape(-1, SYMBOLS)
-        node, component, n, block = (group[c].to_numpy() for c in ("node", "component", "n", "block"))
-        one_block = group["i"].iloc[0] == group["j"].iloc[0]
-        left, right = [], []
-        for x in range(len(node) - 1):
-            rest = slice(x + 1, None)
-            try_ = (component[rest] != component[x]) & (100 * np.minimum(n[rest], n[x]) >= threshold * np.maximum(n[rest], n[x]))
-            if not one_block:
-                try_ &= block[rest] != block[x]
-            at = np.flatnonzero(try_) + x + 1
-            at = at[(table[at] != table[x]).sum(axis=1) <= most]
-            left += [node[x]] * len(at)
-            right += node[at].tolist()
-        return pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
-
-    columns = rows.select("key", "i", "j", "node", "component", "n", "signature", "block")
-    return columns.groupBy("key", "i", "j").applyInPandas(near, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups follow each other; the rows of the last one wait for the next batch."""
+        held = None
+        for batch in chain(batches, [None]):
+            parts = [t for t in (held, None if batch is None else pa.Table.from_batches([batch])) if t is not None]
+            rows = pa.concat_tables(parts).combine_chunks() if parts else None
+            if rows is None or not rows.num_rows:
+                continue
+            key, i, j = (rows.column(c).to_numpy() for c in columns[:3])
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            stop = rows.num_rows if batch is None else int(np.flatnonzero(new)[-1])
+            held = rows.slice(stop) if stop < rows.num_rows else None
+            if stop:
+                yield compare(_Members(rows.slice(0, stop), np.cumsum(new[:stop])), threshold)
+
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    typed = rows.select(*(F.col(c).cast("long").alias(c) for c in columns[:-2]), *columns[-2:])
+    ordered = typed.repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return ordered.mapInArrow(run, schema)
+
+
+class _Members:
+    """Members of keys, as columns; ``group`` numbers the (key, i, j) they are in, in order."""
+
+    def __init__(self, rows: pa.Table, group: np.ndarray):
+        self.group = group
+        for c in ("i", "j", "slot", "node", "component", "n", "block"):
+            setattr(self, c, rows.column(c).to_numpy())
+        self.signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u2").reshape(-1, SYMBOLS)
+        long = b"".join(rows.column("long").to_pylist())
+        self.long = np.frombuffer(long, "<u2").reshape(-1, LONG) if long else None
+
+    def steps(self, threshold: int) -> Iterator[tuple[np.ndarray, int]]:
+        """(x, step): rows x and x + step of a group that are of different components and sizes that can be linked.
+
+        Row x is paired with row x + 1 in all groups at once, then with x + 2, up to the largest group.
+        """
+        for step in range(1, int(np.bincount(self.group).max())):
+            x, y = slice(None, -step), slice(step, None)
+            pair = (self.group[x] == self.group[y]) & (self.component[x] != self.component[y])
+            pair &= (self.i[x] == self.j[x]) | (self.block[x] != self.block[y])
+            pair &= 100 * np.minimum(self.n[x], self.n[y]) >= threshold * np.maximum(self.n[x], self.n[y])
+            yield np.flatnonzero(pair), step
+
+
+def _near_pairs(rows: _Members, threshold: int) -> pa.RecordBatch:
+    """Pairs within the radius of both signatures, in the first key that the two share."""
+    parts = chunks(threshold)
+    starts = np.array([p[0] for p in parts])
+    left, right = [], []
+    for x, step in rows.steps(threshold):
+        differ = rows.signatures[x] != rows.signatures[x + step]
+        keep = differ.sum(axis=1) <= radius(threshold)
+        x, differ = x[keep], differ[keep]
+        errors = np.add.reduceat(differ, starts, axis=1, dtype=np.int64)
+        chunk = np.argmax(errors <= 1, axis=1)
+        # In that chunk, the first key leaves out the one error, or the first symbol.
+        of_chunk = np.arange(SYMBOLS)[None, :] >= starts[chunk][:, None]
+        wrong = differ & of_chunk & (errors[np.arange(len(x)), chunk] == 1)[:, None]
+        slot = np.where(wrong.any(axis=1), np.argmax(wrong, axis=1), starts[chunk])
+        x = x[slot == rows.slot[x]]
+        x = x[(rows.long[x] != rows.long[x + step]).sum(axis=1) <= radius(threshold, LONG)]
+        left.append(rows.node[x])
+        right.append(rows.node[x + step])
+    none = np.empty(0, np.int64)
+    a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
+    return pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def _hub_pairs(rows: _Members, threshold: int) -> pa.RecordBatch:
+    """Each member with its group's hub, the one that most others are close to."""
+    close = np.zeros(len(rows.group), np.int64)
+    most = int(SYMBOLS * (1 - threshold / 100))
+    for x, step in rows.steps(threshold):
+        x = x[(rows.signatures[x] != rows.signatures[x + step]).sum(axis=1) <= most]
+        close[x] += 1
+        close[x + step] += 1
+    order = np.lexsort((rows.node, -close, rows.group))
+    first = np.concatenate([[True], np.diff(rows.group[order]) > 0])
+    hub = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    x = order[(rows.component[order] != rows.component[hub])]
+    hub = hub[(rows.component[order] != rows.component[hub])]
+    distance = (rows.signatures[x] != rows.signatures[hub]).sum(axis=1)
+    x, hub, distance = (v[distance <= radius(threshold)] for v in (x, hub, distance))
+    return pa.record_batch({"node": pa.array(rows.node[x]), "hub": pa.array(rows.node[hub]), "distance": pa.array(distance, pa.int64())})
 
 
 def duplicate_groups(documents: DataFrame, k: int, threshold: int, text: str = "text") -> DataFrame:
@@ -247,23 +335,28 @@ def duplicate_groups(documents: DataFrame, k: int, threshold: int, text: str = "
     classes = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = materialize(classes, "classes")
     keys = with_keys(classes, threshold)
-    shared_keys = materialize(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1").drop("size"), "shared-keys")
+    shared_keys = materialize(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").drop("size"), "shared-keys")
     members = materialize(keys.join(shared_keys, "key"), "key-members")
-
-    met = members.filter("node != least").groupBy("node").agg(F.min("least").alias("least"))
-    first = materialize(met.select(F.col("least").alias("a"), F.col("node").alias("b")), "first-pairs")
     candidates = members.select("node").distinct()
     wanted = classes.select("node", "doc_id", "h1", "h2").join(candidates, "node")
     texts = _wanted_texts(documents, wanted, candidates.count(), k, text)
-    links = materialize(confirmed(first, texts, k, threshold), "first-links")
-    found = materialize(components(links), "first-components")
-
-    labelled = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    pairs = _across(materialize(labelled, "labelled-members"), classes.select("node", "n", "signature"), threshold)
-    untried = materialize(pairs.join(first, ["a", "b"], "left_anti"), "second-pairs")
-    if not untried.isEmpty():
-        links = materialize(links.union(confirmed(untried, texts, k, threshold)), "links")
-        found = materialize(components(links), "components")
+    nodes = materialize(classes.select("node", "n", "signature").join(texts.select("node", "long"), "node"), "candidates")
+
+    # First, nodes confirmed with a hub are labelled with it: parts of components, found without
+    # iteration. Then components of all links, from which only what is still apart is compared.
+    alone = members.withColumn("component", F.col("node"))
+    first = materialize(_nearest(alone, nodes, threshold), "hub-pairs")
+    links = materialize(confirmed(first, texts, k, threshold), "hub-links")
+    stars = members.join(links.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left")
+    second = materialize(_nearest(materialize(stars.withColumn("component", F.coalesce("component", "node")), "stars"), nodes, threshold), "hub-pairs")
+    links = materialize(links.union(confirmed(second, texts, k, threshold)), "hub-links")
+    tried = first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = materialize(components(links), "components")
+    apart = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    pairs = materialize(_across(materialize(apart, "apart"), nodes, threshold), "pairs")
+    new = materialize(confirmed(pairs.join(tried, ["a", "b"], "left_anti"), texts, k, threshold), "links")
+    if not new.isEmpty():
+        found = materialize(components(links.union(new)), "components")
 
     of_class = classes.select("h1", "h2", "node", F.col("doc_id").alias("least_id")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_class = materialize(of_class, "class-components")
