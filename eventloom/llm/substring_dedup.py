@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.text import _STEP, Words, mix, not_spaces, pieces, spans
+from eventloom.llm.text import _STEP, Words, mix, not_spaces, pieces, small_batches, spans
 from eventloom.session import materialize
 
 WIDTH = 13
 #: Suffixes of a group, about; a group is sorted in memory.
 GROUP = 2_000_000
 #: Text of one piece, within which equal windows are joined before they are sent.
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 4 << 20
 #: Word frequencies are counted in so many classes of word hashes.
 CLASSES = 4096
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
@@ -180,7 +180,7 @@ def _repeats_of(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(documents: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFrame:
-    """(doc_id, h, starts): the repeated windows of each row that some group found.
+    """(bucket, repeats): lists of repeated windows, all those of a row in one bucket.
 
     documents: doc_id, text and h, the hash of the text that tells rows of one id apart.
     """
@@ -204,22 +204,26 @@ def repeated_windows(documents: DataFrame, width: int = WIDTH, group: int = GROU
             again = _repeats_of(ids, keys)
             known.append((ids[again], hashes[again], places[again], None))
         ids, hashes, places = (np.concatenate(c) for c in list(zip(*known))[:3])
-        if not len(ids):
-            return pd.DataFrame({"doc_id": np.empty(0, np.int64), "h": np.empty(0, np.int32), "starts": np.empty(0, object)})
-        order = np.lexsort((places, hashes, ids))
-        ids, hashes, places = ids[order], hashes[order], places[order].astype("<u4")
-        heads = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])]))
-        starts = [part.tobytes() for part in np.split(places, heads[1:])]
-        return pd.DataFrame({"doc_id": ids[heads], "h": hashes[heads], "starts": starts})
+        bucket = (mix(ids.view(U64) + U64(3)) % U64(groups)).astype(np.int64)
+        order = np.lexsort((places, hashes, ids, bucket))
+        ids, hashes, places, bucket = ids[order], hashes[order], places[order], bucket[order]
+        row = np.cumsum(np.concatenate([[False], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])])) if len(ids) else ids
+        first = np.flatnonzero(np.concatenate([[True], np.diff(row) > 0])) if len(ids) else ids
+        ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))
+        parts, at = [], 0
+        for end in ends if len(ids) else []:
+            part = slice(at, end)
+            parts.append((int(bucket[at]), _pack(ids[first], hashes[first], row[part], places[part], np.empty(0, U64))))
+            at = end
+        return pd.DataFrame({"bucket": np.array([b for b, _ in parts], np.int64), "repeats": [r for _, r in parts]})
 
     known = documents.filter("doc_id is not null and text is not null").select("doc_id", "text", "h")
     sent = known.mapInArrow(send, "g long, suffixes binary")
-    return sent.groupBy("g").applyInPandas(subtrees, "doc_id long, h int, starts binary")
+    return sent.groupBy("g").applyInPandas(subtrees, "bucket long, repeats binary")
 
 
-def _spans(starts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal repeats (first word, end) that the windows make."""
-    places = np.unique(np.concatenate([np.frombuffer(s, "<u4") for s in starts]).astype(np.int64))
+def _spans(places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal repeats (first word, end) that windows at these places make; places are in order."""
     new = np.concatenate([[True], np.diff(places) > width])
     last = np.concatenate([new[1:], [True]])
     return places[new], places[last] + width
@@ -231,14 +235,16 @@ def maximal_repeats(documents: DataFrame, width: int = WIDTH, group: int = GROUP
     Windows that overlap or touch are one stretch.
     """
 
-    @F.arrow_udf(T.StructType([T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType()))]))
-    def merged(windows: pa.Array) -> pa.Array:
-        found = [_spans(x, width) for x in windows.to_pylist()]
-        kind = pa.list_(pa.int64())
-        return pa.StructArray.from_arrays([pa.array([s for s, _ in found], kind), pa.array([e for _, e in found], kind)], ["starts", "ends"])
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, hashes, places = (np.concatenate(c) for c in list(zip(*map(_unpack, rows["repeats"])))[:3])
+        order = np.lexsort((places, hashes, ids))
+        ids, hashes, places = ids[order], hashes[order], places[order]
+        heads = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])]))
+        found = [_spans(part, width) for part in np.split(places, heads[1:])]
+        return pd.DataFrame({"doc_id": ids[heads], "h": hashes[heads], "starts": [s for s, _ in found], "ends": [e for _, e in found]})
 
-    windows = repeated_windows(documents, width, group).groupBy("doc_id", "h").agg(F.collect_list("starts").alias("windows"))
-    return materialize(windows.select("doc_id", "h", merged("windows").alias("m")).select("doc_id", "h", "m.*"), "repeats")
+    windows = repeated_windows(documents, width, group)
+    return materialize(windows.groupBy("bucket").applyInPandas(merge, "doc_id long, h int, starts array<long>, ends array<long>"), "repeats")
 
 
 DIGEST = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
@@ -262,7 +268,7 @@ def without_repeats(documents: DataFrame, width: int = WIDTH, group: int = GROUP
     Rows without repeats are finished where they are read: a bit map of bounded size says which
     rows may have some, and only those are shuffled to meet theirs.
     """
-    keyed = documents.select("doc_id", "text", F.hash("text").alias("h"))
+    keyed = small_batches(documents).select("doc_id", "text", F.hash("text").alias("h"))
     repeats = maximal_repeats(keyed, width, group)
     n, bits = repeats.count(), LEAST_BITS
     while bits < min(32 * n, MOST_BITS):
