@@ -509,7 +509,7 @@ def _score_postings(model: Model, own: Restaurants, kept, blob: bytes) -> bytes:
 def score_documents(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     fold = fold_of(F.col("doc_id"), FOLDS)
-    small_batches(documents)
+    small_batches(documents, PIECE_BYTES)  # the larger a piece, the fewer times a word is sent
     model, restaurants = fit(documents.filter(fold != HELD_OUT).select("text"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
