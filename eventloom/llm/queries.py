@@ -67,7 +67,7 @@ QUERIES: dict[str, Query] = {
 
 OP1_SQL = r"""
 WITH words AS (
-    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), windows AS (
     SELECT doc_id, p, sha256(array_to_string(w[p:p + 12], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM words)
 ), least AS (
@@ -80,15 +80,15 @@ WITH words AS (
     SELECT doc_id, len(w) AS n_words, w, coalesce(ps, []) AS ps FROM words LEFT JOIN removed USING (doc_id)
 )
 SELECT doc_id, n_words::BIGINT AS n_words, len(ps)::BIGINT AS n_removed,
-       sha256(array_to_string(list_filter(w, (x, i) -> NOT list_contains(ps, i)), ' ')) AS kept_sha256
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(ps, i)), ' ')) AS kept_sha256
 FROM numbered
 """
 
 OP5_SQL = """
 WITH RECURSIVE vectors AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS v,
-           label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-               AND len(list_filter(embedding, x -> x <> 0)) > 0 AS usable
+           label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+               AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
     FROM embeddings
 ), links AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
@@ -104,10 +104,10 @@ FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON r.a
 
 OP8_SQL = r"""
 WITH RECURSIVE words AS (
-    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
     FROM documents
 ), sets AS (
-    SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')))
+    SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))
                         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
     FROM words
 ), shingles AS (
