@@ -5,8 +5,9 @@ zeros are not looked at, so a changed word at a zero leaves the hash alone. Hash
 at all words of a text are joined with those of the benchmark items. A hit says that word p of
 the text stands opposite word q of the item; around it, text and item are compared word by word
 on that diagonal, and the longest stretch with at least ``SIMILARITY`` equal words decides. A
-stretch counts from ``MIN_WORDS`` words on (all the item's, if it has fewer). Items with fewer
-words than ``SHORTEST`` tell nothing of a leak and match nothing.
+stretch counts from ``MIN_WORDS`` words on (all the item's, if it has fewer). Every stretch that
+counts is hit: wherever its changed words are, the ones of some mask fall on equal words. Items
+with fewer words than ``SHORTEST`` tell nothing of a leak and match nothing.
 
 Before the join, hashes are looked up in a bit map of the benchmark's. Its size follows the
 benchmark up to ``MOST_BITS``; beyond, more hashes pass it and the join drops them. Words are
@@ -25,8 +26,9 @@ from pyspark.sql import types as T
 from eventloom.llm.text import Words, letters_and_digits, rolling, small_batches, spans
 from eventloom.session import materialize
 
-#: Fixed masks: six words of eight to ten, and six in a row.
-MASKS = ["111111", "1101100101", "1110010011", "10111011"]
+#: Fixed masks: six words of at most eight. A row of words in which none of them finds six equal ones
+#: has less than ``SIMILARITY`` equal words from ``SHORTEST`` words on (the tests enumerate it).
+MASKS = ["111111", "1111101", "1111011", "1110111", "11100111", "11011011", "11010111"]
 MIN_WORDS = 13
 SHORTEST = 8
 SIMILARITY = 0.8
@@ -94,16 +96,13 @@ def _bitmap(seeds: DataFrame, n_seeds: int) -> tuple[int, np.ndarray]:
 def _longest_similar(equal: np.ndarray, similarity: float) -> tuple[int, int]:
     """The longest stretch with that share of equal words, starting and ending in an equal word."""
     sums = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - similarity, -similarity))])
-    lows = np.minimum.accumulate(sums)
-    starts = np.searchsorted(-lows, -(sums + 1e-9), "left")
-    lengths = np.arange(len(sums)) - starts
-    end = int(np.argmax(lengths))
-    start = int(starts[end])
-    while start < end and not equal[start]:
-        start += 1
-    while start < end and not equal[end - 1]:
-        end -= 1
-    return start, end
+    ends = np.flatnonzero(equal) + 1
+    if not len(ends):
+        return 0, 0
+    lows = np.minimum.accumulate(np.where(equal, sums[:-1], np.inf))
+    starts = np.searchsorted(-lows, -(sums[ends] + 1e-9), "left")
+    best = int(np.argmax(ends - starts))
+    return int(starts[best]), int(ends[best])
 
 
 VERIFIED = T.StructType([T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_equal", T.LongType())])

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -80,3 +81,53 @@ def test_empty_tables(spark, tables):
     assert D.find_leaks(documents(spark, []), items(spark, bench)).count() == 0
     assert D.find_leaks(documents(spark, docs), items(spark, [])).count() == 0
     assert D.decontaminate(documents(spark, docs), items(spark, [])).count() == len(docs)
+
+
+def most_equal(n, ends):
+    """The most equal words among n (the outer two equal, if ``ends``) of which no mask finds its six."""
+    masks = [(int(m, 2), len(m)) for m in D.MASKS]
+    width = max(length for _, length in masks)
+    best = {1: 1} if ends else {0: 0, 1: 1}  # by the last words, as bits
+    for i in range(1, n):
+        after = {}
+        for state, count in best.items():
+            for bit in (1,) if ends and i == n - 1 else (0, 1):
+                row = state << 1 | bit
+                if not any(row & m == m for m, _ in masks):
+                    row &= (1 << (width - 1)) - 1
+                    after[row] = max(after.get(row, 0), count + bit)
+        best = after
+    return max(best.values())
+
+
+def test_masks_hit_every_accepted_stretch():
+    assert all(10 * most_equal(n, True) < 8 * n for n in range(D.SHORTEST, 40))
+    # A longer row is cut into rows of 20 to 39 words, each of which has too few equal words.
+    assert all(10 * most_equal(n, False) < 8 * n for n in range(20, 40))
+
+
+def changed(words, at):
+    return " ".join(f"zz{k}" if k in at else w for k, w in enumerate(words))
+
+
+def test_every_placement_of_substitutions(spark):
+    bench = [prose(n) for n in (8, 9, 10, 11, 12, 13, 15, 20, 40, 500)]
+    docs = []
+    for i, b in enumerate(bench):
+        if len(b) <= 15:
+            docs += [(i, changed(b, at)) for at in itertools.combinations(range(len(b)), len(b) // 5)]
+        docs += [(i, changed(b, range(phase, len(b), 5))) for phase in range(5)]
+    # A dozen equal words among others, and a stretch that counts on the same diagonal.
+    docs.append((8, changed(bench[8], [0, 1, 2, *range(15, 23), 36, 37, 38, 39])))
+    docs = [(k, f"{' '.join(prose(k % 3))} {t}", i) for k, (i, t) in enumerate(docs)]
+    expected = [k for k, t, i in docs if len(bench[i]) > 40 or brute(t, " ".join(bench[i]))]
+    assert len(expected) > 500
+    found = D.find_leaks(documents(spark, [d[:2] for d in docs]), items(spark, [(i, " ".join(b)) for i, b in enumerate(bench)])).collect()
+    own = {k: i for k, _, i in docs}
+    assert sorted(r.doc_id for r in found if own[r.doc_id] == r.item_id) == expected
+
+
+def test_longest_stretch_has_equal_ends():
+    equal = [c == "1" for c in "1" * 12 + "0" * 10 + "1101111011111"]
+    assert D._longest_similar(np.array(equal), D.SIMILARITY) == (22, 35)
+    assert D._longest_similar(np.zeros(5, bool), D.SIMILARITY) == (0, 0)
