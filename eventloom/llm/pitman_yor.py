@@ -1,11 +1,11 @@
 """A hierarchical Pitman-Yor language model over words, seated by Gibbs sampling.
 
-**Model.** Every frequent word is a context with a restaurant of its own; its customers are the
-tokens that follow it. All context restaurants share one parent, the root, whose customers are the
-tables of the contexts and the tokens that follow rare words. The root's parent is uniform over
-the V known tokens and one more. A context counts as frequent with at least 1 / ``CONTEXTS`` of
-all training tokens, so there are at most ``CONTEXTS`` of them whatever the corpus; everything
-else about the model grows with it.
+**Model.** Every word is a context with a restaurant of its own; its customers are the tokens that
+follow it. All context restaurants share one parent, the root, whose customers are the tables of
+the contexts. The root's parent is uniform over the V known tokens and one more. Words with at
+least 1 / ``CONTEXTS`` of all training tokens count as frequent: there are at most ``CONTEXTS`` of
+them whatever the corpus, so what is summed over them is broadcast. What is summed over any other
+context stays with the groups and is exchanged between them after each sweep.
 
 **Gibbs sampling.** A sweep seats all customers of all restaurants anew: one after the other
 takes a new table with the probability of the Chinese restaurant process, given the seating so
@@ -16,9 +16,16 @@ dish, they are seated in growing blocks with one probability each. Random number
 earlier ones instead of storing them.
 
 **Layout.** Tokens go to groups: a rare word, with all its contexts, by its hash; a frequent word by
-(word, context). Pairs with at least 1 / ``CONTEXTS`` of all tokens are broadcast and scored where
-they are read, so no word and no pair is a hot key. Per piece of text a group gets one list of
-distinct pairs and postings, and returns one list of sums.
+(word, context) after a frequent word, and by the context's hash after a rare one. Pairs with at
+least 1 / ``CONTEXTS`` of all tokens are broadcast and scored where they are read, so no word and
+no pair is a hot key. Per piece of text a group gets one list of distinct pairs and postings, and
+returns one list of sums.
+
+**Exchange.** A rare context's customers may sit in any group. Its hash says who owns it: once,
+every group tells each owner which of its contexts it has, with their customers; after a sweep it
+tells their tables, and is told the sums in the same order. Where an unlearnt text has a rare word
+after a context that the word's group does not have, that group returns the root's probability,
+the context's own group the context's weight, and the piece multiplies them.
 
 **Score.** log10 of the mean over the last ``KEPT`` sweeps of the predictive probability of each
 token, summed over the text's words and its end. The base score is add-one smoothing of words.
@@ -55,9 +62,12 @@ ROOT, CONTEXT = (0.6, 10.0), (0.8, 5.0)
 FOLDS, HELD_OUT = 7, 2
 U64 = np.uint64
 END = mix(np.array([0x454E44], U64))[0]
-#: Bits for a context's number in keys.
-_SHIFT = 18
-_MASK = (1 << _SHIFT) - 1
+#: Bits for a frequent word's number in keys, and for a rare context's place in its group.
+_SHIFT, _WIDE = 18, 32
+_MASK, _PLACE = (1 << _SHIFT) - 1, (1 << _WIDE) - 1
+#: Rows that groups send each other: g receives, other sends; sweep tells what is sent.
+MESSAGE = "g long, other long, sweep int, b binary"
+RESTAURANT, ASKED, SUMS = -1, -2, -3
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -150,7 +160,7 @@ class Model:
 
     @property
     def rare(self) -> int:
-        """The number of the context of all rare words: none of its own, the root."""
+        """The number that stands for all rare contexts, which have a hash and no number."""
         return len(self.words) + 1
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
@@ -163,11 +173,15 @@ class Model:
     def group_of_words(self, hashes: np.ndarray) -> np.ndarray:
         return (mix(hashes + U64(7)) % U64(self.groups)).astype(np.int64)
 
+    def owner(self, contexts: np.ndarray) -> np.ndarray:
+        """The task that sums a rare context over the groups: as many as the tokens need, whatever the groups."""
+        return (mix(contexts + U64(11)) % U64(max(1, math.ceil(self.tokens / GROUP)))).astype(np.int64)
+
     def group_of_pairs(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         return (mix((words.astype(U64) << U64(_SHIFT)) + contexts.astype(U64) + U64(1)) % U64(self.groups)).astype(np.int64)
 
     def back_off(self, totals: Totals) -> np.ndarray:
-        """The weight of the parent in each context; 1 where there is no restaurant."""
+        """The weight of the parent in each numbered context; 1 where there is no restaurant."""
         d, s = CONTEXT
         return np.append((s + d * totals.tables_of) / (s + self.counts), 1.0)
 
@@ -182,14 +196,14 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_contexts(model: Model, texts: pa.Array):
-    """(hash, number or -1, context) of all tokens, and each one's text."""
+    """(hash, number or -1, context, hash of the token before) of all tokens, and each one's text."""
     tokens, text = _tokens(texts)
     number = model.number(tokens)
     context = np.empty(len(tokens), np.int64)
     context[1:] = np.where(number[:-1] < 0, model.rare, number[:-1])
     first = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.zeros(0, bool)
     context[first] = model.start
-    return tokens, number, context, text
+    return tokens, number, context, np.roll(tokens, 1), text
 
 
 def _slices(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -200,6 +214,22 @@ def _slices(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(group[part[0]]), part
 
 
+def _to_groups(*kinds) -> list[tuple[int, bytes]]:
+    """(group, arrays) of entries of several kinds: the group of each entry, and what is sent of some of them."""
+    by_group: dict[int, dict[int, list[np.ndarray]]] = {}
+    for kind, (group, take) in enumerate(kinds):
+        for g, at in _slices(group):
+            by_group.setdefault(g, {})[kind] = take(at)
+    nothing = [take(np.empty(0, np.int64)) for _, take in kinds]
+    return [(g, pack(*(a for kind, none in enumerate(nothing) for a in parts.get(kind, none)))) for g, parts in by_group.items()]
+
+
+def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted places, and how often each stands there."""
+    own, each = np.unique(places, return_counts=True)
+    return own, each.astype("<u4")
+
+
 def _count_words(training: DataFrame, groups: int) -> DataFrame:
     """(tokens, known, b) of each group: its totals, and the words that may be frequent, as one list."""
 
@@ -246,94 +276,167 @@ def _first_model(training: DataFrame) -> Model:
 
 def _pair_lists(model: Model, texts: pa.Array) -> list[tuple[int, bytes]]:
     """(group, distinct pairs with counts) of a piece's tokens."""
-    tokens, number, context, _ = _with_contexts(model, texts)
-    rare = number < 0
-    words, place = np.unique(tokens[rare], return_inverse=True)
-    rare_keys, rare_counts = np.unique((place << _SHIFT) | context[rare], return_counts=True)
-    keys, counts = np.unique((number[~rare] << _SHIFT) | context[~rare], return_counts=True)
-    by_group: dict[int, list[np.ndarray]] = {}
-    for g, at in _slices(model.group_of_words(words)[rare_keys >> _SHIFT]):
-        own, n = np.unique(rare_keys[at] >> _SHIFT, return_counts=True)
-        by_group[g] = [words[own], n.astype("<u4"), (rare_keys[at] & _MASK).astype("<u4"), rare_counts[at].astype("<u4")]
-    none = [np.empty(0, U64), *(np.empty(0, "<u4") for _ in range(3))]
-    for g, at in _slices(model.group_of_pairs(keys >> _SHIFT, keys & _MASK)):
-        by_group[g] = [*by_group.get(g, none), steps(keys[at]), counts[at].astype("<u4")]
-    return [(g, pack(*(a if len(a) == 6 else [*a, np.empty(0, np.int64), np.empty(0, "<u4")]))) for g, a in by_group.items()]
+    tokens, number, context, before, _ = _with_contexts(model, texts)
+    rare, apart = number < 0, context == model.rare
+    here = rare & ~apart
+    words, place = np.unique(tokens[here], return_inverse=True)
+    keys, counts = np.unique((place << _SHIFT) | context[here], return_counts=True)
+
+    def rare_words(at):
+        own, each = _runs(keys[at] >> _SHIFT)
+        return [words[own], each, (keys[at] & _MASK).astype("<u4"), counts[at].astype("<u4")]
+
+    here = ~rare & ~apart
+    f_keys, f_counts = np.unique((number[here] << _SHIFT) | context[here], return_counts=True)
+
+    def frequent_pairs(at):
+        return [steps(f_keys[at]), f_counts[at].astype("<u4")]
+
+    here = rare & apart
+    r_words, place = np.unique(tokens[here], return_inverse=True)
+    r_contexts, r_place = np.unique(before[here], return_inverse=True)
+    r_keys, r_counts = np.unique((place << _WIDE) | r_place, return_counts=True)
+
+    def rare_pairs(at):
+        own, each = _runs(r_keys[at] >> _WIDE)
+        return [r_words[own], each, r_contexts[r_keys[at] & _PLACE], r_counts[at].astype("<u4")]
+
+    here = ~rare & apart
+    a_contexts, place = np.unique(before[here], return_inverse=True)
+    a_keys, a_counts = np.unique((place << _SHIFT) | number[here], return_counts=True)
+
+    def after_rare(at):
+        own, each = _runs(a_keys[at] >> _SHIFT)
+        return [a_contexts[own], each, (a_keys[at] & _MASK).astype("<u4"), a_counts[at].astype("<u4")]
+
+    del tokens, number, context, before, rare, apart, here, place, r_place
+    return _to_groups(
+        (model.group_of_words(words)[keys >> _SHIFT], rare_words),
+        (model.group_of_pairs(f_keys >> _SHIFT, f_keys & _MASK), frequent_pairs),
+        (model.group_of_words(r_words)[r_keys >> _WIDE], rare_pairs),
+        (model.group_of_words(a_contexts)[a_keys >> _SHIFT], after_rare),
+    )
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(at, counts, len(distinct)).astype(np.int64)
 
 
 @dataclass
 class Restaurants:
-    """The customers of one group: rare words (hashes, in order), (word, context) keys and counts of
-    their pairs, and the same of the pairs of frequent words."""
+    """The customers of one group, as sorted keys with counts.
+
+    keys: rare words (places in ``words``, hashes in order) after frequent contexts; frequent_keys:
+    pairs of frequent words; rare_keys: rare words after rare contexts (places in ``contexts``);
+    after_keys: frequent words after rare contexts. contexts: hashes of these and of all ``words``,
+    in order. customers_of and tables_of: sums over all groups for each of them, by sweep.
+    """
 
     words: np.ndarray
+    contexts: np.ndarray
     keys: np.ndarray
     counts: np.ndarray
     frequent_keys: np.ndarray
     frequent_counts: np.ndarray
+    rare_keys: np.ndarray
+    rare_counts: np.ndarray
+    after_keys: np.ndarray
+    after_counts: np.ndarray
+    customers_of: np.ndarray
+    tables_of: list[np.ndarray]
 
     @staticmethod
     def merged(lists: list[bytes]) -> Restaurants:
-        parts = [unpack(b) for b in lists]
-        words, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        per_word = np.concatenate([p[1] for p in parts])
-        keys = (np.repeat(place, per_word) << _SHIFT) | np.concatenate([p[2] for p in parts]).astype(np.int64)
-        out = [words]
-        for k, c in ((keys, np.concatenate([p[3] for p in parts])), (np.concatenate([np.cumsum(p[4]) for p in parts]), np.concatenate([p[5] for p in parts]))):
-            distinct, at = np.unique(k, return_inverse=True)
-            out += [distinct, np.bincount(at, c, len(distinct)).astype(np.int64)]
-        return Restaurants(*out)
+        p = [np.concatenate(arrays) for arrays in zip(*([*a[:4], np.cumsum(a[4]), *a[5:]] for a in map(unpack, lists)))]
+        words, place = np.unique(np.concatenate([p[0], p[6]]), return_inverse=True)
+        contexts = np.unique(np.concatenate([words, p[8], p[10]]))
+        keys = (np.repeat(place[: len(p[0])], p[1]) << _SHIFT) | p[2].astype(np.int64)
+        rare_keys = (np.repeat(place[len(p[0]) :], p[7]) << _WIDE) | np.searchsorted(contexts, p[8])
+        after_keys = (p[12].astype(np.int64) << _WIDE) | np.repeat(np.searchsorted(contexts, p[10]), p[11])
+        pairs = (*_added(keys, p[3]), *_added(p[4], p[5]), *_added(rare_keys, p[9]), *_added(after_keys, p[13]))
+        return Restaurants(words, contexts, *pairs, np.empty(0, np.int64), [])
 
     def packed(self) -> bytes:
-        return pack(self.words, steps(self.keys), self.counts, steps(self.frequent_keys), self.frequent_counts)
+        keys = [self.keys, self.frequent_keys, self.rare_keys, self.after_keys]
+        counts = [self.counts, self.frequent_counts, self.rare_counts, self.after_counts]
+        is_word = np.zeros(len(self.contexts), bool)
+        is_word[np.searchsorted(self.contexts, self.words)] = True
+        return pack(self.contexts, is_word, *map(steps, keys), *counts, self.customers_of, *self.tables_of)
 
     @staticmethod
     def unpacked(blob: bytes | None) -> Restaurants:
         if blob is None:
             empty = np.empty(0, np.int64)
-            return Restaurants(np.empty(0, U64), empty, empty, empty, empty)
-        words, keys, counts, frequent_keys, frequent_counts = unpack(blob)
-        return Restaurants(words, np.cumsum(keys), counts, np.cumsum(frequent_keys), frequent_counts)
+            return Restaurants(np.empty(0, U64), np.empty(0, U64), *[empty] * 9, [empty] * (SWEEPS + 1))
+        contexts, is_word, *rest = unpack(blob)
+        pairs = [a for keys, counts in zip(rest[:4], rest[4:8]) for a in (np.cumsum(keys), counts)]
+        return Restaurants(contexts[is_word], contexts, *pairs, rest[8], rest[9:])
+
+    def of_contexts(self, rare: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Sums over the pairs of this group for each of ``contexts``."""
+        n = len(self.contexts)
+        return (np.bincount(self.rare_keys & _PLACE, rare, n) + np.bincount(self.after_keys & _PLACE, after, n)).astype(np.int64)
+
+    def asked(self, model: Model) -> list[tuple[int, np.ndarray]]:
+        """(owner, places) of the contexts, in the order of all messages about them."""
+        return list(_slices(model.owner(self.contexts)))
+
+    def back_off(self, tables_of: np.ndarray) -> np.ndarray:
+        """The weight of the root in each of ``contexts``."""
+        d, s = CONTEXT
+        return (s + d * tables_of) / (s + self.customers_of)
 
     def sweeps(self, model: Model, group: int, last: int) -> Iterator[Seating]:
         """The seating of this group after sweeps 0 to ``last``; sweep 0 has one table per pair."""
         word, context = self.keys >> _SHIFT, self.keys & _MASK
         f_word, f_context = self.frequent_keys >> _SHIFT, self.frequent_keys & _MASK
-        apart, f_apart = context == model.rare, f_context == model.rare
+        r_word, r_context = self.rare_keys >> _WIDE, self.rare_keys & _PLACE
+        a_word, a_context = self.after_keys >> _WIDE, self.after_keys & _PLACE
 
-        def root(tables: np.ndarray) -> np.ndarray:
-            """Customers of the rare words at the root: tables, or the tokens after rare words."""
-            return np.bincount(word, np.where(apart, self.counts, tables), len(self.words)).astype(np.int64)
+        def root(tables: np.ndarray, r_tables: np.ndarray) -> np.ndarray:
+            """Customers of the rare words at the root: the tables of all contexts."""
+            n = len(self.words)
+            return (np.bincount(word, tables, n) + np.bincount(r_word, r_tables, n)).astype(np.int64)
 
-        tables, f_tables = np.minimum(self.counts, 1), np.minimum(self.frequent_counts, 1)
-        customers = root(tables)
+        tables, f_tables, r_tables, a_tables = (np.minimum(c, 1) for c in (self.counts, self.frequent_counts, self.rare_counts, self.after_counts))
+        customers = root(tables, r_tables)
         root_tables = np.minimum(customers, 1)
-        yield Seating(tables, f_tables, customers, root_tables)
+        yield Seating(0, tables, f_tables, r_tables, a_tables, customers, root_tables)
         d, s = CONTEXT
         for sweep in range(1, last + 1):
             before, rng = model.totals[sweep - 1], np.random.Generator(np.random.Philox(key=[sweep, group]))
-            opening = np.append(s + d * before.tables_of, 0.0)
+            opening, r_opening = s + d * before.tables_of, s + d * self.tables_of[sweep - 1]
             parent = before.root(customers, root_tables, model.known)
             tables = seat(self.counts, opening[context] * parent[word], d, rng)
             f_parent = before.root(before.frequent_customers, before.frequent_tables, model.known)
             f_tables = seat(self.frequent_counts, opening[f_context] * f_parent[f_word], d, rng)
-            customers = root(tables)
+            r_tables = seat(self.rare_counts, r_opening[r_context] * parent[r_word], d, rng)
+            a_tables = seat(self.after_counts, r_opening[a_context] * f_parent[a_word], d, rng)
+            customers = root(tables, r_tables)
             d0, s0 = ROOT
             weight = (s0 + d0 * before.root_tables) / (model.known + 1)
             root_tables = seat(customers, np.full(len(customers), weight), d0, rng)
-            yield Seating(tables, f_tables, customers, root_tables)
+            yield Seating(sweep, tables, f_tables, r_tables, a_tables, customers, root_tables)
 
 
 @dataclass
 class Seating:
+    sweep: int
     tables: np.ndarray
     frequent_tables: np.ndarray
+    rare_tables: np.ndarray
+    after_tables: np.ndarray
     customers: np.ndarray
     root_tables: np.ndarray
 
 
+def _messages(rows: list[tuple[int, int, int, bytes]]) -> pd.DataFrame:
+    return pd.DataFrame({"g": np.array([r[0] for r in rows], np.int64), "other": np.array([r[1] for r in rows], np.int64), "sweep": np.array([r[2] for r in rows], np.int32), "b": [r[3] for r in rows]})
+
+
 def _restaurants(training: DataFrame, model: Model) -> DataFrame:
-    """(g, restaurants) of every group, stored."""
+    """The restaurants of every group, and what it tells the owners of its contexts, stored as messages."""
     shared = training.sparkSession.sparkContext.broadcast(model)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,31 +445,88 @@ def _restaurants(training: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch({"g": pa.array([g for g, _ in rows], pa.int64()), "b": pa.array([b for _, b in rows], pa.binary())})
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [rows["g"].iloc[0]], "b": [Restaurants.merged(list(rows["b"])).packed()]})
+        g, own = int(rows["g"].iloc[0]), Restaurants.merged(list(rows["b"]))
+        customers, tables = own.of_contexts(own.rare_counts, own.after_counts), own.of_contexts(np.minimum(own.rare_counts, 1), np.minimum(own.after_counts, 1))
+        told = [(owner, g, ASKED, pack(own.contexts[at], customers[at], tables[at])) for owner, at in own.asked(shared.value)]
+        return _messages([(g, g, RESTAURANT, own.packed()), *told])
 
-    return materialize(training.mapInArrow(send, "g long, b binary").groupBy("g").applyInPandas(merge, "g long, b binary"), "restaurants")
+    return materialize(training.mapInArrow(send, "g long, b binary").groupBy("g").applyInPandas(merge, MESSAGE), "restaurants")
 
 
-def _sweep(restaurants: DataFrame, model: Model, sweep: int) -> Totals:
-    """Seats all groups and sums what they leave: at most 2 * CONTEXTS + 3 numbers."""
-    shared = restaurants.sparkSession.sparkContext.broadcast(model)
+def _first_sums(told: DataFrame) -> DataFrame:
+    """Customers and first tables of the contexts each group has told of, and the places of these with their owner."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        owner, lists = int(rows["g"].iloc[0]), [unpack(b) for b in rows["b"]]
+        contexts, place = np.unique(np.concatenate([a[0] for a in lists]), return_inverse=True)
+        customers, tables = (np.bincount(place, np.concatenate([a[k] for a in lists]), len(contexts)).astype(np.int64) for k in (1, 2))
+        out = []
+        for group, own in zip(rows["other"], np.split(place, np.cumsum([len(a[0]) for a in lists])[:-1])):
+            out += [(group, owner, 0, pack(customers[own], tables[own])), (owner, group, ASKED, pack(steps(own)))]
+        return _messages(out)
+
+    return materialize(told.groupBy("g").applyInPandas(add, MESSAGE), "contexts")
+
+
+def _next_sums(asked: DataFrame, told: DataFrame, sweep: int) -> DataFrame:
+    """Tables of the contexts each group has, summed by their owners after a sweep."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        owner, is_list = int(rows["g"].iloc[0]), rows["sweep"] == ASKED
+        places = {o: np.cumsum(unpack(b)[0]) for o, b in zip(rows["other"][is_list], rows["b"][is_list])}
+        sums = np.zeros(max(int(p[-1]) for p in places.values()) + 1, np.int64)
+        for o, b in zip(rows["other"][~is_list], rows["b"][~is_list]):
+            sums[places[o]] += unpack(b)[0]
+        return _messages([(o, owner, sweep, pack(sums[p])) for o, p in places.items()])
+
+    return materialize(asked.union(told).groupBy("g").applyInPandas(add, MESSAGE), "context-tables")
+
+
+def _with_sums(model: Model, rows: pd.DataFrame) -> Restaurants:
+    """A group's restaurants with the sums that owners have sent."""
+    own = Restaurants.unpacked(next(iter(rows["b"][rows["sweep"] == RESTAURANT])))
+    sent = {(o, k): unpack(b) for o, k, b in zip(rows["other"], rows["sweep"], rows["b"]) if k >= 0}
+    own.customers_of = np.zeros(len(own.contexts), np.int64)
+    own.tables_of = [np.zeros(len(own.contexts), np.int64) for _ in model.totals]  # of every sweep so far
+    for owner, at in own.asked(model):
+        for sweep, tables in enumerate(own.tables_of):
+            own.customers_of[at] = sent[owner, 0][0]
+            tables[at] = sent[owner, sweep][-1]
+    return own
+
+
+def _sweep(messages: DataFrame, model: Model, sweep: int) -> tuple[Totals, DataFrame]:
+    """Seats all groups. Sums what they leave, at most 2 * CONTEXTS + 3 numbers, and what they tell owners."""
+    shared = messages.sparkSession.sparkContext.broadcast(model)
+    size = model.rare + 1 + len(model.words) + 2
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        model, g = shared.value, int(rows["g"].iloc[0])
+        own = _with_sums(model, rows)
+        *_, seating = own.sweeps(model, g, sweep)
+        of = np.bincount(own.keys & _MASK, seating.tables, model.rare + 1) + np.bincount(own.frequent_keys & _MASK, seating.frequent_tables, model.rare + 1)
+        n = len(model.words)
+        frequent = np.bincount(own.frequent_keys >> _SHIFT, seating.frequent_tables, n) + np.bincount(own.after_keys >> _WIDE, seating.after_tables, n)
+        sums = np.concatenate([of, frequent, [seating.customers.sum(), seating.root_tables.sum()]])
+        at = np.flatnonzero(sums)
+        out = [(g, g, SUMS, pack(at.astype("<i4"), sums[at].astype(np.int64)))]
+        if sweep:  # the sums of sweep 0 are there already
+            tables = own.of_contexts(seating.rare_tables, seating.after_tables)
+            out += [(owner, g, sweep, pack(tables[at])) for owner, at in own.asked(model)]
+        return _messages(out)
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        added = np.zeros(size, np.int64)  # of all groups of the task
         for batch in batches:
-            for g, blob in zip(batch.column("g").to_pylist(), batch.column("b")):
-                own = Restaurants.unpacked(blob.as_py())
-                *_, seating = own.sweeps(model, g, sweep)
-                word, context, f_context = own.frequent_keys >> _SHIFT, own.keys & _MASK, own.frequent_keys & _MASK
-                of = np.bincount(context, seating.tables, model.rare + 1) + np.bincount(f_context, seating.frequent_tables, model.rare + 1)
-                arriving = np.where(f_context == model.rare, own.frequent_counts, seating.frequent_tables)
-                frequent = np.bincount(word, arriving, len(model.words))
-                sums = np.concatenate([of, frequent, [seating.customers.sum(), seating.root_tables.sum()]])
-                at = np.flatnonzero(sums)
-                yield pa.record_batch({"at": pa.array(at, pa.int32()), "n": pa.array(sums[at].astype(np.int64))})
-
-    added = restaurants.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(model.rare + 1 + len(model.words) + 2)
+            for blob in batch.column("b"):
+                at, n = unpack(blob.as_py())
+                added[at] += n
+        at = np.flatnonzero(added)
+        yield pa.record_batch({"at": pa.array(at, pa.int32()), "n": pa.array(added[at])})
+
+    seated = materialize(messages.groupBy("g").applyInPandas(run, MESSAGE), "seated")
+    added = seated.filter(F.col("sweep") == SUMS).select("b").mapInArrow(numbers, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(size)
     sums[added.column("at").to_numpy()] = added.column("n").to_numpy()
     tables_of, rest = sums[: model.rare], sums[model.rare + 1 :]
     frequent, (customers, tables) = rest[: len(model.words)].astype(np.int64), rest[len(model.words) :]
@@ -376,7 +536,7 @@ def _sweep(restaurants: DataFrame, model: Model, sweep: int) -> Totals:
         own_tables = seat(frequent, np.full(len(frequent), weight), d, np.random.Generator(np.random.Philox(key=[sweep, 2**63])))
     else:
         own_tables = np.minimum(frequent, 1)
-    return Totals(tables_of, frequent, own_tables, customers + frequent.sum(), tables + own_tables.sum())
+    return Totals(tables_of, frequent, own_tables, customers + frequent.sum(), tables + own_tables.sum()), seated.filter(F.col("sweep") == sweep)
 
 
 def _predict(model: Model, totals: Totals, counts, tables, context, parent) -> np.ndarray:
@@ -401,7 +561,7 @@ def _hot_pairs(restaurants: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
         for batch in batches:
             for g, blob in zip(batch.column("g").to_pylist(), batch.column("b")):
                 own = Restaurants.unpacked(blob.as_py())
-                hot = np.flatnonzero((own.frequent_counts * CONTEXTS >= model.tokens) & (own.frequent_keys & _MASK != model.rare))
+                hot = np.flatnonzero(own.frequent_counts * CONTEXTS >= model.tokens)
                 if not len(hot):
                     continue
                 keys, total = own.frequent_keys[hot], 0.0
@@ -419,9 +579,20 @@ def _hot_pairs(restaurants: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
 def fit(training: DataFrame) -> tuple[Model, DataFrame]:
     """The bounded part of the model and the stored restaurants. training: column text."""
     model = _first_model(training)
-    restaurants = _restaurants(training, model)
+    stored = _restaurants(training, model)
+    own = stored.filter(F.col("sweep") == RESTAURANT)
+    first = _first_sums(stored.filter(F.col("sweep") == ASKED))
+    asked, messages = first.filter(F.col("sweep") == ASKED), own
     for sweep in range(SWEEPS + 1):
-        model.totals.append(_sweep(restaurants, model, sweep))
+        totals, told = _sweep(messages, model, sweep)
+        model.totals.append(totals)
+        messages = messages.union(_next_sums(asked, told, sweep) if sweep else first.filter(F.col("sweep") == 0))
+    shared = training.sparkSession.sparkContext.broadcast(model)
+
+    def complete(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": [rows["g"].iloc[0]], "b": [_with_sums(shared.value, rows).packed()]})
+
+    restaurants = materialize(messages.groupBy("g").applyInPandas(complete, "g long, b binary"), "restaurants")
     model.hot_keys, model.hot_probability = _hot_pairs(restaurants, model)
     return model, restaurants
 
@@ -429,47 +600,57 @@ def fit(training: DataFrame) -> tuple[Model, DataFrame]:
 def _post(model: Model, piece: pa.RecordBatch, number: int) -> list[tuple[int, int, bytes]]:
     """(group, piece, blob): postings for groups, and the row of the piece itself with what is scored here.
 
-    Postings of rare words: hashes, tokens of each, (context, text) of each token; of pairs of
-    frequent words: (key, text).
+    Postings of rare words: hashes, tokens of each, (context, text) of each token, after frequent
+    and after rare contexts; of pairs of frequent words: (key, text); of frequent words after rare
+    contexts: hashes of these, tokens of each, (word, text); rare contexts that are asked for.
     """
-    tokens, word, context, text = _with_contexts(model, piece.column("text"))
+    tokens, word, context, before, text = _with_contexts(model, piece.column("text"))
     n = piece.num_rows
-    rare = word < 0
+    rare, apart = word < 0, context == model.rare
     base = np.bincount(text[~rare], np.log10(model.counts[word[~rare]] + 1), n).astype(float)
     known = np.bincount(text[~rare], minlength=n)
-    # Frequent words after rare ones have the root's probability; hot pairs a stored one.
-    p = np.zeros(len(tokens))
-    here = ~rare & (context == model.rare)
-    if here.any():
-        roots = np.mean([t.root(t.frequent_customers, t.frequent_tables, model.known) for t in model.totals[-KEPT:]], axis=0)
-        p[here] = roots[word[here]]
+    # Hot pairs have a stored probability.
+    p, hot = np.zeros(len(tokens)), np.zeros(len(tokens), bool)
     if len(model.hot_keys):
         keys = (word << _SHIFT) | context
         at = np.minimum(np.searchsorted(model.hot_keys, keys), len(model.hot_keys) - 1)
-        hot = ~rare & (model.hot_keys[at] == keys)
+        hot = ~rare & ~apart & (model.hot_keys[at] == keys)
         p[hot] = model.hot_probability[at[hot]]
-        here |= hot
-    score = np.bincount(text[here], np.log10(p[here]), n).astype(float)  # whole numbers if there is nothing to add
+        del keys, at
+    score = np.bincount(text[hot], np.log10(p[hot]), n).astype(float)  # whole numbers if there is nothing to add
     ids = piece.column("doc_id")
-    whole = pack(
-        ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), piece.column("held_out").to_numpy(zero_copy_only=False),
-        np.bincount(text, minlength=n).astype("<u4"), known.astype("<u4"), base, score,
-    )
+    no_id, held_out = ids.is_null().to_numpy(zero_copy_only=False), piece.column("held_out").to_numpy(zero_copy_only=False)
+    whole = pack(ids.fill_null(0).to_numpy(), no_id, held_out, np.bincount(text, minlength=n).astype("<u4"), known.astype("<u4"), base, score)
     rows = [(number % model.groups, number, b"W" + whole)]
     bits = max(1, int(n).bit_length())
-    words, place = np.unique(tokens[rare], return_inverse=True)
-    keys = np.sort((place << (_SHIFT + bits)) | (context[rare] << bits) | text[rare])
-    by_group: dict[int, list[np.ndarray]] = {}
-    for g, at in _slices(model.group_of_words(words)[keys >> (_SHIFT + bits)]):
-        own, each = np.unique(keys[at] >> (_SHIFT + bits), return_counts=True)
-        by_group[g] = [words[own], each.astype("<u4"), ((keys[at] >> bits) & _MASK).astype("<u4"), (keys[at] & ((1 << bits) - 1)).astype("<u4")]
-    none = [np.empty(0, U64), *(np.empty(0, "<u4") for _ in range(3))]
-    there = ~rare & ~here
-    keys = np.sort((word[there] << (_SHIFT + bits)) | (context[there] << bits) | text[there])
-    for g, at in _slices(model.group_of_pairs(keys >> (_SHIFT + bits), (keys >> bits) & _MASK)):
-        by_group[g] = [*by_group.get(g, none), steps(keys[at] >> bits), (keys[at] & ((1 << bits) - 1)).astype("<u4")]
-    rows += [(g, number, b"P" + pack(*(a if len(a) == 6 else [*a, np.empty(0, np.int64), np.empty(0, "<u4")]))) for g, a in by_group.items()]
-    return rows
+    low = (1 << bits) - 1
+
+    def postings(at: np.ndarray, head: np.ndarray, tail: np.ndarray, kind: str):
+        """The group of each posting by its head; heads, how often each comes, and (tail, text) of each."""
+        heads, place = np.unique(head[at], return_inverse=True)
+        tails, of = np.unique(tail[at], return_inverse=True)
+        wide = bits + max(1, len(tails).bit_length())
+        keys = np.sort((place << wide) | (of << bits) | text[at])
+
+        def take(at):
+            own, each = _runs(keys[at] >> wide)
+            return [heads[own], each, tails[(keys[at] & ((1 << wide) - 1)) >> bits].astype(kind), (keys[at] & low).astype("<u4")]
+
+        return model.group_of_words(heads)[keys >> wide], take
+
+    there = ~rare & ~apart & ~hot
+    f_keys = np.sort((word[there] << (_SHIFT + bits)) | (context[there] << bits) | text[there])
+    unlearnt = np.unique(before[rare & apart & (no_id | held_out)[text]])
+    del p
+    kinds = [
+        postings(rare & ~apart, tokens, context, "<u4"),
+        (model.group_of_pairs(f_keys >> (_SHIFT + bits), (f_keys >> bits) & _MASK), lambda at: [steps(f_keys[at] >> bits), (f_keys[at] & low).astype("<u4")]),
+        postings(rare & apart, tokens, before, "<u8"),
+        postings(~rare & apart, before, word, "<u4"),
+        (model.group_of_words(unlearnt), lambda at: [unlearnt[at]]),
+    ]
+    del tokens, word, context, before, text, rare, apart, there, hot  # large, and not needed while lists are packed
+    return rows + [(g, number, b"P" + b) for g, b in _to_groups(*kinds)]
 
 
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -481,29 +662,52 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _score_postings(model: Model, own: Restaurants, kept, blob: bytes) -> bytes:
-    """(text, known, base, score) sums of a list of postings."""
-    words, each, context, text, f_keys, f_text = unpack(blob)
-    f_keys, context = np.cumsum(f_keys), context.astype(np.int64)
+    """(text, known, base, score) sums of a list of postings; (text, context, the root's probabilities)
+    of rare words whose context is not here; (context, weights of the root) of the contexts asked for."""
+    words, each, context, text, f_keys, f_text, r_words, r_each, r_before, r_text, a_before, a_each, a_word, a_text, asked = unpack(blob)
+    f_keys, context, a_word = np.cumsum(f_keys), context.astype(np.int64), a_word.astype(np.int64)
     # Rare words: their counts are all in this group.
-    place, there = _found(own.words, words)
-    count_of = np.bincount(own.keys >> _SHIFT, own.counts, max(1, len(own.words)))
-    counts = np.repeat(np.where(there, count_of[place], 0), each)
-    word, is_known = np.repeat(place, each), np.repeat(there, each)
+    count_of = np.bincount(own.keys >> _SHIFT, own.counts, max(1, len(own.words))) + np.bincount(own.rare_keys >> _WIDE, own.rare_counts, max(1, len(own.words)))
+
+    def counted(words, each):
+        place, there = _found(own.words, words)
+        return np.repeat(place, each), np.repeat(there, each), np.repeat(np.where(there, count_of[place], 0), each)
+
+    (word, is_known, counts), (r_word, r_known, r_counts) = counted(words, each), counted(r_words, r_each)
     at, paired = _found(own.keys, np.where(is_known, (word << _SHIFT) | context, -1))
     f_at, f_paired = _found(own.frequent_keys, f_keys)
-    take = lambda values, at, there: np.where(there, values[at], 0) if len(values) else np.zeros(len(at))
-    p, f_p = np.zeros(len(text)), np.zeros(len(f_text))
+    r_context, r_here = _found(own.contexts, r_before)
+    r_at, r_paired = _found(own.rare_keys, np.where(r_known & r_here, (r_word << _WIDE) | r_context, -1))
+    a_context, a_here = (np.repeat(x, a_each) for x in _found(own.contexts, a_before))
+    a_at, a_paired = _found(own.after_keys, np.where(a_here, (a_word << _WIDE) | a_context, -1))
+    asked_at, asked_here = _found(own.contexts, asked)
+    take = lambda values, at, there, other=0: np.where(there, values[at], other) if len(values) else np.full(len(at), float(other))
+    p, f_p, r_p, a_p = (np.zeros(len(t)) for t in (text, f_text, r_text, a_text))
+    roots, weights = [], []
+    d, s = CONTEXT
     for totals, seating in kept:
         parent = totals.root(take(seating.customers, word, is_known), take(seating.root_tables, word, is_known), model.known)
         p += _predict(model, totals, take(own.counts, at, paired), take(seating.tables, at, paired), context, parent)
+        frequent = totals.root(totals.frequent_customers, totals.frequent_tables, model.known)
         if len(f_keys):
-            parent = totals.root(totals.frequent_customers, totals.frequent_tables, model.known)[f_keys >> _SHIFT]
-            f_p += _predict(model, totals, take(own.frequent_counts, f_at, f_paired), take(seating.frequent_tables, f_at, f_paired), f_keys & _MASK, parent)
-    n = int(max(text.max(initial=0), f_text.max(initial=0))) + 1
-    score = np.bincount(text, np.log10(p / KEPT), n) + np.bincount(f_text, np.log10(f_p / KEPT), n)
-    base, known = np.bincount(text, np.log10(counts + 1), n), np.bincount(text, is_known, n)
-    touched = np.flatnonzero((np.bincount(text, minlength=n) + np.bincount(f_text, minlength=n)) > 0)
-    return pack(steps(touched).astype("<u4"), known[touched].astype("<u4"), base[touched], score[touched].astype("<f4"))
+            f_p += _predict(model, totals, take(own.frequent_counts, f_at, f_paired), take(seating.frequent_tables, f_at, f_paired), f_keys & _MASK, frequent[f_keys >> _SHIFT])
+        # After rare contexts; the root's weight is 1 where a context was never learnt.
+        back_off, of = own.back_off(own.tables_of[seating.sweep]), s + own.customers_of
+        parent = totals.root(take(seating.customers, r_word, r_known), take(seating.root_tables, r_word, r_known), model.known)
+        seated = np.maximum(take(own.rare_counts, r_at, r_paired) - d * take(seating.rare_tables, r_at, r_paired), 0) / take(of, r_context, r_here, 1)
+        r_p += seated + take(back_off, r_context, r_here, 1) * parent
+        seated = np.maximum(take(own.after_counts, a_at, a_paired) - d * take(seating.after_tables, a_at, a_paired), 0) / take(of, a_context, a_here, 1)
+        a_p += seated + take(back_off, a_context, a_here, 1) * frequent[a_word]
+        roots.append(parent[~r_here])
+        weights.append(take(back_off, asked_at, asked_here, 1))
+    open_text, open_before = r_text[~r_here], r_before[~r_here]
+    texts = np.concatenate([text, f_text, r_text[r_here], a_text]).astype(np.int64)
+    n = int(max(texts.max(initial=0), open_text.max(initial=0))) + 1
+    score = np.bincount(texts, np.log10(np.concatenate([p, f_p, r_p[r_here], a_p]) / KEPT), n)
+    base = np.bincount(text, np.log10(counts + 1), n) + np.bincount(r_text, np.log10(r_counts + 1), n)
+    known = np.bincount(text, is_known, n) + np.bincount(r_text, r_known, n)
+    touched = np.flatnonzero((np.bincount(texts, minlength=n) + np.bincount(open_text, minlength=n)) > 0)
+    return pack(steps(touched).astype("<u4"), known[touched].astype("<u4"), base[touched], score[touched].astype("<f4"), open_text, open_before, *roots, asked, *weights)
 
 
 def score_documents(documents: DataFrame) -> DataFrame:
@@ -531,12 +735,21 @@ def score_documents(documents: DataFrame) -> DataFrame:
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
         whole = next(b for b in rows["b"] if b[:1] == b"W")
         ids, no_id, held_out, tokens, known, base, total = (a.copy() for a in unpack(whole[1:]))
+        apart, weighed = [], []
         for blob in sorted(b for b in rows["b"] if b[:1] == b"P"):
-            at, more_known, more_base, more = unpack(blob[1:])
+            at, more_known, more_base, more, *rest = unpack(blob[1:])
+            apart.append(rest[: 2 + KEPT])
+            weighed.append(rest[2 + KEPT :])
             at = np.cumsum(at.astype(np.int64))
             known[at] += more_known
             base[at] += more_base
             total[at] += more
+        if apart:  # rare words and their contexts met in no group
+            text, before, *roots = (np.concatenate(a) for a in zip(*apart))
+            contexts, *weights = (np.concatenate(a) for a in zip(*weighed))
+            order = np.argsort(contexts)
+            at = order[np.searchsorted(contexts, before, sorter=order)] if len(before) else order[:0]
+            total += np.bincount(text, np.log10(sum(r * w[at] for r, w in zip(roots, weights)) / KEPT), len(total))
         base -= tokens * math.log10(shared.value.tokens + shared.value.known + 1)
         frame = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": held_out, "n_tokens": tokens.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": shared.value.tokens, "base_score": base, "score": total})
         frame.loc[no_id, "doc_id"] = pd.NA

@@ -112,3 +112,71 @@ def test_partitioning_does_not_change_scores(spark, rows):
 def test_small_tables(spark, rows):
     found = P.score_documents(documents(spark, rows)).collect()
     assert len(found) == len(rows) and all(math.isfinite(r.score) for r in found)
+
+
+def test_rare_contexts_are_learnt(spark, rows, monkeypatch):
+    """With 20 frequent words, held-out text is predicted as well as with all words frequent."""
+    gains = []
+    for contexts in (1 << 16, 20):
+        monkeypatch.setattr(P, "CONTEXTS", contexts)
+        held = [r for r in P.score_documents(documents(spark, rows)).collect() if r.held_out]
+        gains.append(sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held))
+    assert gains[0] > 0.4 and gains[1] == pytest.approx(gains[0], abs=0.03)
+
+
+def test_scores_follow_from_the_seating(spark, rows, monkeypatch):
+    """Scores computed in one place from all pairs, with sums over each context taken from these."""
+    monkeypatch.setattr(P, "CONTEXTS", 200)
+    monkeypatch.setattr(P, "PIECE_BYTES", 3000)
+    learnt = [(i, t) for i, t in rows if i is not None and crc32(str(i).encode()) % 7 != 2]
+    model, restaurants = P.fit(documents(spark, learnt).select("text"))
+    pairs = [{} for _ in range(P.KEPT)]
+    at_root = [dict(zip(model.words.tolist(), zip(t.frequent_customers, t.frequent_tables))) for t in model.totals[-P.KEPT :]]
+    names = [*model.words.tolist(), "start"]
+    for r in restaurants.collect():
+        own = P.Restaurants.unpacked(bytes(r.b))
+        words, contexts = own.words.tolist(), own.contexts.tolist()
+        for k, (_, seating) in enumerate(P._kept(model, own, r.g)):
+            for keys, bits, counts, tables, dishes, places in (
+                (own.keys, P._SHIFT, own.counts, seating.tables, words, names),
+                (own.frequent_keys, P._SHIFT, own.frequent_counts, seating.frequent_tables, names, names),
+                (own.rare_keys, P._WIDE, own.rare_counts, seating.rare_tables, words, contexts),
+                (own.after_keys, P._WIDE, own.after_counts, seating.after_tables, names, contexts),
+            ):
+                for key, n, t in zip(keys.tolist(), counts.tolist(), tables.tolist()):
+                    pair = (dishes[key >> bits], places[key & ((1 << bits) - 1)])
+                    assert pair not in pairs[k]
+                    pairs[k][pair] = (n, t)
+            at_root[k].update(zip(words, zip(seating.customers.tolist(), seating.root_tables.tolist())))
+    everything = Counter()
+    hashed = lambda t: P._tokens(P.pa.array([t or ""]))[0].tolist()
+    for _, text in learnt:
+        own = hashed(text)
+        everything.update(zip(own, ["start", *own]))
+    assert {pair: n for pair, (n, _) in pairs[0].items()} == everything
+    sums = [{} for _ in range(P.KEPT)]
+    for k in range(P.KEPT):
+        arriving = Counter()
+        for (w, c), (n, t) in pairs[k].items():
+            customers, tables = sums[k].get(c, (0, 0))
+            sums[k][c] = (customers + n, tables + t)
+            arriving[w] += t
+        assert arriving == Counter({w: n for w, (n, _) in at_root[k].items()})
+    d, s = P.CONTEXT
+
+    def score(text):
+        total, own = 0.0, hashed(text)
+        for w, c in zip(own, ["start", *own]):
+            p = 0.0
+            for k, totals in enumerate(model.totals[-P.KEPT :]):
+                (n, t), (customers, tables) = pairs[k].get((w, c), (0, 0)), sums[k].get(c, (0, 0))
+                root = totals.root(*(np.array([x]) for x in at_root[k].get(w, (0, 0))), model.known)[0]
+                p += (max(n - d * t, 0) + (s + d * tables) * root) / (s + customers)
+            total += math.log10(p / P.KEPT)
+        return total
+
+    found = rows_of(P.score_documents(documents(spark, rows).repartition(3)), "doc_id", "n_tokens", "score")
+    expected = sorted(((i, len(tokens(t)), score(t)) for i, t in rows), key=str)
+    assert sum(c not in names for _, c in pairs[0]) > 400
+    assert [f[:2] for f in found] == [e[:2] for e in expected]
+    assert [f[2] for f in found] == pytest.approx([e[2] for e in expected], rel=1e-5)
