@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe_codec, decontamination, embedding_dedup, licenses, minhash, pitman_yor, quality, secrets, substring_dedup, token_counts
+from eventloom.llm import bpe_codec, decontamination, embedding_dedup, licenses, minhash, personal_data, pitman_yor, quality, ranked_search, secrets, spelling, substring_dedup, token_counts
 from eventloom.llm.text import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -63,6 +75,9 @@ QUERIES: dict[str, Query] = {
     "op8_minhash": op8_minhash,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_personal_data": op11_personal_data,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_spelling": op13_spelling,
 }
 
 OP1_SQL = r"""
@@ -128,4 +143,79 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.co
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON s.doc_id = c.a
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op8_minhash": OP8_SQL}
+OP12_SQL = r"""
+WITH terms AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM documents WHERE text IS NOT NULL
+), postings AS (
+    SELECT doc_id, t, count(*) AS tf FROM terms GROUP BY doc_id, t
+), lengths AS (
+    SELECT doc_id, sum(tf)::BIGINT AS n FROM postings GROUP BY doc_id
+), totals AS (
+    SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM lengths
+), weights AS (
+    SELECT t, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, totals GROUP BY t
+), norms AS (
+    SELECT doc_id, 50 + (50 * n * big_n) // big_l AS m FROM lengths, totals
+), items AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM benchmark WHERE text IS NOT NULL
+), scores AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+    FROM items JOIN postings USING (t) JOIN weights USING (t) JOIN norms USING (doc_id) GROUP BY item_id, doc_id
+), ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+#: Patterns of one position (a letter replaced, a letter gone) stand for the signatures.
+OP13_SQL = """
+WITH RECURSIVE crc_table AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t
+), runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents WHERE text IS NOT NULL)
+), hashes AS (
+    SELECT id, run, xor(4294967295, list_reduce(
+        list_transform(range(0, octet_length(encode(id || ':' || run))), lambda i: ('0x' || substr(hex(encode(id || ':' || run)), 2 * i + 1, 2))::BIGINT),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT)) AS h
+    FROM (SELECT DISTINCT id, run FROM runs), crc_table
+), words AS (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word
+    FROM runs JOIN hashes USING (id, run)
+), counts AS (
+    SELECT word, count(*) AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), spots AS (
+    SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM counts
+), cuts AS (
+    SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM spots
+), near AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cuts a JOIN counts b ON a.head || a.tail = b.word
+    UNION SELECT b.word, a.word, a.n FROM cuts a JOIN counts b ON a.head || a.tail = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(other_n) AS top_n FROM near GROUP BY word
+), firsts AS (
+    SELECT near.word, min(other) AS form FROM near JOIN best ON near.word = best.word AND other_n = top_n GROUP BY near.word
+), formed AS (
+    SELECT counts.word, counts.n, coalesce(n_near, 0) AS n_near,
+           CASE WHEN top_n >= 10 * counts.n THEN firsts.form END AS form, CASE WHEN top_n >= 10 * counts.n THEN top_n END AS form_n
+    FROM counts LEFT JOIN best ON counts.word = best.word LEFT JOIN firsts ON counts.word = firsts.word
+), chain AS (
+    SELECT word, word AS root FROM formed
+    UNION
+    SELECT c.word, f.form FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL
+), roots AS (
+    SELECT c.word, c.root FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NULL
+)
+SELECT formed.word, n, n_near, form, form_n, root FROM formed JOIN roots ON formed.word = roots.word
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": OP1_SQL,
+    "op5_embedding_dedup": OP5_SQL,
+    "op8_minhash": OP8_SQL,
+    "op12_ranked_search": OP12_SQL,
+    "op13_spelling": OP13_SQL,
+}
