@@ -28,9 +28,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.llm.text import Words, letters_and_digits, small_batches
 from eventloom.session import materialize
@@ -96,20 +97,35 @@ def _post(table: pa.Table) -> pa.Table:
     return pa.table(columns, names)
 
 
+def _lengths(texts: pa.Array) -> np.ndarray:
+    """How many terms each text has."""
+    return np.diff(Words(texts, letters_and_digits(), lower=True, hashed=False).first)
+
+
+@F.arrow_udf(T.LongType())
+def _length(texts: pa.Array) -> pa.Array:
+    return pa.array(_lengths(texts), pa.int64())
+
+
+def _normaliser(documents: int, tokens: int):
+    @F.arrow_udf(T.LongType())
+    def normaliser(texts: pa.Array) -> pa.Array:
+        return pa.array([100 - SHARE + SHARE * n * documents // tokens if n else 0 for n in _lengths(texts).tolist()], pa.int64())
+
+    return normaliser
+
+
 def build_index(documents: DataFrame, text: str = "text", part_tokens: int = PART_TOKENS) -> Index:
     """Index of all documents that have terms."""
-    n = F.regexp_count(text, F.lit(TERM)).cast("long")
-    lengths = documents.select(n.alias("n")).filter("n > 0").groupBy("n").agg(F.count("*").alias("documents"))
-    lengths = materialize(lengths, "search-lengths")
+    texts = small_batches(documents).select("doc_id", F.col(text).alias("text"))
+    lengths = materialize(texts.groupBy(_length("text").alias("n")).agg(F.count("*").alias("documents")).filter("n > 0"), "search-lengths")
     row = lengths.agg(F.sum("documents").alias("documents"), F.sum(F.col("n") * F.col("documents")).alias("tokens")).first()
     count, tokens = int(row.documents or 0), int(row.tokens or 0)
-
-    def stratum(n: Column) -> Column:
-        return F.expr(f"{100 - SHARE} + ({SHARE} * n * {count}L) div {max(tokens, 1)}L").cast("long")
-
-    parts = lengths.groupBy(stratum(F.col("n")).alias("m")).agg(F.ceil(F.sum(F.col("n") * F.col("documents")) / part_tokens).cast("int").alias("parts"))
-    numbered = documents.select("doc_id", F.col(text).alias("text"), n.alias("n")).filter("n > 0").select("*", stratum(F.col("n")).alias("m"), F.monotonically_increasing_id().alias("row"))
-    dealt = small_batches(numbered).join(F.broadcast(parts) if lengths.count() <= 1_000_000 else parts, "m")
+    strata = lengths.groupBy(F.expr(f"{100 - SHARE} + ({SHARE} * n * {count}L) div {max(tokens, 1)}L").cast("long").alias("m"))
+    parts = strata.agg(F.ceil(F.sum(F.col("n") * F.col("documents")) / part_tokens).cast("int").alias("parts"))
+    numbered = texts.select("*", _normaliser(count, max(tokens, 1))("text").alias("m"), F.monotonically_increasing_id().alias("row"))
+    # Texts without terms have no stratum.
+    dealt = numbered.join(F.broadcast(parts) if lengths.count() <= 1_000_000 else parts, "m")
     dealt = dealt.select("m", F.pmod(F.xxhash64("row"), "parts").cast("int").alias("part"), "row", "doc_id", "text")
     postings = dealt.groupBy("m", "part").applyInArrow(_post, POSTINGS)
     return Index(materialize(postings, "search-postings"), count)
