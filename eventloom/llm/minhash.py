@@ -17,8 +17,8 @@ all pairs: twice, each class is confirmed with the nearest hub it meets, a hub b
 of a key that most others are close to; this joins nearly all that belongs together. Then, within
 the keys that still hold classes of several components, all pairs across components are
 confirmed that are within the radius, of the signature and of one of ``LONG`` symbols that only
-candidates have. Pairs of one component are skipped; no other pair is. Large keys are dealt out
-in pairs of blocks.
+candidates have, inside the task that holds the key's members, which gives a spanning forest of them. Pairs of one
+component are skipped; no other pair is. Large keys are dealt out in pairs of blocks.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Null and wordless texts have no shingles,
 link with nothing and are kept. Rows with the same or no id are told apart by their sets; a null
@@ -50,6 +50,8 @@ MISSED = 1e-6
 PIECE_BYTES = 2 << 20
 #: Members of a key compared in one task at once, twice over.
 BLOCK = 2000
+#: Bytes of full sets that a task keeps while it confirms pairs.
+SET_BYTES = 64 << 20
 #: Bits of the map that says which rows' texts are wanted for confirmation.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 
@@ -222,9 +224,21 @@ def _nearest(members: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     return best.select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
-def _across(members: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """All pairs (a, b) of different components within the radius, each once."""
-    return _compared(members, nodes, threshold, _near_pairs, "a long, b long")
+def _across(members: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links (a, b) that join all that is linked across components: a spanning forest of each group.
+
+    First, each group's members that have a partner within the radius are found; only they come again with
+    their texts, to the task that confirms pairs on full sets. A pair that earlier links of the group join
+    is skipped, so no pair becomes a row and a group gives fewer links than it has members.
+    """
+    with_partner = _compared(members, nodes, threshold, _partners, ", ".join(f"{c} long" for c in _Members.COLUMNS))
+    partners = materialize(with_partner, "partners")
+    rows = partners.join(nodes.select("node", "signature", "long"), "node").join(texts.select("node", "packed"), "node")
+
+    def forest(rows: _Members, threshold: int) -> pa.RecordBatch:
+        return _forest(rows, k, threshold)
+
+    return _grouped(rows, threshold, forest, "a long, b long", [*_Members.COLUMNS, "signature", "long", "packed"])
 
 
 def _compared(members: DataFrame, nodes: DataFrame, threshold: int, compare, schema: str) -> DataFrame:
@@ -233,7 +247,6 @@ def _compared(members: DataFrame, nodes: DataFrame, threshold: int, compare, sch
     members: (key, slot, node, component); nodes: (node, n, signature, long). Members of large
     keys are dealt into blocks, of which each pair (i, j), i <= j, is a group of its own.
     """
-    columns = ["key", "i", "j", "slot", "node", "component", "n", "block", "signature", "long"]
     mixed = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     mixed = materialize(mixed.select("key", "size"), "mixed-keys")
     rows = members.join(mixed, "key").join(nodes, "node")
@@ -241,6 +254,11 @@ def _compared(members: DataFrame, nodes: DataFrame, threshold: int, compare, sch
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return _grouped(rows, threshold, compare, schema, [*_Members.COLUMNS, "signature", "long"])
+
+
+def _grouped(rows: DataFrame, threshold: int, compare, schema: str, columns: list[str]) -> DataFrame:
+    """Runs ``compare`` over the groups (key, i, j) of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups follow each other; the rows of the last one wait for the next batch."""
@@ -258,7 +276,8 @@ def _compared(members: DataFrame, nodes: DataFrame, threshold: int, compare, sch
                 yield compare(_Members(rows.slice(0, stop), np.cumsum(new[:stop])), threshold)
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    typed = rows.select(*(F.col(c).cast("long").alias(c) for c in columns[:-2]), *columns[-2:])
+    binary = columns[len(_Members.COLUMNS) :]
+    typed = rows.select(*(F.col(c).cast("long").alias(c) for c in _Members.COLUMNS), *binary)
     ordered = typed.repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return ordered.mapInArrow(run, schema)
 
@@ -266,10 +285,13 @@ def _compared(members: DataFrame, nodes: DataFrame, threshold: int, compare, sch
 class _Members:
     """Members of keys, as columns; ``group`` numbers the (key, i, j) they are in, in order."""
 
+    COLUMNS = ["key", "i", "j", "slot", "node", "component", "n", "block"]
+
     def __init__(self, rows: pa.Table, group: np.ndarray):
         self.group = group
-        for c in ("i", "j", "slot", "node", "component", "n", "block"):
+        for c in self.COLUMNS:
             setattr(self, c, rows.column(c).to_numpy())
+        self.packed = rows.column("packed") if "packed" in rows.column_names else None
         self.signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u2").reshape(-1, SYMBOLS)
         long = b"".join(rows.column("long").to_pylist())
         self.long = np.frombuffer(long, "<u2").reshape(-1, LONG) if long else None
@@ -287,11 +309,10 @@ class _Members:
             yield np.flatnonzero(pair), step
 
 
-def _near_pairs(rows: _Members, threshold: int) -> pa.RecordBatch:
-    """Pairs within the radius of both signatures, in the first key that the two share."""
+def _near_pairs(rows: _Members, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, distance): rows within the radius of both signatures, in the first key that the two share."""
     parts = chunks(threshold)
     starts = np.array([p[0] for p in parts])
-    left, right = [], []
     for x, step in rows.steps(threshold):
         differ = rows.signatures[x] != rows.signatures[x + step]
         keep = differ.sum(axis=1) <= radius(threshold)
@@ -303,12 +324,57 @@ def _near_pairs(rows: _Members, threshold: int) -> pa.RecordBatch:
         wrong = differ & of_chunk & (errors[np.arange(len(x)), chunk] == 1)[:, None]
         slot = np.where(wrong.any(axis=1), np.argmax(wrong, axis=1), starts[chunk])
         x = x[slot == rows.slot[x]]
-        x = x[(rows.long[x] != rows.long[x + step]).sum(axis=1) <= radius(threshold, LONG)]
-        left.append(rows.node[x])
-        right.append(rows.node[x + step])
+        distance = (rows.long[x] != rows.long[x + step]).sum(axis=1)
+        keep = distance <= radius(threshold, LONG)
+        yield x[keep], x[keep] + step, distance[keep]
+
+
+def _partners(rows: _Members, threshold: int) -> pa.RecordBatch:
+    """The rows that are near another of their group."""
+    found = np.zeros(len(rows.group), bool)
+    for x, y, _ in _near_pairs(rows, threshold):
+        found[x] = found[y] = True
+    return pa.record_batch({c: pa.array(getattr(rows, c)[found]) for c in rows.COLUMNS})
+
+
+def _forest(rows: _Members, k: int, threshold: int) -> pa.RecordBatch:
+    """Links of a spanning forest of each group's linked rows; the nearest pairs are confirmed first."""
+    near = list(_near_pairs(rows, threshold))
     none = np.empty(0, np.int64)
-    a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
-    return pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+    x, y, distance = (np.concatenate([none, *(part[i] for part in near)]) for i in range(3))
+    order = np.lexsort((y, x, distance, rows.group[x]))
+    roots: dict[tuple[int, int], tuple[int, int]] = {}
+    press, sets, held = zstandard.ZstdDecompressor(), {}, 0
+
+    def root(node: tuple[int, int]) -> tuple[int, int]:
+        while (up := roots.get(node, node)) != node:
+            roots[node] = roots.get(up, up)
+            node = up
+        return node
+
+    def set_of(row: int) -> np.ndarray:
+        nonlocal held
+        node = int(rows.node[row])
+        if node not in sets:
+            if held > SET_BYTES:
+                sets.clear()
+                held = 0
+            text = press.decompress(rows.packed[row].as_py()).decode()
+            sets[node] = shingle_sets(pa.array([text], pa.string()), k)[0]
+            held += sets[node].nbytes
+        return sets[node]
+
+    links = []
+    for a, b in zip(x[order].tolist(), y[order].tolist()):
+        group = int(rows.group[a])
+        left, right = root((group, int(rows.component[a]))), root((group, int(rows.component[b])))
+        if left != right:
+            first, second = set_of(a), set_of(b)
+            common = len(np.intersect1d(first, second, assume_unique=True))
+            if 100 * common >= threshold * (len(first) + len(second) - common):
+                roots[left] = right
+                links.append((int(rows.node[a]), int(rows.node[b])))
+    return pa.record_batch({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
 def _hub_pairs(rows: _Members, threshold: int) -> pa.RecordBatch:
@@ -350,11 +416,9 @@ def duplicate_groups(documents: DataFrame, k: int, threshold: int, text: str = "
     stars = members.join(links.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left")
     second = materialize(_nearest(materialize(stars.withColumn("component", F.coalesce("component", "node")), "stars"), nodes, threshold), "hub-pairs")
     links = materialize(links.union(confirmed(second, texts, k, threshold)), "hub-links")
-    tried = first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = materialize(components(links), "components")
     apart = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    pairs = materialize(_across(materialize(apart, "apart"), nodes, threshold), "pairs")
-    new = materialize(confirmed(pairs.join(tried, ["a", "b"], "left_anti"), texts, k, threshold), "links")
+    new = materialize(_across(materialize(apart, "apart"), nodes, texts, k, threshold), "links")
     if not new.isEmpty():
         found = materialize(components(links.union(new)), "components")
 
