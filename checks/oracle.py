@@ -78,6 +78,25 @@ def _digest_number(seed: int, key: str = "rid") -> str:
     return f"CAST(concat('0x', substr({_digest(seed, key)}, 1, 8)) AS BIGINT)"
 
 
+def _digamma(x: str) -> str:
+    """The recurrence up to x + 8, then the asymptotic series."""
+    far = f"({x} + 8.0::DOUBLE)"
+    steps = " - ".join(f"1.0::DOUBLE / ({x} + {i})" for i in range(8))
+    return f"(ln{far} - 0.5 / {far} - 1.0::DOUBLE / (12 * {far}^2) + 1.0::DOUBLE / (120 * {far}^4) - 1.0::DOUBLE / (252 * {far}^6) + 1.0::DOUBLE / (240 * {far}^8) - 1.0::DOUBLE / (132 * {far}^10) - {steps})"
+
+
+def _neighbours(feature: str) -> str:
+    """Of each row the third distance in its class, and the rows nearer than that; values are multiples of 2^-33."""
+    near = [f"{f}(x, {i}) OVER c" for f in ("lag", "lead") for i in (1, 2, 3)]
+    distances = ", ".join(f"abs(x - {n})" for n in near)
+    return f"""SELECT '{feature}' AS feature, round(greatest({_digamma("count(*)::DOUBLE")} + avg({_digamma("k::DOUBLE")} - {_digamma("n::DOUBLE")} - {_digamma("near::DOUBLE")}), 0), 9) AS mi FROM (
+  SELECT n, k, count(*) OVER (ORDER BY x RANGE BETWEEN r PRECEDING AND r FOLLOWING) AS near FROM (
+    SELECT x, n, k, greatest(list_sort(list_filter([{distances}], lambda v: v IS NOT NULL))[k::BIGINT] - pow(2::DOUBLE, -33), 0) AS r FROM (
+      SELECT *, count(*) OVER (PARTITION BY CAMEOCode) AS n, least(3, count(*) OVER (PARTITION BY CAMEOCode) - 1) AS k FROM (
+        SELECT rid, CAMEOCode, {feature}::DOUBLE + floor({_digest_number(0)} / 4096::DOUBLE) / 1048576 / 8192 AS x FROM valid))
+    WHERE n > 1 WINDOW c AS (PARTITION BY CAMEOCode ORDER BY x, rid)))"""
+
+
 def _mi(feature: str, value: str, source: str) -> str:
     return f"""SELECT '{feature}' AS feature, round(sum(c / t * ln(c * t / (cv * cl))), 9) + 0.0 AS mi FROM (
   SELECT c, sum(c) OVER () AS t, sum(c) OVER (PARTITION BY v) AS cv, sum(c) OVER (PARTITION BY l) AS cl FROM (
@@ -194,7 +213,7 @@ def oracle_sql() -> dict[str, str]:
         "growing_dictionary": _growing_dictionary(),
         "code_lookup_scan": f"SELECT {LOOKUP_CODE.replace('string', 'varchar')} AS code, p_name AS description FROM part",
         "sequence_table": f"{WITH_ACTIVITY} {_STEPS}",
-        "sample_head": f"{WITH_RAW} SELECT rid, Date, Source, Target, CAMEOCode, NumEvents, NumArts FROM raw ORDER BY Date, rid LIMIT 1000",
+        "sample_head": f"{WITH_RAW} SELECT rid, Date, Source, Target, CAMEOCode, NumEvents, NumArts FROM raw ORDER BY Date, rid LIMIT 100000",
         "large_head": f"{WITH_RAW} SELECT rid, Date, CAMEOCode FROM raw ORDER BY Date, rid LIMIT 12000",
         "actor_events": f"{WITH_RAW}, e AS (SELECT * FROM ({WITH_ENCODED} SELECT * FROM encoded)) SELECT e.rid, {', '.join('e.' + c for c in MODEL_COLUMNS)} FROM e JOIN raw ON raw.rid = e.rid WHERE e.CAMEOCode <= 22 AND raw.Source = 'USA'",
         "prediction_rows": f"{WITH_VALID} SELECT rid, CAST(CAMEOCode AS DOUBLE) AS label, 23 AS classes, true AS in_range, true AS sums_to_one FROM valid WHERE substr({_digest(42)}, 1, 8) < '33333333'",
@@ -233,6 +252,7 @@ def oracle_sql() -> dict[str, str]:
         "correlation_matrix": _correlation(),
         "feature_scores": f"{WITH_VALID} " + " UNION ALL ".join(_mi(f, f, "valid") for f in FEATURES),
         "binned_feature_scores": f"{WITH_VALID} " + " UNION ALL ".join(_mi(f, _bin(f), "valid") for f in _BINNED),
+        "neighbour_scores": f"{WITH_VALID} " + " UNION ALL ".join(_neighbours(f) for f in ["Source", "NumEvents", "NumArts", "SourceGeoLatInt", "TargetGeoLatInt"]),
         "top_features": f"{WITH_VALID}, scores AS (" + " UNION ALL ".join(_mi(f, f, "valid") for f in FEATURES) + ") SELECT * FROM scores ORDER BY mi DESC, feature LIMIT 5",
         "distinct_labels": f"{WITH_ENCODED} SELECT DISTINCT CAMEOCode AS label FROM encoded",
         "accuracy": f"{WITH_GUESSES} SELECT count(*) AS n, round(avg({_EQUAL}), 9) AS accuracy, round(1 - avg({_EQUAL}), 9) AS test_error FROM guesses",
@@ -250,6 +270,7 @@ def oracle_sql() -> dict[str, str]:
         # classification: what is known of models without fitting them
         "validation_scores": f"{WITH_VALID}, parts AS (SELECT CASE WHEN {_held_out(42)} THEN 'validation' ELSE 'train' END AS part FROM valid) SELECT part, count(*) AS n, true AS is_share FROM parts GROUP BY part",
         "boosted_trees": _predicted(_held_out(100)),
+        "boosting_curve": f"{WITH_VALID}, parts AS (SELECT CASE WHEN {_held_out(100)} THEN 'validation' ELSE 'train' END AS part, CAMEOCode FROM valid) SELECT part, count(*) AS n, round(ln(23), 5) AS first_loss, round(avg(CASE WHEN CAMEOCode = 0 THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS first_accuracy, true AS falls, true AS complete FROM parts GROUP BY part",
         "random_forest": _predicted(_held_out(42)),
         "dense_network": _predicted(_held_out(42)),
         "dense_reload": f"{WITH_VALID} SELECT rid, CAST(CAMEOCode AS DOUBLE) AS label, true AS same FROM valid WHERE {_held_out(42)}",
@@ -259,6 +280,7 @@ def oracle_sql() -> dict[str, str]:
         "sequence_history": "SELECT CAST(0 AS INTEGER) AS first_iteration, true AS is_loss, true AS falls",
         "sequence_network": f"{WITH_ACTIVITY}, w AS (SELECT row_number() OVER (ORDER BY ts DESC, event_id DESC) AS back FROM numbered WHERE seq >= 30) SELECT CASE WHEN back <= 300 THEN 'validation' ELSE 'train' END AS part, count(*) AS n, true AS is_share FROM w GROUP BY 1",
         "cross_validation": f"{WITH_VALID}, folds AS (SELECT CAST((row_number() OVER (PARTITION BY CAMEOCode ORDER BY {_digest(0)}, rid) - 1) % 2 AS INTEGER) AS fold FROM valid) SELECT fold, count(*) AS n, true AS is_share FROM folds GROUP BY fold",
+        "halving_rungs": "SELECT CAST(rung AS INTEGER) AS rung, CAST(rounds AS INTEGER) AS rounds, CAST(candidates AS INTEGER) AS candidates, CAST(2 * candidates AS INTEGER) AS fits FROM (VALUES (0, 1, 12), (1, 3, 4), (2, 9, 2)) r(rung, rounds, candidates)",
         "grid_search": _CANDIDATES,
         "search_results": _CANDIDATES,
         # splits
@@ -266,5 +288,6 @@ def oracle_sql() -> dict[str, str]:
         "random_split": f"{WITH_VALID} SELECT rid, CASE WHEN {_digest_number(0)} < 3006477107 THEN 'train' ELSE 'test' END AS part FROM valid",
         "stratified_folds": _NUMBERED_FOLDS,
         "stratified_folds_ranged": _NUMBERED_FOLDS,
+        "quantile_folds": f"{WITH_VALID} SELECT rid, CAMEOCode, CAST(ntile(3) OVER (PARTITION BY CAMEOCode ORDER BY {_digest(9)}, rid) - 1 AS INTEGER) AS fold FROM valid",
         "hashed_folds": f"{WITH_VALID} SELECT rid, CAMEOCode, CAST({_digest_number(9)} % 3 AS INTEGER) AS fold FROM valid",
     }

@@ -31,3 +31,13 @@ def correlation(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Col
 def n_log_n(n: Column) -> Column:
     """``n ln n``, the term entropies of counts are sums of."""
     return n * F.log(n.cast("double"))
+
+
+def digamma(x: Column) -> Column:
+    """The logarithmic derivative of the gamma function, for x >= 1, to about 1e-12."""
+    x = x.cast("double")
+    # psi(x) = psi(x + 8) - the sum of 1 / (x + i); beyond 8 the asymptotic series is exact enough.
+    far = x + 8
+    square = 1 / (far * far)
+    series = F.log(far) - 0.5 / far - square * (1 / 12 - square * (1 / 120 - square * (1 / 252 - square * (1 / 240 - square / 132))))
+    return series - sum((1 / (x + i) for i in range(1, 8)), 1 / x)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.events import root_code
-from eventloom.operators.ordering import HOT_ROWS, group_load, hot_groups
+from eventloom.operators.ordering import HOT_ROWS, group_load, hot_marks
 
 # A lookup table is broadcast up to this many rows and text bytes.
 BROADCAST_ROWS = 1_000_000
@@ -15,7 +15,7 @@ BROADCAST_BYTES = 64 * 2**20
 # Rows of one hot value are dealt out to at most this many tasks.
 MAX_SALTS = 10_000
 
-_FOUND, _HOT, _SALT, _AT = "__key", "__hot", "__salt", "__salt_of"
+_FOUND, _SALT, _AT, _KEY = "__key", "__salt", "__salt_of", "__typed_key"
 
 
 def measure(dim: DataFrame) -> list[Column]:
@@ -43,9 +43,9 @@ def lookup(
 
     Whether a table may be broadcast, and whether its keys are unique, is measured unless
     ``broadcast`` says it. In a join by shuffle, rows of values above ``hot_rows`` rows are
-    dealt out by a salt that each of those values' entries has in all its values. The salt
-    is a hash of the row, so a recomputed task deals as the lost one did. ``df`` is read
-    twice then, for the counts and for the join.
+    dealt out by a salt that each of those values' entries has in all its values, before
+    any shuffle by value. The salt is a hash of the row, so a recomputed task deals as the lost one
+    did. ``df`` is read two or three times then, for the counts and for the join.
     """
     if broadcast is None:
         broadcast = fits_broadcast(dim)
@@ -61,13 +61,13 @@ def lookup(
     if load is None or load.largest <= hot_rows:
         return df.join(dim, matched, "left").drop(_FOUND)
     salts = min(MAX_SALTS, -(-load.largest // hot_rows))
-    hot = hot_groups(df, [column], hot_rows, load).select(F.col(column).alias(_HOT), F.lit(True).alias(_SALT))
-    dealt = df.join(hot, F.col(column).eqNullSafe(F.col(_HOT)), "left")
+    marks = hot_marks(df, [column], hot_rows, load)
     salt = F.when(F.col(_SALT), F.pmod(F.xxhash64(*df.columns), F.lit(salts))).otherwise(0)
-    dealt = dealt.select(*df.columns, F.coalesce(salt, F.lit(0)).alias(_SALT))
-    entries = dim.join(hot, F.col(_FOUND).eqNullSafe(F.col(_HOT)), "left")
+    dealt = marks.mark(df, [column], _SALT).select(*df.columns, salt.alias(_SALT))
+    # Keys are hashed as the column's type has them.
+    typed = dim.withColumn(_KEY, F.col(_FOUND).cast(df.schema[column].dataType))
     every = F.when(F.col(_SALT), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    entries = entries.select(*dim.columns, F.explode(every).alias(_AT))
+    entries = marks.mark(typed, [_KEY], _SALT).select(*dim.columns, F.explode(every).alias(_AT))
     joined = dealt.join(entries, matched & (F.col(_SALT) == F.col(_AT)), "left")
     return joined.drop(_FOUND, _SALT, _AT)
 

@@ -24,7 +24,12 @@ from eventloom.session import materialize
 HOT_ROWS = 5_000_000
 # A list of up to this many hot groups is broadcast; a longer one is joined by shuffle.
 MAX_HOT_GROUPS = 10_000
+# Split points in one plan; a table that needs more is cut in two levels.
 MAX_SPLITS = 16_384
+# Second-level split points up to this number are broadcast.
+MAX_POINTS = 1_000_000
+# Groups are first counted by this many hash buckets.
+BUCKETS = 1 << 18
 _SAMPLE_FACTOR = 4
 # Up to this many first rows are found by a plain top-n.
 TOP_N = 10_000
@@ -33,38 +38,86 @@ SORT_ROWS = 100_000
 _HASH_RANGE = 2**31
 
 _GROUP, _RANGE, _RANK, _OFFSET, _COUNT, _IS_HOT = "__group", "__range", "__rank", "__offset", "__count", "__is_hot"
+_BUCKET, _MARK, _MARKED, _COARSE, _POINTS = "__bucket", "__mark", "__marked", "__coarse", "__points"
 
 
 @dataclass(frozen=True)
 class GroupLoad:
-    """Row count of a table and of its largest group, and the stored counts of all groups."""
+    """Row count of a table, a bound of its largest group, and the stored row counts of buckets of groups."""
 
     total: int
     largest: int
     counts: DataFrame | None = None
 
 
+def bucket(by: Sequence[str]) -> Column:
+    """Which of ``BUCKETS`` a group is in: equal for equal groups, nulls included."""
+    return F.pmod(F.xxhash64(*by), F.lit(BUCKETS)).alias(_BUCKET)
+
+
 def group_load(df: DataFrame, by: Sequence[str]) -> GroupLoad:
-    """Counts the groups once; what is needed of them later is read from the stored counts."""
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(_COUNT))
-    if by:
-        counts = materialize(counts, "group-counts")
+    """Counts the rows of buckets of groups, in one pass whose shuffle is bounded for every task.
+
+    A group is no larger than its bucket, so groups in small buckets are known to be small, and
+    no group's rows have to meet to learn that. The counts are stored.
+    """
+    if not by:
+        total = df.count()
+        return GroupLoad(total, total)
+    counts = materialize(df.groupBy(bucket(by)).agg(F.count(F.lit(1)).alias(_COUNT)), "group-counts")
     row = counts.agg(F.sum(_COUNT).alias("total"), F.max(_COUNT).alias("largest")).first()
-    return GroupLoad(row["total"] or 0, row["largest"] or 0, counts if by else None)
+    return GroupLoad(row["total"] or 0, row["largest"] or 0, counts)
+
+
+def _bucket_counts(df: DataFrame, by: Sequence[str], load: GroupLoad) -> DataFrame:
+    return load.counts if load.counts is not None else group_load(df, by).counts
 
 
 def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int, load: GroupLoad) -> DataFrame:
     """All groups above ``hot_rows`` rows, whatever the size of the table.
 
-    The list is broadcast if it has been counted to be short.
+    Only the rows of large buckets are counted by group, and their counts shrink before they are shuffled. The
+    list is broadcast if it has been counted to be short.
     """
-    counts = load.counts
-    if counts is None:
-        counts = materialize(df.groupBy(*by).agg(F.count(F.lit(1)).alias(_COUNT)), "group-counts")
-    hot = counts.where(F.col(_COUNT) > hot_rows).select(*by)
+    large = F.broadcast(_bucket_counts(df, by, load).where(F.col(_COUNT) > hot_rows).select(_BUCKET))
+    rows = df.select(*by, bucket(by)).join(large, _BUCKET, "left_semi")
+    hot = materialize(rows.groupBy(*by).agg(F.count(F.lit(1)).alias(_COUNT)).where(F.col(_COUNT) > hot_rows).select(*by), "hot-groups")
     return F.broadcast(hot) if hot.count() <= MAX_HOT_GROUPS else hot
 
 
+@dataclass(frozen=True)
+class HotMarks:
+    """What tells whether a row's group may be hot: a short list of groups, or else of buckets.
+
+    Either is broadcast: rows are marked before anything is shuffled by group. The list of
+    buckets is bounded by their number, and a mark on a group that is not hot does no harm.
+    """
+
+    table: DataFrame
+    by_bucket: bool
+
+    def mark(self, df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+        """``df`` with a boolean column: whether the group of these columns is marked."""
+        keys = df.withColumn(_MARK, F.struct(bucket(columns).alias("key")) if self.by_bucket else group_key_of(columns))
+        marked = keys.join(F.broadcast(self.table), F.col(_MARK) == F.col(_MARKED), "left")
+        return marked.select(*df.columns, F.col(_MARKED).isNotNull().alias(name))
+
+
+def group_key_of(columns: Sequence[str]) -> Column:
+    """A group's key whatever its columns are called; never null."""
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)])
+
+
+def hot_marks(df: DataFrame, by: Sequence[str], hot_rows: int, load: GroupLoad) -> HotMarks:
+    large = _bucket_counts(df, by, load).where(F.col(_COUNT) > hot_rows)
+    # Each large bucket has few hot groups; more large buckets than the list may have need no counting.
+    if large.count() <= MAX_HOT_GROUPS:
+        hot = hot_groups(df, by, hot_rows, load)
+        if hot.count() <= MAX_HOT_GROUPS:
+            return HotMarks(hot.select(group_key_of(by).alias(_MARKED)), False)
+    return HotMarks(large.select(F.struct(F.col(_BUCKET).alias("key")).alias(_MARKED)), True)
+
+
 def group_key(by: Sequence[str]) -> Column:
     """One never-null column that equals for equal groups, nulls included."""
     return F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
@@ -215,6 +268,33 @@ def number_rows(
     )
 
 
+def running_sum(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    name: str = "so_far",
+    hot_rows: int = HOT_ROWS,
+    load: GroupLoad | None = None,
+) -> DataFrame:
+    """Append the sum of ``value`` over the rows of the group up to this one, those that tie with it included."""
+    load = load or group_load(df, by)
+    so_far = lambda keys: F.sum(value).over(W.partitionBy(*keys).orderBy(*order).rangeBetween(W.unboundedPreceding, 0))
+    if load.largest <= hot_rows:
+        return df.withColumn(name, so_far(by))
+    # Rows that tie have one key and so one range.
+    ranged = _with_ranges(df, by, order, hot_rows, load, None)
+    sums = ranged.groupBy(_GROUP, _RANGE).agg(F.sum(value).alias(_COUNT))
+    earlier = W.partitionBy(_GROUP).orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(_GROUP, _RANGE, F.coalesce(F.sum(_COUNT).over(earlier), F.lit(0)).alias(_OFFSET))
+    return (
+        ranged.withColumn(_RANK, so_far([_GROUP, _RANGE]))
+        .join(offsets, [_GROUP, _RANGE])
+        .withColumn(name, F.col(_OFFSET) + F.col(_RANK))
+        .select(*df.columns, name)
+    )
+
+
 def _with_ranges(
     df: DataFrame,
     by: Sequence[str],
@@ -224,19 +304,39 @@ def _with_ranges(
     range_of: Callable[[int], Column] | None,
 ) -> DataFrame:
     """Add the group key and a range number, which is 0 for all groups but the hot ones."""
-    splits = splits_for(load.total, hot_rows)
-    index = range_of(splits) if range_of else key_ranges(df, order, load.total, splits).index()
-    keyed = df.withColumn(_GROUP, group_key(by))
-    if not by:
-        return keyed.withColumn(_RANGE, F.coalesce(index, F.lit(0)))
-    hot = hot_groups(df, by, hot_rows, load).select(group_key(by).alias(_GROUP), F.lit(True).alias(_IS_HOT))
+    keyed, columns = df.withColumn(_GROUP, group_key(by)), [*df.columns, _GROUP]
+    if by:
+        keyed = hot_marks(df, by, hot_rows, load).mark(keyed, by, _IS_HOT)
+    wanted = max(2, -(-4 * load.total // max(hot_rows, 1)))
+    if range_of:
+        index = range_of(wanted)
+    elif wanted <= MAX_SPLITS:
+        index = key_ranges(df, order, load.total, wanted).index()
+    else:
+        keyed, index = _two_levels(keyed, order, load.total, wanted)
     # Never null: a nullable range would be computed once more, to filter the join's keys.
-    ranged = F.coalesce(F.when(F.col(_IS_HOT), index), F.lit(0))
-    return (
-        keyed.join(hot, _GROUP, "left")
-        .withColumn(_RANGE, ranged)
-        .drop(_IS_HOT)
-    )
+    ranged = F.when(F.col(_IS_HOT), index) if by else index
+    return keyed.select(*columns, F.coalesce(ranged, F.lit(0)).cast("bigint").alias(_RANGE))
+
+
+def _two_levels(df: DataFrame, order: Sequence[str], total: int, wanted: int) -> tuple[DataFrame, Column]:
+    """The rows with the split points of their coarse range, and the number of their range.
+
+    Coarse ranges are cut by points in the plan. Each is cut again by points from its own sample, kept
+    in a table of a row per coarse range: however large the table, a range has one size.
+    """
+    coarse = df.withColumn(_COARSE, key_ranges(df, order, total, MAX_SPLITS).index())
+    inner = -(-wanted // MAX_SPLITS)
+    share = min(_HASH_RANGE, int(_HASH_RANGE * _SAMPLE_FACTOR * wanted / max(total, 1)) + 1)
+    key = group_key_of(order)
+    sample = coarse.where(F.pmod(F.xxhash64(*order), F.lit(_HASH_RANGE)) < share)
+    sorted_keys = sample.groupBy(_COARSE).agg(F.array_sort(F.collect_set(key)).alias(_POINTS))
+    # Every so-manieth key of the sample.
+    points = F.filter(_POINTS, lambda p, i: (i + 1) % _SAMPLE_FACTOR == 0)
+    cuts = materialize(sorted_keys.select(_COARSE, points.alias(_POINTS)), "range-points")
+    cuts = F.broadcast(cuts) if 2 * inner * MAX_SPLITS <= MAX_POINTS else cuts
+    reached = F.size(F.filter(F.coalesce(_POINTS, F.array()), lambda p: p <= key))
+    return coarse.join(cuts, _COARSE, "left"), F.col(_COARSE).cast("bigint") * F.lit(1 << 32) + reached
 
 
 def head(

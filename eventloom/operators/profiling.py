@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,11 @@ from eventloom.schemas import LABEL, NUM_CLASSES
 
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 _NUMERIC = (*_WHOLE, "float", "double")
-# Columns correlated in one pass over a table.
+# Columns whose patterns of present ones are few enough to group by.
 PASS_COLUMNS = 16
+# Rows whose products are taken at once.
+MOMENT_ROWS = 8192
+_MOMENTS = ["i", "j", "n", "x", "y", "xx", "yy", "xy", "low_x", "high_x", "low_y", "high_y"]
 
 
 def class_histogram(df: DataFrame, label: str = LABEL, classes: int = NUM_CLASSES) -> DataFrame:
@@ -38,31 +42,55 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
     A column that is constant over those rows has no correlation (null), not even with itself;
     NaN is a missing value. A first pass takes the means, which are taken off for precision.
-    Then sums and products are added up per pattern of present columns; the rows of a pair are
-    those of the patterns that have both. A pass has at most ``PASS_COLUMNS`` columns, so at
-    most 2 to their number of patterns; more columns are taken in pairs of blocks.
+    Up to ``PASS_COLUMNS`` columns, sums and products are added up per pattern of present columns;
+    the rows of a pair are those of the patterns that have both. More columns have too many
+    patterns: tasks then add up matrices of all pairs, still in one pass.
     """
     columns = list(columns or numeric_columns(df))
     values = df.select(*[missing_as_null(c).alias(f"v{i}") for i, c in enumerate(columns)])
     means = values.agg(*[F.avg(v).alias(v) for v in values.columns]).first()
     centred = values.select(*[(F.col(v) - F.lit(means[v] or 0.0)).alias(v) for v in values.columns])
-    passes = _passes(len(columns))
-    one_way = reduce(DataFrame.union, [_correlations(centred, columns, pairs) for pairs in passes])
-    other_way = one_way.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
-    return one_way.union(other_way)
-
-
-def _passes(columns: int) -> list[list[tuple[int, int]]]:
-    """All pairs i <= j, in lists whose columns are at most ``PASS_COLUMNS``."""
-    size = PASS_COLUMNS if columns <= PASS_COLUMNS else PASS_COLUMNS // 2
-    last = (columns - 1) // size
-    passes: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i, j in combinations_with_replacement(range(columns), 2):
-        x, y = i // size, j // size
-        if x == y:  # goes with a pass that has the block anyway
-            x, y = (x, x + 1) if x < last else (max(x - 1, 0), x)
-        passes.setdefault((x, y), []).append((i, j))
-    return list(passes.values())
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    one_way = _correlations(centred, columns, pairs) if len(columns) <= PASS_COLUMNS else _moment_correlations(centred, columns)
+    this, other = F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r")
+    return one_way.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(this)).otherwise(F.array(this, other))))
+
+
+def _moment_correlations(centred: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, r) of all pairs a <= b from masked moments.
+
+    With the values, 0 where missing, as a matrix X and their presence as a matrix M, the rows, sums, squares and
+    products of all pairs are M'M, X'M, (X^2)'M and X'X. A task adds them up over its rows and
+    gives one row per pair; these are added in turn.
+    """
+    d = len(columns)
+    i, j = np.triu_indices(d)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, d, d))
+        low, high = np.full((d, d), np.inf), np.full((d, d), -np.inf)
+        for batch in batches:
+            for at in range(0, batch.num_rows, MOMENT_ROWS):
+                part = batch.slice(at, MOMENT_ROWS)
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns], axis=1)
+                present = ~np.isnan(x)
+                m, zeroed = present.astype(float), np.where(present, x, 0.0)
+                squares = zeroed**2
+                sums += np.stack([m.T @ m, zeroed.T @ m, m.T @ zeroed, squares.T @ m, m.T @ squares, zeroed.T @ zeroed])
+                for k in range(d):  # the bounds of every column over the rows that have column k
+                    mine = x[present[:, k]]
+                    if len(mine):
+                        low[:, k] = np.fmin(low[:, k], np.fmin.reduce(mine, axis=0))
+                        high[:, k] = np.fmax(high[:, k], np.fmax.reduce(mine, axis=0))
+        sides = [low[i, j], high[i, j], low[j, i], high[j, i]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (i.astype(np.int32), j.astype(np.int32), *(s[i, j] for s in sums), *sides)], names=_MOMENTS)
+
+    parts = centred.mapInArrow(moments, ", ".join(f"{n} {'int' if n in 'ij' else 'double'}" for n in _MOMENTS))
+    names = F.lit(list(columns))
+    varies = (F.min("low_x") < F.max("high_x")) & (F.min("low_y") < F.max("high_y"))
+    r = correlation(F.nullif(F.sum("n"), F.lit(0.0)), *[F.sum(c) for c in ("x", "y", "xx", "yy", "xy")])
+    total = parts.groupBy("i", "j").agg(F.when(varies, r).alias("r"))
+    return total.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "r")
 
 
 def _correlations(centred: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:

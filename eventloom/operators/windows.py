@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from eventloom.schemas import LABEL, LOOK_BACK
 
 # Rows of a hot actor that one task turns into windows.
 BLOCK_ROWS = 1_000_000
+# Rows of a stored block of a sequence.
+STORE_ROWS = 1024
 
 _VECTOR, _LABEL, _GROUP, _SLOT = "__vector", "__label", "__group", "__slot"
 
@@ -74,6 +76,63 @@ def lag_windows(
     )
 
 
+def sequence_blocks(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    features: Sequence[str],
+    label: str = LABEL,
+    look_back: int = LOOK_BACK,
+    hot_rows: int = HOT_ROWS,
+    block_rows: int = STORE_ROWS,
+    load: GroupLoad | None = None,
+) -> DataFrame:
+    """Each actor's sequence in blocks, from which windows are cut when they are read.
+
+    Returns ``by``, ``block``, ``first`` (position of the block's first row), ``keys`` (the order
+    columns of each row), ``labels`` and ``values`` (the features, row after row). A block has
+    ``block_rows`` rows, and before them the last ``look_back`` rows of the block before; a row
+    is kept once and not once for every window it is in. ``order`` must be unique per actor.
+    """
+    if block_rows < look_back:
+        raise ValueError("a block must hold at least one look-back")
+    vector = F.array(*[F.col(c).cast("double") for c in features])
+    rows = df.select(*dict.fromkeys([*by, *order]), vector.alias(_VECTOR), F.col(label).alias(_LABEL))
+    numbered = number_rows(rows, by, order, "seq", hot_rows, load=load)
+    block = F.expr(f"seq div {block_rows}")
+    in_tail = F.col("seq") % block_rows >= block_rows - look_back
+    slotted = numbered.withColumn(_SLOT, F.explode(F.when(in_tail, F.array(block, block + 1)).otherwise(F.array(block))))
+    row = F.struct("seq", F.struct(*order).alias("key"), F.col(_LABEL).alias("label"), F.col(_VECTOR).alias("values"))
+    blocks = slotted.groupBy(*by, F.col(_SLOT).alias("block")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    # A block of nothing but the rows before it has no windows.
+    return blocks.where(F.element_at("rows", -1)["seq"] >= F.col("block") * block_rows).select(
+        *by, "block", F.get("rows", F.lit(0))["seq"].alias("first"), F.col("rows.key").alias("keys"),
+        F.col("rows.label").alias("labels"), F.flatten("rows.values").alias("values"),
+    )
+
+
+def block_windows(
+    blocks: DataFrame, by: Sequence[str], order: Sequence[str], features: int, look_back: int = LOOK_BACK, flat: bool = False
+) -> DataFrame:
+    """The windows of stored blocks, as ``lag_windows`` gives them.
+
+    ``window`` is one array, step after step, if ``flat``. ``look_back`` must be the stored one.
+    """
+
+    def cut(i: Column) -> Column:
+        window = F.slice("values", (i - look_back) * features + 1, look_back * features)
+        if not flat:
+            steps = F.sequence(F.lit(0), F.lit(look_back - 1))
+            window = F.transform(steps, lambda s: F.slice("values", (i - look_back + s) * features + 1, features))
+        keys = [F.get("keys", i)[c].alias(c) for c in order if c not in by]
+        return F.struct(*keys, (F.col("first") + i).alias("seq"), window.alias("window"), F.get("labels", i).alias("label"))
+
+    full = blocks.where(F.size("labels") > look_back)
+    cuts = F.transform(F.sequence(F.lit(look_back), F.size("labels") - 1), cut)
+    found = full.select(*by, F.inline(cuts))
+    return found.select(*dict.fromkeys([*by, *order]), "seq", "window", "label")
+
+
 def windows_long(windows: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """One row per (window, step, feature): the keys, step, feature, value and label."""
     steps = windows.select(*keys, "label", F.posexplode("window").alias("step", "values"))
@@ -84,8 +143,9 @@ def windows_long(windows: DataFrame, keys: Sequence[str], features: Sequence[str
 
 
 def flatten_windows(windows: DataFrame, output: str = "features") -> DataFrame:
-    """Add each window as one vector, step after step."""
-    return windows.withColumn(output, array_to_vector(F.flatten("window")))
+    """Add each window as one vector, step after step; flat windows are one already."""
+    nested = dict(windows.dtypes)["window"].startswith("array<array")
+    return windows.withColumn(output, array_to_vector(F.flatten("window") if nested else F.col("window")))
 
 
 def tail_holdout(

@@ -13,7 +13,9 @@ from typing import Any
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from eventloom.operators.boosting import CONFIGURED, DEFAULTS, Job, Parameters, fit_boosting
 from eventloom.operators.cleaning import drop_leaky, feature_columns
 from eventloom.operators.encoding import assemble, fit_label_index
 from eventloom.operators.evaluation import accuracy
@@ -31,10 +33,10 @@ from eventloom.operators.models import (
     with_label,
 )
 from eventloom.operators.search import cross_validate
-from eventloom.operators.splits import holdout_split, random_split, stratified_folds
-from eventloom.operators.windows import flatten_windows, tail_holdout
+from eventloom.operators.splits import holdout_split, quantile_folds, random_split, stratified_folds, with_test_flag
+from eventloom.operators.windows import block_windows, flatten_windows, tail_holdout
 from eventloom.schemas import LABEL, LOOK_BACK, NUM_CLASSES
-from eventloom.session import cut_lineage, materialize, placed
+from eventloom.session import FIT_PARTITIONS, cut_lineage, materialize, placed
 
 
 @dataclass(frozen=True)
@@ -111,6 +113,65 @@ def sequence_network(
     return fit_with_validation(network, placed(train, order[-1]), test)
 
 
+def block_network(
+    blocks: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    features: int,
+    look_back: int = LOOK_BACK,
+    holdout: int = 300,
+    classes: int = NUM_CLASSES,
+    **parameters: Any,
+) -> tuple[PipelineModel, DataFrame]:
+    """As ``sequence_network``, over stored blocks: windows are cut in the task that reads a block.
+
+    What is placed and shuffled are the blocks, not the windows, which have every row ``look_back`` times.
+    """
+    settled = placed_blocks(blocks, by)
+    train, test = tail_holdout(block_windows(settled, by, order, features, look_back, flat=True), order, holdout)
+    train, test = (with_label(flatten_windows(part), "label") for part in (train, test))
+    return fit_with_validation(sequence_network_pipeline(look_back * features, classes, **parameters), train, test)
+
+
+def placed_blocks(blocks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Stored blocks by hash of actor and number, in their order, whatever the cluster."""
+    keys = [*by, "block"]
+    return materialize(blocks.repartition(FIT_PARTITIONS, *keys).sortWithinPartitions(*keys), "sequence-blocks")
+
+
+def multiclass_boosting(
+    events: DataFrame, key: str, seed: int = 100, parameters: Parameters = CONFIGURED, patience: int | None = None
+) -> tuple[Run, DataFrame]:
+    """Trees of all classes on 80 % of the events, tested on the rest; and the curve of both parts.
+
+    With ``patience``, the fit ends when the loss of the rest has not fallen for so many rounds, and
+    the model has the rounds up to the least.
+    """
+    table = materialize(with_label(drop_leaky(events)), "model-table")
+    flagged = with_test_flag(table, key, 0.2, seed).withColumn("is_test", F.col("is_test").cast("int"))
+    features = feature_columns(drop_leaky(events), exclude=[key])
+    fit = fit_boosting(flagged, key, features, [Job(parameters, holdout=1)], fold="is_test", classes=NUM_CLASSES, patience=patience)
+    model = fit.fitted(best=patience is not None)
+    _, test = holdout_split(table, key, 0.2, seed)
+    predictions = model.transform(test).select(key, "label", "prediction")
+    return Run(model, predictions, accuracy(predictions)), fit.curve()
+
+
+def cross_validated_trees(
+    events: DataFrame, key: str, k: int = 2, parameters: Parameters = DEFAULTS
+) -> tuple[DataFrame, DataFrame]:
+    """(fold, n, accuracy, test_error) per stratified fold, all folds in one fit, and their curves.
+
+    The label is not among the features.
+    """
+    features = feature_columns(events, exclude=[key])
+    table = materialize(quantile_folds(with_label(events), key, k), "model-table")
+    fit = fit_boosting(table, key, features, [Job(parameters, fold) for fold in range(k)], fold="fold", classes=NUM_CLASSES)
+    last = [h for h in fit.history if h[1] == parameters.rounds and h[2] == "validation"]
+    rows = [(m, n, right, 1 - right) for m, _, _, n, _, right in last]
+    return events.sparkSession.createDataFrame(rows, "fold int, n long, accuracy double, test_error double"), fit.curve()
+
+
 def cross_validated_boosting(events: DataFrame, key: str, k: int = 2, **overrides: Any) -> DataFrame:
     """Accuracy per stratified fold of boosted trees with the library's defaults.
 

@@ -20,7 +20,9 @@ from eventloom.schemas import ENCODED
 from eventloom.sources.readers import raw_options, raw_schema, without_missing
 from eventloom.sources.writers import write_encoded
 
-CHUNK = "chunk"
+CHUNK, SNAPSHOT = "chunk", "snapshot"
+# Chunks after which the codes added so far are written together.
+COMPACT_CHUNKS = 10
 
 
 def read_event_chunks(spark: SparkSession, path: str, files_per_chunk: int = 1000) -> DataFrame:
@@ -68,19 +70,43 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def added_codes(spark: SparkSession, dictionary: Dictionary, path: str, before: int) -> DataFrame:
-    """(value, code) that chunks before a number added to a dictionary."""
-    from pyspark.sql.utils import AnalysisException
+    """(value, code) that chunks before a number added to a dictionary.
 
-    try:
-        table = spark.read.schema(f"value string, code int, {CHUNK} int").parquet(path)
-    except AnalysisException:  # the first chunk
-        return spark.createDataFrame([], dictionary.table.select("value", "code").schema)
-    return table.where(F.col(CHUNK) < before).select("value", "code")
+    The log of a dictionary is a folder of new codes per chunk and, now and then, a snapshot of all
+    codes so far: read are the last snapshot and the chunks after it. Only a folder that
+    is not there has no codes; one that cannot be read is an error.
+    """
+    schema = dictionary.table.select("value", "code").schema
+    folders = _log_folders(spark, path, before)
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def _log_folders(spark: SparkSession, path: str, before: int) -> list[str]:
+    """The folders that together have the codes of all chunks below a number."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    found = [(entry.getPath().getName(), entry.getPath()) for entry in files.listStatus(at)]
+    number = lambda kind, name: int(name.removeprefix(f"{kind}=")) if name.startswith(f"{kind}=") else None
+    done = [(n, p) for name, p in found if (n := number(SNAPSHOT, name)) is not None and n <= before and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    last, folders = max(((n, [p.toString()]) for n, p in done), default=(0, []), key=lambda x: x[0])
+    return folders + [p.toString() for name, p in sorted(found, key=lambda x: x[0]) if (n := number(CHUNK, name)) is not None and last <= n < before]
+
+
+def _compacted(spark: SparkSession, dictionary: Dictionary, path: str, number: int) -> None:
+    """Writes a snapshot of the codes of all chunks before a number, unless one is done."""
+    folders = _log_folders(spark, path, number)
+    if folders and not folders[0].endswith(f"{SNAPSHOT}={number}"):
+        schema = dictionary.table.select("value", "code").schema
+        spark.read.schema(schema).parquet(*folders).write.mode("overwrite").parquet(f"{path}/{SNAPSHOT}={number}")
 
 
 def _extended(dictionary: Dictionary, chunk: DataFrame, number: int, path: str) -> Dictionary:
     """The dictionary with the codes of earlier chunks and of this one, which are stored."""
     spark = chunk.sparkSession
+    if number and number % COMPACT_CHUNKS == 0:
+        _compacted(spark, dictionary, path, number)
     known = dictionary.table.select("value", "code").union(added_codes(spark, dictionary, path, number))
     values = chunk.select(F.col(dictionary.column).alias("value")).distinct()
     new = values.join(known, values["value"].eqNullSafe(known["value"]), "left_anti")

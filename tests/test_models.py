@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import encoding, models, search, splits, windows
+from eventloom.operators import boosting, encoding, models, search, splits, windows
 from eventloom.plans import training
 from eventloom.session import materialize, placed
 from eventloom.sources import writers
@@ -188,3 +188,36 @@ def test_category_index_leaves_many_valued_features_alone(events):
     vectors = encoding.assemble(events.withColumn("few", F.col("noise") * 10), ["few", "b"])
     maps = encoding.fit_category_index(vectors, max_categories=9).categoryMaps
     assert list(maps) == [0]
+
+
+def test_halving_finds_what_a_full_search_finds(spark, events):
+    """Survivors have the scores and the order of a search that drops nobody; the dropped have none."""
+    folds = materialize(splits.quantile_folds(models.with_label(events), "rid", 2), "folds")
+    grid = search.full_grid({"stepSize": [0.05, 0.2, 0.6], "minSplitGain": [0.0, 400.0], "maxDepth": [2, 3], "maxIter": [1, 4]})
+    base = boosting.replace(boosting.CONFIGURED, least_weight=1.0, rows=1.0, columns=1.0)
+    options = {"k": 2, "first_rounds": 1, "base": base}
+    full = search.halving_search(folds, "rid", ["a", "b", "noise"], grid, keep=1.0, **options)
+    fast = search.halving_search(folds, "rid", ["a", "b", "noise"], grid, keep=0.25, **options)
+    all_rows = {r["candidate"]: r for r in full.results.collect()}
+    rows = {r["candidate"]: r for r in fast.results.collect()}
+    assert len(rows) == len(all_rows) == 24 and all(r["mean_test_score"] is not None for r in all_rows.values())
+    scored = [c for c, r in rows.items() if r["mean_test_score"] is not None]
+    for c in scored:
+        assert rows[c]["mean_test_score"] == all_rows[c]["mean_test_score"] and rows[c]["split0_test_score"] == all_rows[c]["split0_test_score"]
+    by_rank = lambda table: sorted(scored, key=lambda c: (table[c]["rank_test_score"], c))
+    assert by_rank(rows) == by_rank(all_rows)
+    assert [(r["rounds"], r["candidates"], r["fits"]) for r in fast.rungs.collect()] == [(1, 12, 24), (4, 3, 6)]
+    assert [(r["rounds"], r["candidates"]) for r in full.rungs.collect()] == [(4, 12)]
+    assert fast.passes < full.passes
+    # Every one-round combination was scored, and three candidates went on.
+    assert len(scored) == 12 + 3
+    assert len(fast.best.trees) == grid[search.best_parameters(fast.results).first()["candidate"]]["maxIter"]
+
+
+def test_network_over_stored_blocks(spark):
+    rows = spark.range(900).select((F.col("id") % 3).alias("who"), F.col("id").alias("at"), (F.col("id") % 7 / 7).alias("x"), (F.col("id") % 5 >= 2).cast("int").alias("label"))
+    blocks = materialize(windows.sequence_blocks(rows, ["who"], ["at"], ["x"], "label", 4, block_rows=50), "blocks")
+    model, scores = training.block_network(blocks, ["who"], ["at"], 1, 4, holdout=100, classes=2, iterations=5)
+    assert {r["part"]: r["n"] for r in scores.collect()} == {"train": 900 - 12 - 100, "validation": 100}
+    again = training.block_network(blocks.repartition(3), ["who"], ["at"], 1, 4, holdout=100, classes=2, iterations=5)[0]
+    assert model.stages[-1].weights.toArray() == pytest.approx(again.stages[-1].weights.toArray(), abs=1e-9)

@@ -173,3 +173,53 @@ def test_number_rows_with_nulls_and_ties(spark, keys, hot_rows):
     plain = ordering.number_rows(df, ["g"], ["v", "i"])
     split = ordering.number_rows(df, ["g"], ["v", "i"], hot_rows=hot_rows)
     assert plain.exceptAll(split).isEmpty() and split.exceptAll(plain).isEmpty()
+
+
+def test_ranges_of_two_levels(spark, monkeypatch):
+    """A table that needs more ranges than a plan may hold: each is still small, and numbers are right."""
+    monkeypatch.setattr(ordering, "MAX_SPLITS", 4)
+    df = spark.range(6000).select("id", F.when(F.col("id") % 11 == 0, None).otherwise(F.xxhash64("id") % 1000).alias("v"), (F.col("id") % 3).alias("g"))
+    load = ordering.group_load(df, [])
+    ranged = ordering._with_ranges(df, [], ["v", "id"], 200, load, None)
+    sizes = [r["count"] for r in ranged.groupBy("__range").count().collect()]
+    assert max(sizes) <= 300 and len(sizes) > 16
+    for points in (10**6, 0):  # with the points broadcast, and joined
+        monkeypatch.setattr(ordering, "MAX_POINTS", points)
+        for by in ([], ["g"]):
+            found = ordering.number_rows(df, by, ["v", "id"], hot_rows=200)
+            plain = ordering.number_rows(df, by, ["v", "id"])
+            assert found.exceptAll(plain).isEmpty() and found.count() == 6000
+
+
+def test_running_sum_counts_ties_together(spark):
+    df = spark.range(900).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 50).alias("v"), (F.col("id") % 2).alias("x"))
+    plain = {r["id"]: r["s"] for r in ordering.running_sum(df, ["g"], ["v"], "x", "s").collect()}
+    rows = df.collect()
+    assert plain == {r["id"]: sum(o["x"] for o in rows if o["g"] == r["g"] and o["v"] <= r["v"]) for r in rows}
+    assert plain == {r["id"]: r["s"] for r in ordering.running_sum(df, ["g"], ["v"], "x", "s", hot_rows=40).collect()}
+    assert sum(r["x"] for r in rows) == ordering.running_sum(df, [], ["v"], "x", "s", hot_rows=40).agg(F.max("s")).first()[0]
+
+
+def test_buckets_stand_in_for_a_long_list_of_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "MAX_HOT_GROUPS", 3)
+    df = spark.range(4000).select("id", F.when(F.col("id") % 4 > 0, F.col("id") % 20).alias("g"))
+    load = ordering.group_load(df, ["g"])
+    marks = ordering.hot_marks(df, ["g"], 150, load)
+    assert marks.by_bucket
+    marked = marks.mark(df, ["g"], "hot")
+    assert "SortMerge" not in marked._jdf.queryExecution().executedPlan().toString()
+    sizes = {r["g"]: r["count"] for r in df.groupBy("g").count().collect()}
+    assert all(r["hot"] or sizes[r["g"]] <= 150 for r in marked.collect())
+    assert marked.count() == 4000
+
+
+@pytest.mark.parametrize("block_rows", [30, 37, 1024])
+def test_windows_of_stored_blocks(events, rows, block_rows):
+    blocks = windows.sequence_blocks(events, ["actor"], ORDER, ["x", "label"], "label", 30, hot_rows=40, block_rows=block_rows)
+    made = windows.block_windows(blocks, ["actor"], ORDER, 2, 30)
+    found = {r["rid"]: (r["actor"], r["seq"], r["window"], r["label"]) for r in made.collect()}
+    assert found == expected_windows(rows, 30)
+    flat = {r["rid"]: r["window"] for r in windows.block_windows(blocks, ["actor"], ORDER, 2, 30, flat=True).collect()}
+    assert flat == {rid: [v for step in w[2] for v in step] for rid, w in found.items()}
+    kept = blocks.agg(F.sum(F.size("labels"))).first()[0]
+    assert kept <= len(rows) * (1 + 30 / block_rows)

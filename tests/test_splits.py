@@ -3,8 +3,10 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventloom.functions.stats import key_digest
 from eventloom.operators import splits
 
 
@@ -45,6 +47,22 @@ def test_stratified_folds_are_balanced_per_class(events, hot_rows):
     assert folds.exceptAll(plain).isEmpty()
 
 
+@pytest.mark.parametrize("few_rows", [256, 2])
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_quantile_folds_equal_a_sort(events, k, few_rows):
+    odd = events.withColumn("CAMEOCode", F.when(F.col("rid") == 11, 99).when(F.col("rid") % 400 != 3, F.col("CAMEOCode")))
+    folds = splits.quantile_folds(odd, "rid", k, seed=4, few_rows=few_rows)
+    by_digest = W.partitionBy("CAMEOCode").orderBy(key_digest("rid", 4), "rid")
+    assert folds.exceptAll(odd.withColumn("fold", F.ntile(k).over(by_digest) - 1)).isEmpty()
+    assert folds.count() == 4000
+    plan = folds._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMerge" not in plan
+
+
+def test_quantile_folds_of_no_rows(events):
+    assert splits.quantile_folds(events.limit(0), "rid", 3).collect() == []
+
+
 def test_hashed_folds_need_no_shuffle(events):
     folds = splits.hashed_folds(events, "rid", 4)
     sizes = Counter(r["fold"] for r in folds.collect())

@@ -11,6 +11,7 @@ from eventloom.plans.sequences import store_sequences
 from eventloom.schemas import ENCODED, MODEL_COLUMNS, RAW
 from eventloom.session import materialize, scratch_path, scratch_tables, shared_dir
 from eventloom.sources import readers, writers
+from eventloom.streaming import ingest
 from eventloom.streaming.ingest import ingest_chunks, read_chunks
 
 
@@ -180,3 +181,32 @@ def test_csv_sinks(spark, events, tmp_path):
     encoded = encoding.encode_events(events)
     writers.write_encoded_csv(encoded, str(tmp_path / "encoded"))
     assert same(readers.read_encoded_csv(spark, str(tmp_path / "encoded")), encoded)
+
+
+def test_a_code_log_stays_short(spark, tmp_path, monkeypatch):
+    """Any chunk reads a snapshot and the few chunks after it, and gives codes no chunk before it gave."""
+    monkeypatch.setattr(ingest, "COMPACT_CHUNKS", 4)
+    path = str(tmp_path / "codes")
+    one = lambda *names: spark.createDataFrame([(n,) for n in names], "Source string")
+    start = encoding.fit_dictionary(one("A", None), "Source")
+    expected = {"A": 0, None: 1}
+    for number in range(11):
+        names = [f"n{number}", f"m{number}", "A", "n0"]
+        made = ingest._extended(start, one(*names, None), number, path)
+        for name in sorted({n for n in names if n not in expected}):
+            expected[name] = len(expected)
+        assert {r["value"]: r["code"] for r in made.table.collect()} == expected
+        assert len(ingest._log_folders(spark, path, number)) <= 4
+    # A chunk that is repeated gives the same codes, whatever later ones left behind.
+    again = ingest._extended(start, one("n9", "m9", "A", "n0", None), 9, path)
+    assert {r["value"]: r["code"] for r in again.table.collect()} == {v: c for v, c in expected.items() if c < expected["n9"] + 1}
+
+
+def test_a_damaged_code_log_is_an_error(spark, tmp_path):
+    dictionary = encoding.fit_dictionary(spark.createDataFrame([("A",)], "Source string"), "Source")
+    assert ingest.added_codes(spark, dictionary, str(tmp_path / "none"), 3).collect() == []
+    folder = tmp_path / "codes" / "chunk=0"
+    folder.mkdir(parents=True)
+    (folder / "part-0.parquet").write_text("no table")
+    with pytest.raises(Exception, match="(?i)parquet|part-0"):
+        ingest.added_codes(spark, dictionary, str(tmp_path / "codes"), 3).collect()
