@@ -136,7 +136,7 @@ def block_network(
 def placed_blocks(blocks: DataFrame, by: Sequence[str]) -> DataFrame:
     """Stored blocks by hash of actor and number, in their order, whatever the cluster."""
     keys = [*by, "block"]
-    return materialize(blocks.repartition(FIT_PARTITIONS, *keys).sortWithinPartitions(*keys), "sequence-blocks")
+    return blocks.repartition(FIT_PARTITIONS, *keys).sortWithinPartitions(*keys)
 
 
 def multiclass_boosting(
