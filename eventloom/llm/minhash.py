@@ -395,6 +395,24 @@ def _hub_pairs(rows: _Members, threshold: int) -> pa.RecordBatch:
     return pa.record_batch({"node": pa.array(rows.node[x]), "hub": pa.array(rows.node[hub]), "distance": pa.array(distance, pa.int64())})
 
 
+def _labelled(rows: DataFrame, labels: DataFrame, by: str = "node") -> DataFrame:
+    """Rows with the ``component`` that labels, of a row per ``by``, give them; their own or their node where none does."""
+    if by == "component":
+        return rows.join(labels, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    kept = [c for c in rows.columns if c != "component"]
+    return rows.select(*kept).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _between(links: DataFrame, labels: DataFrame, only_b: bool = False) -> DataFrame:
+    """Links (a, b) between the labels of their ends, or of b alone, that have different ones."""
+    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+    joined = links.join(of_b, "b", "left").withColumn("b", F.coalesce("of_b", "b")).drop("of_b")
+    if not only_b:
+        joined = joined.join(of_a, "a", "left").withColumn("a", F.coalesce("of_a", "a")).drop("of_a")
+    return joined.filter("a != b").select("a", "b")
+
+
 def duplicate_groups(documents: DataFrame, k: int, threshold: int, text: str = "text") -> DataFrame:
     """(doc_id, n, h1, h2, component) of every row: the least doc_id that it is linked with."""
     rows = measure(documents, k, text)
@@ -408,19 +426,26 @@ def duplicate_groups(documents: DataFrame, k: int, threshold: int, text: str = "
     texts = _wanted_texts(documents, wanted, candidates.count(), k, text)
     nodes = materialize(classes.select("node", "n", "signature").join(texts.select("node", "long"), "node"), "candidates")
 
-    # First, nodes confirmed with a hub are labelled with it: parts of components, found without
-    # iteration. Then components of all links, from which only what is still apart is compared.
+    # First, nodes confirmed with a hub are labelled with it, then labels with the least one they are
+    # linked to: parts of components, found without iteration. Only what is still apart is compared.
     alone = members.withColumn("component", F.col("node"))
     first = materialize(_nearest(alone, nodes, threshold), "hub-pairs")
-    links = materialize(confirmed(first, texts, k, threshold), "hub-links")
-    stars = members.join(links.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left")
-    second = materialize(_nearest(materialize(stars.withColumn("component", F.coalesce("component", "node")), "stars"), nodes, threshold), "hub-pairs")
-    links = materialize(links.union(confirmed(second, texts, k, threshold)), "hub-links")
-    found = materialize(components(links), "components")
-    apart = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    new = materialize(_across(materialize(apart, "apart"), nodes, texts, k, threshold), "links")
-    if not new.isEmpty():
-        found = materialize(components(links.union(new)), "components")
+    stars = materialize(confirmed(first, texts, k, threshold).select(F.col("a").alias("node"), F.col("b").alias("component")), "hub-links")
+    second = materialize(_nearest(materialize(_labelled(members, stars), "stars"), nodes, threshold), "hub-pairs")
+    links = _between(confirmed(second, texts, k, threshold), stars)
+    # A hub may have a hub of its own.
+    hubs = _between(stars.select(F.col("component").alias("a"), F.col("component").alias("b")).distinct(), stars, only_b=True)
+    edges = materialize(links.union(hubs).distinct(), "label-links")
+    least = materialize(edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), "least-labels")
+    named = _labelled(stars, least.withColumnRenamed("component", "least").withColumnRenamed("node", "component"), "component")
+    own = least.join(stars.select("node"), "node", "left_anti")  # labels that are nodes without a star
+    labels = materialize(named.union(own.select("node", "component")), "labels")
+    new = materialize(_across(materialize(_labelled(members, labels), "apart"), nodes, texts, k, threshold), "links")
+    contracted = _between(edges, least).union(_between(new, labels)).distinct()
+    found = materialize(components(contracted), "components")
+    of_label = found.select(F.col("node").alias("label"), F.col("component").alias("root"))
+    of_node = labels.select("node", F.col("component").alias("label")).join(of_label, "label", "left").select("node", F.coalesce("root", "label").alias("component"))
+    found = materialize(of_node.union(found.join(labels, "node", "left_anti")), "components")
 
     of_class = classes.select("h1", "h2", "node", F.col("doc_id").alias("least_id")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_class = materialize(of_class, "class-components")
