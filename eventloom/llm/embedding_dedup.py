@@ -40,7 +40,7 @@ SLACK = 1e-7
 
 _BLOCKS = T.StructType(
     [
-        T.StructField("block", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("size", T.IntegerType()),
+        T.StructField("block", T.LongType()), T.StructField("label", T.StringType()), T.StructField("size", T.IntegerType()),
         T.StructField("low", T.ArrayType(T.DoubleType())), T.StructField("high", T.ArrayType(T.DoubleType())),
         T.StructField("nodes", T.BinaryType()), T.StructField("copies", T.BinaryType()), T.StructField("vectors", T.BinaryType()),
     ]
@@ -58,7 +58,7 @@ def _classes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     vector = F.col("embedding").cast("array<double>")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     # Adding zero makes -0.0 and 0.0 one value.
-    rows = embeddings.select("vec_id", F.col("label").cast("int").alias("label"), F.transform(vector, lambda x: x + F.lit(0.0)).alias("vector"))
+    rows = embeddings.select("vec_id", F.col("label").cast("string").alias("label"), F.transform(vector, lambda x: x + F.lit(0.0)).alias("vector"))
     usable = F.col("label").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
     key = F.when(usable, F.sha2(F.to_json(F.struct("label", "vector")), 256))
     keyed = rows.withColumn("key", key).withColumn("row", F.monotonically_increasing_id())
@@ -130,7 +130,7 @@ def _blocks(classes: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
 
     schema = pa.schema(
         [
-            ("block", pa.int64()), ("label", pa.int32()), ("size", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())),
+            ("block", pa.int64()), ("label", pa.string()), ("size", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())),
             ("nodes", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary()),
         ]
     )

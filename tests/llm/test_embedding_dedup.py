@@ -83,3 +83,10 @@ def test_distant_intervals_are_skipped(monkeypatch):
 def test_small_tables(spark, rows):
     got = rows_of(E.near_vectors(table(spark, rows)), "vec_id", "n_links", "component_id", "kept")
     assert got == [(r[0], 0, r[0], True) for r in rows]
+
+
+@pytest.mark.parametrize("kind,labels", [("string", ["a", "b", None]), ("long", [3_000_000_000, 3_000_000_001, None])])
+def test_labels_of_any_type(spark, kind, labels):
+    rows = [(i, [1.0, 0.001 * i], labels[i % 3]) for i in range(9)]
+    found = E.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}"), threshold=0.98).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {i: (2, i % 3) if i % 3 < 2 else (0, i) for i in range(9)}
