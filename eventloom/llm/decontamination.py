@@ -4,7 +4,8 @@ A seed is a fixed mask over consecutive words: the words at its ones are hashed,
 zeros are not looked at, so a changed word at a zero leaves the hash alone. Hashes of all masks
 at all words of a text are joined with those of the benchmark items. A hit says that word p of
 the text stands opposite word q of the item; around it, text and item are compared word by word
-on that diagonal, and the longest stretch with at least ``SIMILARITY`` equal words decides. A
+on that diagonal, and the longest stretch with at least ``SIMILARITY`` equal words decides. It
+begins and ends in an equal word, or where the item does, with changed words too. A
 stretch counts from ``MIN_WORDS`` words on (all the item's, if it has fewer). Every stretch that
 counts is hit: wherever its changed words are, the ones of some mask fall on equal words. Items
 with fewer words than ``SHORTEST`` tell nothing of a leak and match nothing.
@@ -93,14 +94,20 @@ def _bitmap(seeds: DataFrame, n_seeds: int) -> tuple[int, np.ndarray]:
     return bits, table
 
 
-def _longest_similar(equal: np.ndarray, similarity: float) -> tuple[int, int]:
-    """The longest stretch with that share of equal words, starting and ending in an equal word."""
-    sums = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - similarity, -similarity))])
-    ends = np.flatnonzero(equal) + 1
-    if not len(ends):
+def _longest_similar(equal: np.ndarray, similarity: float, from_start: bool = False, to_end: bool = False) -> tuple[int, int]:
+    """The longest stretch with that share of equal words.
+
+    It starts and ends in an equal word, or ``from_start`` at the first and ``to_end`` at the last word, equal or not.
+    """
+    if not equal.any():
         return 0, 0
-    lows = np.minimum.accumulate(np.where(equal, sums[:-1], np.inf))
-    starts = np.searchsorted(-lows, -(sums[ends] + 1e-9), "left")
+    sums = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - similarity, -similarity))])
+    opens, closes = equal.copy(), equal.copy()
+    opens[0] |= from_start
+    closes[-1] |= to_end
+    ends = np.flatnonzero(closes) + 1
+    lows = np.minimum.accumulate(np.where(opens, sums[:-1], np.inf))
+    starts = np.minimum(np.searchsorted(-lows, -(sums[ends] + 1e-9), "left"), ends)
     best = int(np.argmax(ends - starts))
     return int(starts[best]), int(ends[best])
 
@@ -113,7 +120,8 @@ def _verify(contexts: pa.Array, items: pa.Array, lefts: pa.Array) -> pa.Array:
     rows = []
     for context, item, left in zip(contexts.to_pylist(), items.to_pylist(), lefts.to_pylist()):
         equal = np.array([a == b for a, b in zip(context, item[left:])], bool)
-        start, end = _longest_similar(equal, SIMILARITY)
+        # Where the item itself begins and ends, its changed words count as part of the stretch.
+        start, end = _longest_similar(equal, SIMILARITY, left == 0, left + len(equal) == len(item))
         enough = end - start >= min(MIN_WORDS, len(item))
         rows.append((start, end - start, int(equal[start:end].sum())) if enough else (None, None, None))
     columns = list(zip(*rows)) if rows else [(), (), ()]

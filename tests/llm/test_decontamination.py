@@ -34,7 +34,9 @@ def brute(text, item):
         sums = np.concatenate([[0], np.cumsum(equal)])
         for s in range(len(equal)):
             for e in range(s + min(D.MIN_WORDS, len(b)), len(equal) + 1):
-                if equal[s] and equal[e - 1] and sums[e] - sums[s] >= D.SIMILARITY * (e - s) - 1e-9:
+                begins = equal[s] or (s == 0 and d >= 0)  # the item's own first word
+                ends = equal[e - 1] or (e == len(equal) and len(a) >= len(b) + d)
+                if begins and ends and any(equal[s:e]) and sums[e] - sums[s] >= D.SIMILARITY * (e - s) - 1e-9:
                     return True
     return False
 
@@ -102,8 +104,9 @@ def most_equal(n, ends):
 
 def test_masks_hit_every_accepted_stretch():
     assert all(10 * most_equal(n, True) < 8 * n for n in range(D.SHORTEST, 40))
-    # A longer row is cut into rows of 20 to 39 words, each of which has too few equal words.
-    assert all(10 * most_equal(n, False) < 8 * n for n in range(20, 40))
+    # A stretch may begin or end with changed words where the item does; and a longer row is cut
+    # into rows of 20 to 39 words, each of which has too few equal words.
+    assert all(10 * most_equal(n, False) < 8 * n for n in range(D.SHORTEST, 40))
 
 
 def changed(words, at):
@@ -127,6 +130,16 @@ def test_every_placement_of_substitutions(spark):
     assert sorted(r.doc_id for r in found if own[r.doc_id] == r.item_id) == expected
 
 
+def test_a_change_at_either_end_of_an_item_is_found(spark):
+    """Every single changed word of short items, first and last included, inside and at the ends of a text."""
+    bench = [prose(n) for n in range(8, 14)]
+    docs = [(i, p, around) for i, b in enumerate(bench) for p in range(len(b)) for around in (False, True)]
+    texts = [" ".join([*(["before"] * around), changed(bench[i], [p]), *(["after"] * around)]) for i, p, around in docs]
+    found = D.find_leaks(documents(spark, list(enumerate(texts))), items(spark, [(i, " ".join(b)) for i, b in enumerate(bench)])).collect()
+    assert {(r.doc_id, r.item_id) for r in found} >= {(k, i) for k, (i, _, _) in enumerate(docs)}
+    assert all(r.n_equal >= r.n_words - 1 for r in found if docs[r.doc_id][0] == r.item_id)
+
+
 def test_longest_stretch_has_equal_ends():
     equal = [c == "1" for c in "1" * 12 + "0" * 10 + "1101111011111"]
     assert D._longest_similar(np.array(equal), D.SIMILARITY) == (22, 35)
