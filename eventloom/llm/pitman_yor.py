@@ -12,8 +12,9 @@ takes a new table with the probability of the Chinese restaurant process, given
 far and what the last sweep left of the parent and of the totals (those of a sweep are summed and
 handed to the next one, as is usual for distributed sampling). Beyond ``SINGLY`` customers of a
 dish, they are seated in growing blocks with one probability each. Random numbers depend on
-(sweep, group) alone, so a recomputed task seats as the lost one did, and a later sweep redoes
-earlier ones instead of storing them.
+(sweep, group) alone, and groups on the corpus alone: a recomputed task seats as the lost one
+did, a later sweep redoes earlier ones instead of storing them, and no setting of the session
+changes a score.
 
 **Layout.** Tokens go to groups: a rare word, with all its contexts, by its hash; a frequent word by
 (word, context) after a frequent word, and by the context's hash after a rare one. Pairs with at
@@ -52,8 +53,8 @@ from eventloom.llm.text import Words, fold_of, mix, not_spaces, pieces, small_ba
 from eventloom.session import materialize
 
 CONTEXTS = 1 << 16
-#: Tokens of a group, about.
-GROUP = 8_000_000
+#: Tokens of a group and of an owner of contexts, about: their numbers follow from the corpus alone.
+GROUP, OWNED = 4_000_000, 8_000_000
 PIECE_BYTES = 16 << 20
 SWEEPS, KEPT = 4, 2
 SINGLY = 64
@@ -175,7 +176,7 @@ class Model:
 
     def owner(self, contexts: np.ndarray) -> np.ndarray:
         """The task that sums a rare context over the groups: as many as the tokens need, whatever the groups."""
-        return (mix(contexts + U64(11)) % U64(max(1, math.ceil(self.tokens / GROUP)))).astype(np.int64)
+        return (mix(contexts + U64(11)) % U64(max(1, math.ceil(self.tokens / OWNED)))).astype(np.int64)
 
     def group_of_pairs(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         return (mix((words.astype(U64) << U64(_SHIFT)) + contexts.astype(U64) + U64(1)) % U64(self.groups)).astype(np.int64)
@@ -271,7 +272,7 @@ def _first_model(training: DataFrame) -> Model:
     order = np.argsort(words)
     words, counts = words[order], counts[order]
     texts = counts[words == END].sum() if (words == END).any() else training.count()
-    return Model(words, np.append(counts, texts).astype(float), tokens, int(sums.known), max(partitions, math.ceil(tokens / GROUP)), [])
+    return Model(words, np.append(counts, texts).astype(float), tokens, int(sums.known), max(1, math.ceil(tokens / GROUP)), [])
 
 
 def _pair_lists(model: Model, texts: pa.Array) -> list[tuple[int, bytes]]:
@@ -707,7 +708,7 @@ def _score_postings(model: Model, own: Restaurants, kept, blob: bytes) -> bytes:
     base = np.bincount(text, np.log10(counts + 1), n) + np.bincount(r_text, np.log10(r_counts + 1), n)
     known = np.bincount(text, is_known, n) + np.bincount(r_text, r_known, n)
     touched = np.flatnonzero((np.bincount(texts, minlength=n) + np.bincount(open_text, minlength=n)) > 0)
-    return pack(steps(touched).astype("<u4"), known[touched].astype("<u4"), base[touched], score[touched].astype("<f4"), open_text, open_before, *roots, asked, *weights)
+    return pack(steps(touched).astype("<u4"), known[touched].astype("<u4"), base[touched], score[touched], open_text, open_before, *roots, asked, *weights)
 
 
 def score_documents(documents: DataFrame) -> DataFrame:

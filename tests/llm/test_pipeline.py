@@ -7,6 +7,7 @@ import corpus_pipeline
 from eventloom.llm import bpe_codec, quality
 from eventloom.llm.text import read_table
 from eventloom.session import materialize
+from tests.llm.helpers import documents
 from tests.llm.test_decontamination import brute as leaks
 from tests.llm.test_minhash import brute as groups
 from tests.llm.test_secrets import base
@@ -76,3 +77,42 @@ def test_ids_decode_to_the_text(kept):
 def test_run_gives_the_last_stage(spark, sf, kept):
     digest = lambda frame: sorted((r.doc_id, tuple(r.ids)) for r in frame.collect())
     assert digest(corpus_pipeline.run(spark, sf)) == digest(kept["encoding"])
+
+
+CLASHING = ("doc", "key", "row", "part", "text_key", "leak", "m", "s", "e", "spans", "found", "score", "predicted", "h1", "component")
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows(spark, sf, name, stage):
+    """Null ids and texts, repeated rows, empty texts and further columns; an empty table stays empty."""
+    prose = [r.text for r in read_table(spark, sf, "documents").filter("lang = 'en' AND length(text) > 400").orderBy("doc_id").limit(3).collect()]
+    rows = [(None, prose[0]), (None, prose[0]), (None, None), (1, None), (2, ""), (2, ""), (3, prose[1]), (3, prose[1]), (4, prose[2]), (5, "password=hunter2x " * 40), (6, "x" * 50_000)]
+    docs = documents(spark, rows, extra=CLASHING)
+    out = stage(spark, docs, sf)
+    if name != "encoding":
+        assert out.columns == docs.columns
+    found = out.collect()
+    assert stage(spark, docs.limit(0), sf).collect() == []
+    given = {(i, t) for i, t in rows}
+    if name in ("quality", "decontamination", "near_duplicates"):
+        assert {(r.doc_id, r.text) for r in found} <= given and all(r.key == "x" for r in found)
+    if name == "near_duplicates":
+        # One row of each text with words; rows without words all stay.
+        assert sorted((str(r.doc_id), r.text or "") for r in found) == sorted((str(i), t or "") for i, t in [(None, prose[0]), (None, None), (1, None), (2, ""), (2, ""), *sorted({(3, prose[1])}), (4, prose[2]), (5, rows[9][1]), (6, rows[10][1])])
+    if name == "decontamination":
+        assert sum(not r.text for r in found) == 4
+    if name == "secrets":
+        texts = [(r.doc_id, r.text, r.n_chars) for r in found]
+        assert len(texts) == len(rows) and (None, None, None) in texts and not any("hunter2x" in (t or "") for _, t, _ in texts)
+        assert all(n == len(t) for _, t, n in texts if t is not None)
+    if name == "encoding":
+        assert len(found) == len(rows) and all(r.exact and len(r.ids) == r.n_tokens for r in found)
+        assert sorted(r.n_tokens for r in found)[:4] == [0, 0, 0, 0]
+
+
+def test_clean_documents_pass_the_quality_stage(spark):
+    """With the labels of a larger table, every document that is labelled clean stays."""
+    large = "/root/testdata/sf0.1"
+    scored = quality.score_documents(read_table(spark, large, "documents"), read_table(spark, large, "labels"))
+    clean = scored.join(read_table(spark, large, "labels").filter("quality = 1").select("doc_id"), "doc_id")
+    assert clean.filter("predicted = 0").count() == 0 and clean.count() > 1000

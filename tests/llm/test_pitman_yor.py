@@ -102,6 +102,17 @@ def test_seating_has_the_expected_number_of_tables():
     assert many[:2].tolist() == [0, 1] and many[3] < 60
 
 
+def test_shuffle_partitions_do_not_change_scores(spark, rows):
+    before, scores = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            scores.append({r.doc_id: r.score for r in P.score_documents(documents(spark, rows[:60])).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert scores[0] == pytest.approx(scores[1], abs=1e-9)
+
+
 def test_partitioning_does_not_change_scores(spark, rows):
     a = rows_of(P.score_documents(documents(spark, rows[:60]).repartition(2)).selectExpr("doc_id", "round(score, 2) as score"), "doc_id", "score")
     b = rows_of(P.score_documents(documents(spark, rows[:60]).repartition(5)).selectExpr("doc_id", "round(score, 2) as score"), "doc_id", "score")
