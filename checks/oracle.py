@@ -276,6 +276,7 @@ def oracle_sql() -> dict[str, str]:
         "dense_reload": f"{WITH_VALID} SELECT rid, CAST(CAMEOCode AS DOUBLE) AS label, true AS same FROM valid WHERE {_held_out(42)}",
         "indexed_boosting": f"{WITH_VALID}, {_INDEX} SELECT rid, CAST(i AS DOUBLE) AS label, true AS in_range FROM valid JOIN labels USING (CAMEOCode) WHERE {_digest_number(0)} >= 3006477107",
         "boosting_summary": f"{WITH_VALID}, {_INDEX} SELECT CAST(i AS INTEGER) AS class, 'GBTClassificationModel' AS kind, CAST(10 AS INTEGER) AS trees FROM labels",
+        "network_curve": f"{WITH_VALID}, parts AS (SELECT CASE WHEN {_held_out(42)} THEN 'validation' ELSE 'train' END AS part FROM valid) SELECT CAST(i AS INTEGER) AS iteration, part, n, true AS is_loss, true AS is_share FROM (SELECT part, count(*) AS n FROM parts GROUP BY part), range(4, 21, 4) r(i)",
         "training_history": "SELECT CAST(0 AS INTEGER) AS first_iteration, true AS is_loss, true AS falls",
         "sequence_history": "SELECT CAST(0 AS INTEGER) AS first_iteration, true AS is_loss, true AS falls",
         "sequence_network": f"{WITH_ACTIVITY}, w AS (SELECT row_number() OVER (ORDER BY ts DESC, event_id DESC) AS back FROM numbered WHERE seq >= 30) SELECT CASE WHEN back <= 300 THEN 'validation' ELSE 'train' END AS part, count(*) AS n, true AS is_share FROM w GROUP BY 1",

@@ -585,6 +585,12 @@ def dense_network(spark, sf_dir):
     return _known(_dense(spark, sf_dir).predictions)
 
 
+def network_curve(spark, sf_dir):
+    """The dense network's loss and accuracy per part after every fourth iteration, as what is known beforehand."""
+    curve = training.staged_network(_model_table(spark, sf_dir), "rid")[1]
+    return curve.select("iteration", "part", "n", (F.col("loss") > 0).alias("is_loss"), F.col("accuracy").between(0, 1).alias("is_share"))
+
+
 def _objective(history: DataFrame) -> DataFrame:
     """Whether the objective is positive and never rises, per part of a history."""
     before = F.lag("objective").over(W.orderBy("iteration"))
@@ -695,7 +701,7 @@ QUERIES: dict[str, Query] = {
         holdout_split, random_split, stratified_folds, stratified_folds_ranged, quantile_folds, hashed_folds,
         validation_scores,
         boosted_trees, boosting_curve, indexed_boosting, boosting_summary, random_forest, dense_network,
-        training_history, dense_reload, sequence_network, sequence_history, cross_validation,
+        network_curve, training_history, dense_reload, sequence_network, sequence_history, cross_validation,
         grid_search, halving_rungs,
     )
 }

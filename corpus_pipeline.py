@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents.
+
+Rows with a null doc_id or text, with an id or a text that others have too, and columns of any further name pass
+every stage: a stage tells rows apart by their content or by a number of its own. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,27 +17,36 @@ from eventloom.session import materialize
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents that the rule ensemble rejects go."""
+    """Operator 10: documents that the rule ensemble rejects go.
+
+    A null text is scored as an empty one; rows with a null doc_id are scored and never learnt from.
+    """
     return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: one document of each group stays (five-word shingles, similarity 0.8)."""
+    """Operator 8: one document of each group stays (five-word shingles, similarity 0.8).
+
+    Of equal rows one stays; documents without words are in no group and all stay.
+    """
     return minhash.deduplicated(docs, k=5, threshold=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents with a benchmark passage go."""
+    """Operator 6: documents with a benchmark passage go; null and empty texts hold none."""
     return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents stay, their secrets are masked and n_chars follows the text."""
+    """Operator 2: documents stay, their secrets are masked and n_chars follows the text; a null text stays null."""
     return secrets.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: token ids of every document, and whether decoding them gives the text again."""
+    """Operator 3: token ids of every document, and whether decoding them gives the text again.
+
+    A null text has no ids.
+    """
     return bpe_codec.encoded_documents(docs)
 
 

@@ -185,6 +185,46 @@ def fit_with_validation(
     return model, parts[0].unionByName(parts[1])
 
 
+def fit_in_stages(
+    pipeline: Pipeline,
+    train: DataFrame,
+    validation: DataFrame,
+    every: int,
+    patience: int | None = None,
+    label: str = "label",
+) -> tuple[PipelineModel, DataFrame]:
+    """Fits the network that ends a pipeline ``every`` iterations at a time, validated after each stage.
+
+    A stage starts from the weights of the one before; the learner's own memory of earlier steps begins
+    anew. Returns the model and (iteration, part, n, loss, accuracy). With ``patience``, the fit
+    ends when the validation loss has not fallen for so many stages, and the model is that of the least loss.
+    The stages before the network are fitted once; both parts are read in every pass: pass narrow tables.
+    """
+    *before, network = pipeline.getStages()
+    prepared = Pipeline(stages=before).fit(train)
+    parts = prepared.transform(train.withColumn("part", F.lit("train")).unionByName(validation.withColumn("part", F.lit("validation"))))
+    likelihood = F.get(vector_to_array(network.getProbabilityCol()), F.col(label).cast("int"))
+    loss = F.avg(-F.log(F.greatest(F.coalesce(likelihood, F.lit(0.0)), F.lit(1e-16))))
+    right = F.avg((F.col(network.getPredictionCol()) == F.col(label)).cast("double"))
+    rows, fitted, weights, done, total = [], [], None, 0, network.getMaxIter()
+    while done < total:
+        step = {network.maxIter: min(every, total - done)}
+        if weights is not None:
+            step[network.initialWeights] = weights
+        model = network.copy(step).fit(prepared.transform(train))
+        weights, done = model.weights, done + step[network.maxIter]
+        scored = model.transform(parts).groupBy("part").agg(F.count(F.lit(1)).alias("n"), loss.alias("loss"), right.alias("accuracy"))
+        found = {r["part"]: r for r in scored.collect()}
+        rows += [(done, part, r["n"], r["loss"], r["accuracy"]) for part, r in sorted(found.items())]
+        fitted.append((found["validation"]["loss"] if "validation" in found else 0.0, model))
+        best = min(range(len(fitted)), key=lambda i: fitted[i][0])
+        if patience is not None and len(fitted) - 1 - best >= patience:
+            break
+    last = fitted[best if patience is not None else -1][1]
+    curve = train.sparkSession.createDataFrame(rows, "iteration int, part string, n long, loss double, accuracy double")
+    return PipelineModel(stages=[*prepared.stages, last]), curve
+
+
 def predict(model: Transformer, test: DataFrame, key: Sequence[str], label: str = "label") -> DataFrame:
     """Key, true label and prediction of every test row."""
     return score(model, test).select(*key, F.col(label).alias("label"), "prediction")

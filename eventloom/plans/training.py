@@ -25,6 +25,7 @@ from eventloom.operators.models import (
     default_boosting_pipeline,
     dense_network_pipeline,
     feature_scaler,
+    fit_in_stages,
     fit_with_validation,
     indexed_boosting_pipeline,
     predict,
@@ -93,6 +94,19 @@ def dense_network(
     return Run(model, predictions, accuracy(predictions)), training_history(model), scores
 
 
+def staged_network(
+    events: DataFrame, key: str, seed: int = 42, iterations: int = DENSE_ITERATIONS, every: int = 4, patience: int | None = None
+) -> tuple[Run, DataFrame]:
+    """The dense network with its loss and accuracy on both parts after every few iterations."""
+    features = feature_columns(drop_leaky(events), exclude=[key])
+    table = materialize(with_label(drop_leaky(events)), "model-table")
+    train, test = holdout_split(table, key, 0.2, seed)
+    network = dense_network_pipeline(features, NUM_CLASSES, iterations=iterations)
+    model, curve = fit_in_stages(network, placed(train, key), test, every, patience)
+    predictions = predict(model, test, [key])
+    return Run(model, predictions, accuracy(predictions)), curve
+
+
 def sequence_network(
     windows: DataFrame,
     order: Sequence[str],

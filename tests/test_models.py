@@ -1,6 +1,7 @@
 """Training runs on a table whose label follows from its features."""
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from eventloom.operators import boosting, encoding, models, search, splits, windows
@@ -221,3 +222,24 @@ def test_network_over_stored_blocks(spark):
     assert {r["part"]: r["n"] for r in scores.collect()} == {"train": 900 - 12 - 100, "validation": 100}
     again = training.block_network(blocks.repartition(3), ["who"], ["at"], 1, 4, holdout=100, classes=2, iterations=5)[0]
     assert model.stages[-1].weights.toArray() == pytest.approx(again.stages[-1].weights.toArray(), abs=1e-9)
+
+
+def test_network_in_stages(events):
+    run, curve = training.staged_network(events, "rid", iterations=10, every=4)
+    rows = curve.orderBy("iteration", "part").collect()
+    assert [(r["iteration"], r["part"]) for r in rows] == [(i, p) for i in (4, 8, 10) for p in ("train", "validation")]
+    train = [r["loss"] for r in rows if r["part"] == "train"]
+    assert train == sorted(train, reverse=True) and rows[-1]["accuracy"] == pytest.approx(run.scores.first()["accuracy"])
+
+
+def test_network_stops_early(spark, events):
+    """Validation labels are noise: the least loss comes early, and the model is that one."""
+    table = models.with_label(events)
+    noise = table.withColumn("label", (F.xxhash64("rid") % 2 + 3).cast("double"))
+    pipeline = models.dense_network_pipeline(["a", "b"], 6, hidden=(8,), iterations=60)
+    model, curve = models.fit_in_stages(pipeline, placed(table, "rid"), noise, 5, patience=2)
+    losses = [r["loss"] for r in curve.where("part = 'validation'").orderBy("iteration").collect()]
+    assert len(losses) < 12 and len(losses) - 1 - losses.index(min(losses)) == 2
+    scored = model.transform(noise).select(vector_to_array("probability").alias("p"), "label")
+    again = scored.agg(F.avg(-F.log(F.greatest(F.get("p", F.col("label").cast("int")), F.lit(1e-16))))).first()[0]
+    assert again == pytest.approx(min(losses))
