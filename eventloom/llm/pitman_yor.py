@@ -54,7 +54,7 @@ from eventloom.session import materialize
 
 CONTEXTS = 1 << 16
 #: Tokens of a group and of an owner of contexts, about: their numbers follow from the corpus alone.
-GROUP, OWNED = 4_000_000, 8_000_000
+GROUP, OWNED = 1_500_000, 8_000_000
 PIECE_BYTES = 16 << 20
 SWEEPS, KEPT = 4, 2
 SINGLY = 64
