@@ -51,7 +51,7 @@ PIECE_BYTES = 2 << 20
 #: Members of a key compared in one task at once, twice over.
 BLOCK = 2000
 #: Bytes of full sets that a task keeps while it confirms pairs.
-SET_BYTES = 64 << 20
+SET_BYTES = 32 << 20
 #: Bits of the map that says which rows' texts are wanted for confirmation.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 
@@ -338,19 +338,13 @@ def _partners(rows: _Members, threshold: int) -> pa.RecordBatch:
 
 
 def _forest(rows: _Members, k: int, threshold: int) -> pa.RecordBatch:
-    """Links of a spanning forest of each group's linked rows; the nearest pairs are confirmed first."""
-    near = list(_near_pairs(rows, threshold))
-    none = np.empty(0, np.int64)
-    x, y, distance = (np.concatenate([none, *(part[i] for part in near)]) for i in range(3))
-    order = np.lexsort((y, x, distance, rows.group[x]))
-    roots: dict[tuple[int, int], tuple[int, int]] = {}
-    press, sets, held = zstandard.ZstdDecompressor(), {}, 0
-
-    def root(node: tuple[int, int]) -> tuple[int, int]:
-        while (up := roots.get(node, node)) != node:
-            roots[node] = roots.get(up, up)
-            node = up
-        return node
+    """Links of a spanning forest of each group's linked rows.
+
+    The pairs of one step are held at a time; those that earlier links join are skipped.
+    """
+    # Rows of a group and component are one set to begin with.
+    part = np.unique(np.stack([rows.group, rows.component], axis=1), axis=0, return_inverse=True)[1].ravel()
+    press, sets, held, links = zstandard.ZstdDecompressor(), {}, 0, []
 
     def set_of(row: int) -> np.ndarray:
         nonlocal held
@@ -364,16 +358,16 @@ def _forest(rows: _Members, k: int, threshold: int) -> pa.RecordBatch:
             held += sets[node].nbytes
         return sets[node]
 
-    links = []
-    for a, b in zip(x[order].tolist(), y[order].tolist()):
-        group = int(rows.group[a])
-        left, right = root((group, int(rows.component[a]))), root((group, int(rows.component[b])))
-        if left != right:
-            first, second = set_of(a), set_of(b)
-            common = len(np.intersect1d(first, second, assume_unique=True))
-            if 100 * common >= threshold * (len(first) + len(second) - common):
-                roots[left] = right
-                links.append((int(rows.node[a]), int(rows.node[b])))
+    for x, y, distance in _near_pairs(rows, threshold):
+        apart = part[x] != part[y]
+        order = np.argsort(distance[apart], kind="stable")
+        for a, b in zip(x[apart][order].tolist(), y[apart][order].tolist()):
+            if part[a] != part[b]:
+                first, second = set_of(a), set_of(b)
+                common = len(np.intersect1d(first, second, assume_unique=True))
+                if 100 * common >= threshold * (len(first) + len(second) - common):
+                    part[part == part[b]] = part[a]
+                    links.append((int(rows.node[a]), int(rows.node[b])))
     return pa.record_batch({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
