@@ -42,7 +42,7 @@ from eventloom.session import materialize
 
 WIDTH = 13
 #: Suffixes of a group, about; a group is sorted in memory.
-GROUP = 2_000_000
+GROUP = 1_000_000
 #: Text of one piece, within which equal windows are joined before they are sent.
 PIECE_BYTES = 4 << 20
 #: Word frequencies are counted in so many classes of word hashes.

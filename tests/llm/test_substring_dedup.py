@@ -86,3 +86,18 @@ def test_common_words_get_longer_prefixes():
     at = mixed.windows(13)[::2]
     groups = np.bincount(S.prefix_groups(mixed, at, counts / counts.sum(), 1 / 64, 16, 13), minlength=16)
     assert groups.max() < 3 * groups.mean()
+
+
+def test_a_full_group_takes_little_memory():
+    """Executors hold as many groups as they have cores, beside the JVM."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    row = np.sort(rng.integers(0, 5000, S.GROUP))
+    blob = S._pack(np.arange(5000) * 7, np.arange(5000, dtype=np.int32), row, np.arange(S.GROUP), rng.integers(0, 1 << 63, S.GROUP).astype(np.uint64))
+    tracemalloc.start()
+    ids, _, _, keys = S._unpack(blob)
+    S._repeats_of(ids, keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20, peak >> 20
