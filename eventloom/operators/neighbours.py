@@ -25,6 +25,7 @@ from eventloom.functions.stats import digamma, digest_number, key_digest
 from eventloom.operators.cleaning import feature_columns
 from eventloom.operators.ordering import HOT_ROWS, number_rows, running_sum
 from eventloom.schemas import LABEL
+from eventloom.session import materialize
 
 # Neighbours, and the noise as a share of a feature's size, of the estimator.
 NEIGHBOURS = 3
@@ -61,8 +62,10 @@ def neighbour_scores(
     points = _points(df, key, label, features, seed, noise, noise_bits)
     sizes = points.groupBy("feature", "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = F.broadcast(sizes) if len(features) * df.select(label).distinct().count() <= MAX_CLASSES else sizes
-    points = points.join(sizes, ["feature", "label"])
-    near = _near_counts(_distances(points, neighbours, hot_rows, block_rows), hot_rows)
+    # Both steps read their rows several times: to count groups, to draw split points, to number.
+    points = materialize(points.join(sizes, ["feature", "label"]), "points")
+    distances = materialize(_distances(points, neighbours, hot_rows, block_rows), "distances")
+    near = _near_counts(distances, hot_rows)
     mean = near.groupBy("feature").agg(
         F.count(F.lit(1)).alias("rows"), F.avg(digamma(F.col("k")) - digamma(F.col("n")) - digamma(F.col("near"))).alias("mean")
     )

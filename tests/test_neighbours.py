@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.stats import digamma
 from eventloom.operators import neighbours
+from eventloom.session import materialize
 
 EULER = 0.5772156649015329
 
@@ -69,3 +70,13 @@ def test_no_rows_no_score(spark, rows):
     assert neighbours.neighbour_scores(rows.where("CAMEOCode = 77"), "rid").collect() == []
     same = spark.range(50).select(F.col("id").alias("rid"), (F.col("id") % 2).alias("CAMEOCode"), F.lit(1.0).alias("x"))
     assert neighbours.neighbour_scores(same, "rid", noise=0.0).first()["mi"] == 0.0
+
+
+def test_steps_are_made_once(spark):
+    """What is read several times is stored: the last step does not start from the input again."""
+    rows = materialize(spark.range(3000).select(F.col("id").alias("rid"), (F.xxhash64("id") % 4).alias("y"), (F.xxhash64("id", F.lit(1)) % 500).cast("double").alias("x")), "neighbour-input")
+    options = {"label": "y", "features": ["x"], "noise": 2.0**-13, "noise_bits": 20}
+    found = neighbours.neighbour_scores(rows, "rid", hot_rows=100, block_rows=50, **options)
+    assert found.inputFiles() and not any("neighbour-input" in f or "points" in f for f in found.inputFiles())
+    at_once = neighbours.neighbour_scores(rows, "rid", **options)
+    assert found.first()["mi"] == pytest.approx(at_once.first()["mi"], abs=1e-9)

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from eventloom.operators import ordering, windows
+from eventloom.session import materialize
 
 ORDER = ["day", "rid"]
 
@@ -223,3 +224,11 @@ def test_windows_of_stored_blocks(events, rows, block_rows):
     assert flat == {rid: [v for step in w[2] for v in step] for rid, w in found.items()}
     kept = blocks.agg(F.sum(F.size("labels"))).first()[0]
     assert kept <= len(rows) * (1 + 30 / block_rows)
+
+
+def test_ranges_are_found_once(spark):
+    """Counts of ranges and ranks read one stored table: a row's range is looked up once."""
+    rows = materialize(spark.range(2000).select((F.col("id") % 2).alias("g"), F.xxhash64("id").alias("x"), F.lit(1).alias("one")), "range-input")
+    for found in (ordering.number_rows(rows, ["g"], ["x"], hot_rows=100), ordering.running_sum(rows, ["g"], ["x"], "one", "seq", hot_rows=100)):
+        assert found.inputFiles() and all("ranged-rows" in f for f in found.inputFiles())
+        assert found.groupBy("g").agg(F.countDistinct("seq").alias("n"), (F.max("seq") - F.min("seq")).alias("d")).select("n", "d").distinct().first() == (1000, 999)
