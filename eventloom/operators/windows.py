@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from eventloom.operators.ordering import HOT_ROWS, GroupLoad, group_key, group_load, number_rows
 from eventloom.schemas import LABEL, LOOK_BACK
 
-# Rows of a hot actor that one task turns into windows.
-BLOCK_ROWS = 1_000_000
+# Rows of a hot actor in one block of windows: many blocks, so that they spread evenly over tasks.
+BLOCK_ROWS = 5_000
 # Rows of a stored block of a sequence.
 STORE_ROWS = 1024
 

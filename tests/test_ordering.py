@@ -232,3 +232,12 @@ def test_ranges_are_found_once(spark):
     for found in (ordering.number_rows(rows, ["g"], ["x"], hot_rows=100), ordering.running_sum(rows, ["g"], ["x"], "one", "seq", hot_rows=100)):
         assert found.inputFiles() and all("ranged-rows" in f for f in found.inputFiles())
         assert found.groupBy("g").agg(F.countDistinct("seq").alias("n"), (F.max("seq") - F.min("seq")).alias("d")).select("n", "d").distinct().first() == (1000, 999)
+
+
+def test_a_large_actor_is_cut_into_many_blocks(spark):
+    """Windows of one actor are made by more than one task long before its rows are too many for one."""
+    rows = materialize(spark.range(12_000).select(F.lit("USA").alias("actor"), F.xxhash64("id").alias("rid"), F.col("id").cast("double").alias("x"), F.lit(1).alias("label")), "one-actor")
+    made = windows.lag_windows(rows, ["actor"], ["rid"], ["x"], "label", 5)
+    assert "__slot" in made._jdf.queryExecution().toString()
+    at_once = windows.lag_windows(rows, ["actor"], ["rid"], ["x"], "label", 5, block_rows=1_000_000)
+    assert made.count() == 11_995 and made.exceptAll(at_once).isEmpty()
