@@ -17,7 +17,7 @@ BLOCK_ROWS = 5_000
 # Rows of a stored block of a sequence.
 STORE_ROWS = 1024
 
-_VECTOR, _LABEL, _GROUP, _SLOT = "__vector", "__label", "__group", "__slot"
+_VECTOR, _LABEL, _GROUP, _SLOT, _FIRST = "__vector", "__label", "__group", "__slot", "__first"
 
 
 def lag_windows(
@@ -156,10 +156,44 @@ def tail_holdout(
     The order key of the first test row is looked up once; both parts are filters.
     ``windows`` is read three times: pass a stored table.
     """
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    first = tail_start(windows, order, n)
+    train, test = split_at(windows, order, first)
+    return (windows if include_in_train else train), test
+
+
+def tail_start(windows: DataFrame, order: Sequence[str], n: int) -> Column:
+    """The order key of the first of the last ``n`` windows, as a literal; null without windows."""
     tail = windows.select(*order).orderBy(*[F.desc(c) for c in order]).limit(n)
-    first = tail.select(F.min(key)).scalar()
+    return tail.select(F.min(_order_key(order))).scalar()
+
+
+def _order_key(order: Sequence[str]) -> Column:
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+
+
+def split_at(windows: DataFrame, order: Sequence[str], first: Column) -> tuple[DataFrame, DataFrame]:
+    """(train, test): the windows before an order key, and those from it on."""
+    key = _order_key(order)
     # Without rows there is no first key: everything is train.
-    test = windows.where(F.coalesce(key >= first, F.lit(False)))
-    train = windows if include_in_train else windows.where(F.coalesce(key < first, F.lit(True)))
-    return train, test
+    return windows.where(F.coalesce(key < first, F.lit(True))), windows.where(F.coalesce(key >= first, F.lit(False)))
+
+
+def block_keys(blocks: DataFrame, order: Sequence[str], look_back: int = LOOK_BACK) -> DataFrame:
+    """The order columns of the windows of stored blocks, without the windows."""
+    own = F.slice("keys", F.lit(look_back + 1), F.size("keys") - look_back)
+    return blocks.where(F.size("keys") > look_back).select(F.inline(own)).select(*order)
+
+
+def blocks_before(blocks: DataFrame, order: Sequence[str], first: Column, look_back: int = LOOK_BACK) -> DataFrame:
+    """(data, starts, label) of stored blocks: their numbers, and row of start and label of each window before an order key."""
+
+    def wanted(i: Column) -> Column:
+        key = F.struct(*[F.get("keys", i)[c].alias(f"k{n}") for n, c in enumerate(order)])
+        return F.coalesce(key < F.col(_FIRST), F.lit(True))
+
+    at = F.filter(F.sequence(F.lit(look_back), F.size("labels") - 1), wanted)
+    full = blocks.where(F.size("labels") > look_back).withColumn(_FIRST, first)
+    found = full.select(F.col("values").alias("data"), "labels", at.alias("at"))
+    return found.where(F.size("at") > 0).select(
+        "data", F.transform("at", lambda i: i - look_back).alias("starts"), F.transform("at", lambda i: F.get("labels", i)).alias("label")
+    )

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +31,22 @@ from eventloom.operators.models import (
     predict,
     sequence_network_pipeline,
     training_history,
+    validated,
     with_label,
+    with_objective,
 )
+from eventloom.operators.networks import fit_network, window_batches
 from eventloom.operators.search import cross_validate
 from eventloom.operators.splits import holdout_split, quantile_folds, random_split, stratified_folds, with_test_flag
-from eventloom.operators.windows import block_windows, flatten_windows, tail_holdout
+from eventloom.operators.windows import (
+    block_keys,
+    block_windows,
+    blocks_before,
+    flatten_windows,
+    split_at,
+    tail_holdout,
+    tail_start,
+)
 from eventloom.schemas import LABEL, LOOK_BACK, NUM_CLASSES
 from eventloom.session import FIT_PARTITIONS, cut_lineage, materialize, placed
 
@@ -89,7 +100,7 @@ def dense_network(
     train, test = holdout_split(table, key, 0.2, seed)
     scaler = feature_scaler().fit(assemble(table, features)) if fit_on == "all" else None
     network = dense_network_pipeline(features, NUM_CLASSES, iterations=iterations, scaler=scaler)
-    model, scores = fit_with_validation(network, placed(train, key), test)
+    model, scores = fit_with_validation(network, train, test, key=key)
     predictions = predict(model, test, [key])
     return Run(model, predictions, accuracy(predictions)), training_history(model), scores
 
@@ -102,7 +113,7 @@ def staged_network(
     table = materialize(with_label(drop_leaky(events)), "model-table")
     train, test = holdout_split(table, key, 0.2, seed)
     network = dense_network_pipeline(features, NUM_CLASSES, iterations=iterations)
-    model, curve = fit_in_stages(network, placed(train, key), test, every, patience)
+    model, curve = fit_in_stages(network, train, test, every, patience, key=key)
     predictions = predict(model, test, [key])
     return Run(model, predictions, accuracy(predictions)), curve
 
@@ -124,7 +135,7 @@ def sequence_network(
     train, test = tail_holdout(windows, order, holdout)
     train, test = (with_label(flatten_windows(part), "label") for part in (train, test))
     network = sequence_network_pipeline(look_back * features, classes, **parameters)
-    return fit_with_validation(network, placed(train, order[-1]), test)
+    return fit_with_validation(network, train, test, key=order[-1])
 
 
 def block_network(
@@ -139,12 +150,17 @@ def block_network(
 ) -> tuple[PipelineModel, DataFrame]:
     """As ``sequence_network``, over stored blocks: windows are cut in the task that reads a block.
 
-    What is placed and shuffled are the blocks, not the windows, which have every row ``look_back`` times.
+    What is placed, shuffled and stored for the fit are the blocks, not the windows, which have every row ``look_back`` times.
     """
-    settled = placed_blocks(blocks, by)
-    train, test = tail_holdout(block_windows(settled, by, order, features, look_back, flat=True), order, holdout)
+    first = tail_start(block_keys(blocks, order, look_back), order, holdout)
+    train, test = split_at(block_windows(blocks, by, order, features, look_back, flat=True), order, first)
     train, test = (with_label(flatten_windows(part), "label") for part in (train, test))
-    return fit_with_validation(sequence_network_pipeline(look_back * features, classes, **parameters), train, test)
+    *before, network = sequence_network_pipeline(look_back * features, classes, **parameters).getStages()
+    prepared = Pipeline(stages=before).fit(train)
+    rows = blocks_before(placed_blocks(blocks, by), order, first, look_back)
+    fitted, values = fit_network(network, window_batches(rows, network, look_back, prepared.stages[-1]))
+    model = with_objective(PipelineModel(stages=[*prepared.stages, fitted]), values)
+    return model, validated(model, train, test)
 
 
 def placed_blocks(blocks: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -1,10 +1,11 @@
 """Training runs on a table whose label follows from its features."""
 
+import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from eventloom.operators import boosting, encoding, models, search, splits, windows
+from eventloom.operators import boosting, encoding, models, networks, search, splits, windows
 from eventloom.plans import training
 from eventloom.session import materialize, placed
 from eventloom.sources import writers
@@ -243,3 +244,60 @@ def test_network_stops_early(spark, events):
     scored = model.transform(noise).select(vector_to_array("probability").alias("p"), "label")
     again = scored.agg(F.avg(-F.log(F.greatest(F.get("p", F.col("label").cast("int")), F.lit(1e-16))))).first()[0]
     assert again == pytest.approx(min(losses))
+
+
+def test_network_of_batches_is_sparks_own(events):
+    """First weights, objective and steps are those of Spark's learner, stacks that are not full included."""
+    rows = placed(models.with_label(events), "rid", 3)
+    pipeline = models.dense_network_pipeline(["a", "b", "noise"], 6, hidden=(8, 4), iterations=12, blockSize=50)
+    ours, theirs = models.fit(pipeline, rows), pipeline.fit(rows)
+    found, expected = ([r["objective"] for r in models.training_history(m).collect()] for m in (ours, theirs))
+    assert len(found) == 13 and found == pytest.approx(expected, abs=1e-9)
+    assert ours.stages[-1].weights.toArray() == pytest.approx(theirs.stages[-1].weights.toArray(), abs=1e-7)
+    assert ours.stages[-1].getMaxIter() == 12
+
+
+def test_windows_of_batches_are_the_blocks_own(spark):
+    """Batches keep each row about once, and a window has the numbers that Spark's pipeline gives the network."""
+    rows = spark.range(2000).select((F.col("id") % 9).alias("who"), F.col("id").alias("at"), (F.col("id") % 7 / 7).alias("x"), F.lit(3.0).alias("same"), (F.col("id") % 5 >= 2).cast("int").alias("label"))
+    blocks = materialize(windows.sequence_blocks(rows, ["who"], ["at"], ["x", "same"], "label", 4, block_rows=30), "blocks")
+    first = windows.tail_start(windows.block_keys(blocks, ["at"], 4), ["at"], 100)
+    train, test = windows.split_at(windows.block_windows(blocks, ["who"], ["at"], 2, 4, flat=True), ["at"], first)
+    assert test.count() == 100
+    pipeline = models.sequence_network_pipeline(8, 2, hidden=(4,), iterations=1)
+    scaler, network = pipeline.getStages()
+    vectors = windows.flatten_windows(train)
+    fitted = scaler.fit(vectors)
+    stored = networks.window_batches(windows.blocks_before(blocks, ["at"], first, 4), network, 4, fitted).table.collect()
+    scale = networks.window_batches(windows.blocks_before(blocks, ["at"], first, 4), network, 4, fitted)
+    found = []
+    for r in stored:
+        data, starts, labels = np.frombuffer(r["data"]), np.frombuffer(r["starts"], np.int32), np.frombuffer(r["labels"], np.int32)
+        cut = (networks._windows(data, 2, 4)[starts] - scale.low) * scale.scale + scale.least
+        found += [(*w.round(9).tolist(), int(y)) for w, y in zip(cut, labels)]
+    expected = fitted.transform(vectors).select(vector_to_array("scaled").alias("w"), "label").collect()
+    assert sorted(found) == sorted((*np.round(r["w"], 9).tolist(), r["label"]) for r in expected)
+    assert sum(len(r["data"]) for r in stored) <= 8 * 2 * sum(len(r["labels"]) for r in blocks.collect())
+
+
+def test_network_refuses_what_is_no_class_or_number(events):
+    pipeline = models.dense_network_pipeline(["a", "b"], 6, hidden=(4,), iterations=2)
+    for odd in (F.lit(6.0), F.lit(0.5), F.lit(None).cast("double"), F.lit(-1.0)):
+        table = models.with_label(events).withColumn("label", F.when(F.col("rid") == 7, odd).otherwise(F.col("label")))
+        with pytest.raises(Exception, match="no class"):
+            models.fit(pipeline, table)
+    with pytest.raises(ValueError, match="no rows"):
+        batches = networks.row_batches(models.with_label(events).limit(0).withColumn("scaled", array_to_vector(F.array("a", "b").cast("array<double>"))), pipeline.getStages()[-1])
+        networks.fit_network(pipeline.getStages()[-1], batches)
+
+
+def test_search_for_a_step_as_in_sparks_learner():
+    """Rosenbrock's valley: to the bottom, never upwards, and no further than asked."""
+    def f(x):
+        a, b = 1 - x[0], x[1] - x[0] ** 2
+        return a * a + 100 * b * b, np.array([-2 * a - 400 * x[0] * b, 200 * b])
+
+    x, values = networks.minimize(f, np.array([-1.2, 1.0]), 200, 1e-12)
+    assert x == pytest.approx([1, 1], abs=1e-4) and values == sorted(values, reverse=True)
+    assert len(networks.minimize(f, np.array([-1.2, 1.0]), 5, 1e-12)[1]) == 6
+    assert networks.minimize(f, np.array([1.0, 1.0]), 5, 1e-6)[1] == [0.0]
