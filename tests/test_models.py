@@ -95,6 +95,23 @@ def test_indexed_boosting(events):
     )[:5]
 
 
+def test_ensembles_at_a_time_fit_into_memory(spark, events, monkeypatch):
+    """Small tables are fitted as asked; where memory holds the rows of one ensemble, one at a time, with the same trees."""
+    assert models.storage_bytes(spark) > 1 << 30
+    assert models.ensembles_at_once(100_000, 11, 8, 1 << 32) == 8
+    # Six times a 1 GB table on three executors: eight copies would not be kept.
+    assert 1 <= models.ensembles_at_once(33_000_000, 11, 8, 3 * 6 << 30) <= 2
+    assert models.ensembles_at_once(10**12, 11, 8, 1 << 30) == 1 and models.ensembles_at_once(0, 0, 3, 0) == 1
+    asked, own = [], training.indexed_boosting_pipeline
+    monkeypatch.setattr(training, "indexed_boosting_pipeline", lambda *a, **o: asked.append(o["parallelism"]) or own(*a, **o))
+    many = training.indexed_boosting(events, "rid", iterations=2, parallelism=3)
+    monkeypatch.setattr(training, "storage_bytes", lambda _: 840 * 160)
+    one = training.indexed_boosting(events, "rid", iterations=2, parallelism=3)
+    assert asked == [3, 1]
+    trees = [[t.toDebugString.split("\n", 1)[1] for t in run.model.stages[-1].models] for run in (many, one)]
+    assert trees[0] == trees[1] and len(trees[0]) == 4
+
+
 def test_forest_reloads_with_equal_predictions(events, tmp_path):
     train, test = splits.holdout_split(models.with_label(events), "rid")
     model, scores = models.fit_with_validation(models.forest_pipeline(["a", "b", "noise"]), train, test)
